@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from .chat import OP9_SQL, op9_chat
 from .exact_dedup import OP7_SQL, op7_exact_dedup
+from .knn import OP3_SQL, op3_top_k
 from .mixing import OP1_SQL, op1_mix_sources
 from .packing import op10_pack
+from .simhash import op8_simhash
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op3_top_k": op3_top_k,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_simhash": op8_simhash,
     "op9_chat": op9_chat,
     "op10_pack": op10_pack,
 }
-ORACLE_SQL = {"op1_mix_sources": OP1_SQL, "op7_exact_dedup": OP7_SQL, "op9_chat": OP9_SQL}
+ORACLE_SQL = {"op1_mix_sources": OP1_SQL, "op3_top_k": OP3_SQL, "op7_exact_dedup": OP7_SQL, "op9_chat": OP9_SQL}
