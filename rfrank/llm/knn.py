@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, ship_package
 
 _FLOAT_EXACT = 2.0**53
 
@@ -74,6 +74,7 @@ def top_k(
     64-bit range stop at its ends, and scores beyond it wrap. Other columns are not read.
     """
     spark = vectors.sparkSession
+    ship_package(spark)
     ok = F.forall(F.col(vector_col), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     valid = vectors.filter(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & ok).select(
         F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), is_query.alias("is_query")

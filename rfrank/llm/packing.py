@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_of
+from .common import materialize, ship_package, text_of
 
 #: Sequence numbers: a partition's own from ``partition << 34``; those of merged leftovers from here.
 MERGED = 1 << 62
@@ -151,6 +151,7 @@ def pack(
     other; a document of any length is cut into as many pieces as it takes; an empty table gives no
     pieces. Other columns are not read.
     """
+    ship_package(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     schema = (
         f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint,"

@@ -20,14 +20,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, text_of
+from .common import materialize, ship_package, text_of
 
-#: Byte classes: 0 white, 1 lower case or beyond ASCII, 2 upper case, 3 digit, 4 stop, 5 comma, 6 "!", 7 "|", 8 other.
+#: Byte classes: 0 white, 1 lower case or beyond ASCII, 2 upper case, 3 digits and the signs of ordinary
+#: numbers, addresses and quotations, 4 stop, 5 comma, 6 "!", 7 "|", 8 other.
 _CLASS = np.full(256, 8, np.uint8)
 _CLASS[[9, 10, 11, 12, 13, 32]] = 0
 _CLASS[97:123] = _CLASS[128:] = 1
 _CLASS[65:91] = 2
 _CLASS[48:58] = 3
+_CLASS[list(b"+-()@:;'\"/?=_")] = 3
 for _char, _class in ((".", 4), (",", 5), ("!", 6), ("|", 7)):
     _CLASS[ord(_char)] = _class
 
@@ -46,7 +48,7 @@ LABELLERS = (
     ("bars", 0.15, None),
     ("repeats", 0.30, None),  # share of words equal to the word before
     ("few_words", 0.65, 0.55),  # 1 - distinct words / words, in windows of 64 words
-    ("unclean", 0.40, 0.15),  # share of words that hold a sign other than . and ,
+    ("unclean", 0.40, 0.15),  # share of words that hold a sign of classes 6 to 8
     ("signs", 0.12, 0.06),  # share of signs among the characters that are not white
 )
 
@@ -67,7 +69,7 @@ def statistics(text: str) -> tuple[np.ndarray | None, np.ndarray]:
     solid = max(len(c) - count[0], 1)
     white = c == 0
     starts = np.flatnonzero(~white & np.concatenate(([True], white[:-1])))
-    odd = np.add.reduceat((c == 3) | (c >= 6), starts) > 0 if len(starts) else np.zeros(1, bool)
+    odd = np.add.reduceat(c >= 6, starts) > 0 if len(starts) else np.zeros(1, bool)
     windows = [words[i : i + 64] for i in range(0, n, 64)]
     if len(windows) > 1 and len(windows[-1]) < 32:
         windows.pop()
@@ -159,6 +161,7 @@ def classify_quality(
     along inside ``row``, whatever their names.
     """
     spark = docs.sparkSession
+    ship_package(spark)
     draw = F.xxhash64(F.col(id_col), F.substring(text_of(text_col), 1, 64))
     seen = docs.select(draw.alias("draw"), text_of(text_col).alias("text"))
 

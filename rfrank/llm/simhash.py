@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, text_of
+from .common import materialize, ship_package, text_of
 from .components import components
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit, bits
@@ -120,6 +120,7 @@ def near_links(fps: DataFrame, max_bits: int = 4) -> DataFrame:
     """
     if not 0 <= max_bits <= 4:
         raise ValueError("three segments hold at most 4 differing bits")
+    ship_package(fps.sparkSession)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,6 +184,7 @@ def simhash_dedup(
             column = pa.array(np.array(found, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), column], ["row", "id", "fingerprint"])
 
+    ship_package(docs.sparkSession)
     source = docs.select(F.struct(*carry).alias("row"), F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     schema = T.StructType([source.schema["row"], source.schema["id"], T.StructField("fingerprint", T.LongType())])
     printed = materialize(
