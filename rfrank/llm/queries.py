@@ -7,6 +7,7 @@ from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .knn import OP3_SQL, op3_top_k
 from .mixing import OP1_SQL, op1_mix_sources
 from .packing import op10_pack
+from .pii import op5_pii
 from .quality import op2_quality
 from .simhash import op8_simhash
 
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_quality": op2_quality,
     "op3_top_k": op3_top_k,
+    "op5_pii": op5_pii,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_simhash": op8_simhash,
     "op9_chat": op9_chat,
