@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat import OP9_SQL, op9_chat
 from .exact_dedup import OP7_SQL, op7_exact_dedup
+from .html_text import op6_html_text
 from .knn import OP3_SQL, op3_top_k
 from .mixing import OP1_SQL, op1_mix_sources
 from .packing import op10_pack
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op3_top_k": op3_top_k,
     "op5_pii": op5_pii,
+    "op6_html_text": op6_html_text,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_simhash": op8_simhash,
     "op9_chat": op9_chat,
