@@ -11,11 +11,13 @@ from .packing import op10_pack
 from .pii import op5_pii
 from .quality import op2_quality
 from .simhash import op8_simhash
+from .substrings import op4_substring_dedup
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_quality": op2_quality,
     "op3_top_k": op3_top_k,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_pii": op5_pii,
     "op6_html_text": op6_html_text,
     "op7_exact_dedup": op7_exact_dedup,
