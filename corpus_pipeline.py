@@ -1,3 +1,75 @@
-STAGES = []
+"""A training-data pipeline over ``documents``: five stages, each one operator of ``rfrank.llm``.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
+again as the next one's ``docs``. All but the last return the columns of ``docs`` as they were given.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rfrank.llm.common import materialize
+from rfrank.llm.exact_dedup import exact_dedup
+from rfrank.llm.mixing import mix_sources
+from rfrank.llm.packing import pack
+from rfrank.llm.quality import classify_quality
+from rfrank.llm.simhash import simhash_dedup
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return classify_quality(docs).filter("accepted").select("row.*")
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts equal but for white space one stays."""
+    return exact_dedup(docs).filter("kept").select("row.*")
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest id stays."""
+    return simhash_dedup(docs).filter("kept").select("row.*")
+
+
+def mixed_text(text, size, taken):
+    """One text for each time the mix takes a document: whole ones, and the first words of it for the cut."""
+    whole = F.when(size > 0, F.floor(taken / size)).otherwise(0).cast("int")
+    left = F.when(size > 0, taken % size).otherwise(0)
+    words = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    cut = F.when(left > 0, F.array(F.array_join(F.slice(words, F.lit(1), left.cast("int")), " "))).otherwise(F.array().cast("array<string>"))
+    return F.concat(F.array_repeat(text, whole), cut)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's budget asks; the one at the cut keeps its first words only."""
+    taken = mix_sources(docs).filter("taken > 0")
+    text = F.coalesce(F.col("row")["text"], F.lit(""))
+    copies = taken.select("row", F.explode(mixed_text(text, F.col("size"), F.col("taken"))).alias("mixed"))
+    return copies.select(
+        *[
+            F.col("mixed").alias(c) if c == "text" else F.length("mixed").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("row")[c].alias(c)
+            for c in docs.columns
+        ]
+    )
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of at most 4096, piece by piece."""
+    import public_tokenizers
+
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("quality", quality), ("exact_dedup", exact), ("near_dedup", near), ("mix", mix), ("pack", packing)]
+
+#: Trained classifier, XXH64 fingerprints and subword tokens are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir): raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
