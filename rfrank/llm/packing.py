@@ -21,7 +21,11 @@ from .common import materialize, ship_package, text_of
 #: Sequence numbers: a partition's own from ``partition << 34``; those of merged leftovers from here.
 MERGED = 1 << 62
 
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 1_000_000
+
+
+#: Byte-level vocabularies write a byte as a character: printable Latin-1 as itself, the rest from U+0100 on.
+_BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 
 
 class WordTokenizer:
@@ -42,30 +46,28 @@ class WordTokenizer:
     def _full(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _word(self, word: str) -> bytes:
-        if word.isascii() and word.islower() and word.isalpha():
-            return np.array([t.id for t in self.model.tokenize(word)], "<u4").tobytes()
+    def _word(self, word: str, plain: bool) -> bytes:
+        if plain and word.isalpha():  # one piece of the splitting pattern, so the merges apply at once
+            return np.array([t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(_BYTE_CHARS))], "<u4").tobytes()
         if word[-1] in ",." and word[:-1].isalpha():
             found = self.cache.get(word[:-1])
-            return (self._word(word[:-1]) if found is None else found) + self.marks[word[-1]]
+            return (self._word(word[:-1], plain) if found is None else found) + self.marks[word[-1]]
         return self._full(word)
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        if text.isascii():
-            text = text.lower()
-        else:
-            try:
-                text = text.encode("latin-1").decode("latin-1").lower()
-            except UnicodeEncodeError:
-                pass
+        try:
+            text.encode("latin-1")
+            text, plain = text.lower(), True
+        except UnicodeEncodeError:
+            plain = False
         # Split at ASCII white space only: other kinds stay inside a word, which is encoded whole.
         words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         cache, out = self.cache, []
         for w in words:
             ids = cache.get(w)
             if ids is None:
-                ids = self._word(w) if w else b""
+                ids = self._word(w, plain) if w else b""
                 if len(w) <= 40:
                     if len(cache) >= self.limit:
                         cache.clear()
