@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -63,26 +63,37 @@ def page_systems(pages: DataFrame, max_pages: int = 3) -> DataFrame:
 def explode_devices(systems: DataFrame, source_no: int = 0) -> DataFrame:
     """One row for each device of (system_no, devices, licence), numbers and geometry parsed.
 
-    A null or empty list of devices gives no row, a null licence or location empty fields.
+    A null or empty list of devices gives no row, a null licence or location empty fields. Devices are
+    parsed before they are exploded: what follows then refers to finished columns, where the optimizer
+    would otherwise repeat the parsers in every filter.
     """
-    device = F.col("device")
-    geom = F.coalesce(device["location"]["geom"]["string"], device["location"]["geom"]["wkt"])
-    return (
-        systems.select("system_no", "licence", F.posexplode("devices").alias("device_no", "device"))
-        .withColumn("at", text.geometry(geom))
-        .select(
-            F.struct(F.lit(source_no).alias("source_no"), "system_no", "device_no").alias("ord"),
+
+    def parsed(device: Column) -> Column:
+        place = device["location"]
+        return F.struct(
             F.coalesce(device["callsign"], F.lit("")).alias("callsign"),
-            F.coalesce(device["location"]["name"], F.lit("")).alias("name"),
-            F.coalesce(device["location"]["state"], F.lit("")).alias("state"),
+            F.coalesce(place["name"], F.lit("")).alias("name"),
+            F.coalesce(place["state"], F.lit("")).alias("state"),
             text.as_float(device["frequency"]).alias("freq"),
-            F.col("at.lat").alias("lat"),
-            F.col("at.lon").alias("lon"),
+            text.geometry(F.coalesce(place["geom"]["string"], place["geom"]["wkt"])).alias("at"),
             device["antennaHeight"].alias("height_m"),
             text.as_float(device["eirp"]).alias("eirp_w"),
             text.as_float(device["transmitPower"]).alias("transmit_w"),
             device["antenna"]["gain"].alias("gain_dbi"),
-            F.coalesce("licence.type", F.lit("")).alias("licence_type"),
-            F.coalesce("licence.subtype", F.lit("")).alias("licence_subtype"),
         )
+
+    return systems.select("system_no", "licence", F.posexplode(F.transform("devices", parsed)).alias("device_no", "d")).select(
+        F.struct(F.lit(source_no).alias("source_no"), "system_no", "device_no").alias("ord"),
+        "d.callsign",
+        "d.name",
+        "d.state",
+        "d.freq",
+        F.col("d.at.lat").alias("lat"),
+        F.col("d.at.lon").alias("lon"),
+        "d.height_m",
+        "d.eirp_w",
+        "d.transmit_w",
+        "d.gain_dbi",
+        F.coalesce("licence.type", F.lit("")).alias("licence_type"),
+        F.coalesce("licence.subtype", F.lit("")).alias("licence_subtype"),
     )
