@@ -166,6 +166,7 @@ def simhash_dedup(
     text_col: str = "text",
     shingle_words: int = 4,
     max_bits: int = 4,
+    sieve_buckets: int = 1 << 20,
 ) -> DataFrame:
     """Near-duplicate groups: documents linked by fingerprints at most ``max_bits`` apart, transitively.
 
@@ -178,27 +179,42 @@ def simhash_dedup(
     gives an empty result. Other columns ride along inside ``row``, whatever their names.
     """
 
+    whole = list(carry) == ["*"]  # then the text travels inside the row, once
+
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(t.as_py(), shingle_words) for t in batch.column(2)]
+            texts = batch.column(0).field(text_col) if whole else batch.column(2)
+            found = [fingerprint(t.as_py() or "", shingle_words) for t in texts]
             column = pa.array(np.array(found, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), column], ["row", "id", "fingerprint"])
 
     ship_package(docs.sparkSession)
-    source = docs.select(F.struct(*carry).alias("row"), F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    source = docs.select(F.struct(*carry).alias("row"), F.col(id_col).alias("id"), *([] if whole else [text_of(text_col).alias("text")]))
     schema = T.StructType([source.schema["row"], source.schema["id"], T.StructField("fingerprint", T.LongType())])
     printed = materialize(
         source.mapInArrow(prints, schema).withColumn("uid", F.monotonically_increasing_id()), "simhash"
     )
     best = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "uid")).alias("best")
-    fps = materialize(printed.groupBy(F.col("fingerprint").alias("fp")).agg(best), "simhash-distinct")
+    fps = materialize(printed.groupBy(F.col("fingerprint").alias("fp")).agg(best, F.count(F.lit(1)).alias("n")), "simhash-distinct")
     roots = components(near_links(fps, max_bits))
-    rooted = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "best", F.coalesce("root", "fp").alias("root"))
-    groups = rooted.groupBy("root").agg(F.min("best").alias("best"))
-    of_print = rooted.select("fp", "root").join(groups, "root").select("fp", "best")
-    return printed.join(of_print, printed["fingerprint"] == of_print["fp"]).select(
-        "row", "fingerprint", F.col("best.id").alias("component_id"), (F.col("uid") == F.col("best.uid")).alias("kept")
+    # Written, so that the joins read both sides afresh and a large component can be split over tasks.
+    rooted = materialize(fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "best", "n", F.coalesce("root", "fp").alias("root")), "simhash-rooted")
+    groups = materialize(rooted.groupBy("root").agg(F.min("best").alias("best"), F.sum("n").alias("n")), "simhash-groups")
+    of_print = materialize(rooted.select("fp", "root").join(groups.filter("n > 1"), "root").select("fp", "best"), "simhash-shared")
+    # Rows with company are told from the others by a sieve of at most ``sieve_buckets`` rows; a collision
+    # only sends a row to the join that finds nothing there.
+    bucket = F.pmod(F.xxhash64("fp"), F.lit(sieve_buckets)).cast("int").alias("bucket")
+    sieve = of_print.select(bucket).distinct().withColumn("hit", F.lit(True))
+    sieved = printed.withColumnRenamed("fingerprint", "fp").withColumn("bucket", bucket).join(F.broadcast(sieve), "bucket", "left")
+    alone = sieved.filter("hit is null").select("row", "fp", F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    shared = sieved.filter("hit").join(of_print, "fp", "left")
+    grouped = shared.select(
+        "row",
+        "fp",
+        F.when(F.col("best").isNull(), F.col("id")).otherwise(F.col("best.id")).alias("component_id"),
+        (F.col("best").isNull() | (F.col("uid") == F.col("best.uid"))).alias("kept"),
     )
+    return alone.unionByName(grouped).withColumnRenamed("fp", "fingerprint")
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
