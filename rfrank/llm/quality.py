@@ -157,8 +157,9 @@ def classify_quality(
 
     The scorer is fitted on the ``sample_rows`` documents whose text and id hash lowest; vote counts,
     labeller accuracies and scores cover every document. A null text counts as empty; on texts of fewer
-    than ``MIN_WORDS`` words labellers abstain and the score is the share of junk. Repeated rows are scored alike; an empty table gives an empty result. Other columns ride
-    along inside ``row``, whatever their names.
+    than ``MIN_WORDS`` words labellers abstain and the score is the share of junk. Repeated rows are
+    scored alike; an empty table gives an empty result. Other columns ride along inside ``row``,
+    whatever their names.
     """
     spark = docs.sparkSession
     ship_package(spark)
@@ -192,7 +193,8 @@ def classify_quality(
     weights, bias = fit_scorer(x.astype(np.float64), y)
     weights = weights.astype(np.float32)
 
-    source = docs.select(F.struct(*carry).alias("row"), text_of(text_col).alias("text"))
+    whole = list(carry) == ["*"]  # then the text travels inside the row, once
+    source = docs.select(F.struct(*carry).alias("row"), *([] if whole else [text_of(text_col).alias("text")]))
     schema = T.StructType(
         [source.schema["row"], T.StructField("junk_score", T.DoubleType()), T.StructField("votes", T.IntegerType())]
     )
@@ -200,8 +202,8 @@ def classify_quality(
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores, code = [], []
-            for t in batch.column(1):
-                found, f = statistics(t.as_py())
+            for t in batch.column(0).field(text_col) if whole else batch.column(1):
+                found, f = statistics(t.as_py() or "")
                 code.append(votes(found))
                 scores.append(float(1 / (1 + np.exp(-np.clip(f @ weights + bias, -60, 60)))) if found is not None else share)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(code, pa.int32())], ["row", "junk_score", "votes"])
