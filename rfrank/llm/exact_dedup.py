@@ -6,7 +6,7 @@ of the whole. The full hash is taken only of texts whose (length, prefix) group
 Plan: one scan counts (length, prefix hash) pairs, pre-aggregated on the map side. The surviving pairs
 are folded into at most ``sieve_buckets`` bucket numbers, so the table that is broadcast to the second
 scan has a fixed bound whatever the corpus holds; a bucket collision costs one needless hash and never
-changes a result. The second scan hashes the survivors. Groups are then counts and minima, which
+changes a result. A second scan hashes and writes the survivors, a third returns the rest as it is. Groups are then counts and minima, which
 combine before the shuffle; rows meet their group's figures in a join that adaptive execution can
 split, so a group holding a third of all rows is never gathered in one task.
 """
@@ -60,27 +60,26 @@ def exact_dedup(
     bucket = F.pmod(F.xxhash64("n_norm", "prefix"), F.lit(sieve_buckets)).cast("int")
     sieve = prefixes.select(bucket.alias("bucket")).distinct().withColumn("hit", F.lit(True))
 
-    # Level 3: the full hash of what is left. The row number is fixed by the write.
-    hashed = materialize(
-        scan.withColumn("bucket", bucket)
-        .join(F.broadcast(sieve), "bucket", "left")
-        .select(
-            "row",
-            "id",
-            "n_chars",
-            "n_norm",
-            F.when(F.col("hit"), F.sha2("norm", 256)).alias("full_hash"),
-            F.monotonically_increasing_id().alias("uid"),
-        ),
-        "exact-hashed",
+    # Level 3: the full hash of what is left; its rows are numbered once, by the write. The rest is done.
+    sieved = scan.withColumn("bucket", bucket).join(F.broadcast(sieve), "bucket", "left")
+    alone = sieved.filter("hit is null").select(
+        "row",
+        F.lit(None).cast("string").alias("full_hash"),
+        F.col("id").alias("keep_id"),
+        F.lit(1).cast("long").alias("group_size"),
+        F.lit(True).alias("kept"),
     )
-    alone = hashed.filter("full_hash is null").select(
-        "row", "full_hash", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept")
+    shared = materialize(
+        sieved.filter("hit").select("row", "id", "n_chars", "n_norm", F.sha2("norm", 256).alias("full_hash"), F.monotonically_increasing_id().alias("uid")),
+        "exact-shared",
     )
-    shared = hashed.filter("full_hash is not null")
-    groups = shared.groupBy("n_norm", "full_hash").agg(
-        F.count(F.lit(1)).alias("group_size"),
-        F.min(F.struct((-F.col("n_chars")).alias("less"), F.col("id").isNull().alias("no_id"), "id", "uid")).alias("best"),
+    # Written, so that the join reads both sides afresh and a large group's rows can be split over tasks.
+    groups = materialize(
+        shared.groupBy("n_norm", "full_hash").agg(
+            F.count(F.lit(1)).alias("group_size"),
+            F.min(F.struct((-F.col("n_chars")).alias("less"), F.col("id").isNull().alias("no_id"), "id", "uid")).alias("best"),
+        ),
+        "exact-groups",
     )
     grouped = shared.join(groups, ["n_norm", "full_hash"]).select(
         "row", "full_hash", F.col("best.id").alias("keep_id"), "group_size", (F.col("uid") == F.col("best.uid")).alias("kept")
