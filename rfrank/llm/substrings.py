@@ -203,11 +203,13 @@ def remove_repeats(
         "repeats-anchors",
     )
     # Gram hashes that occur twice, and whether with different segments.
-    twice = (
+    # Written, so that the join reads both sides afresh and a frequent gram's anchors can be split over tasks.
+    twice = materialize(
         found.groupBy("fp")
         .agg(F.count(F.lit(1)).alias("n"), F.min("seg").alias("least"), F.max("seg").alias("most"))
         .filter("n > 1")
-        .select("fp", (F.col("least") != F.col("most")).alias("mixed"))
+        .select("fp", (F.col("least") != F.col("most")).alias("mixed")),
+        "repeats-twice",
     )
     hits = materialize(found.join(twice, "fp"), "repeats-hits")
     place = F.struct("k1", "k2", "p", "first", "last")
