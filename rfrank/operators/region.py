@@ -81,6 +81,3 @@ def nearby_states(points: DataFrame, key: str, lat: str = "lat", lon: str = "lon
     )
     kept = F.filter(F.slice(near, 1, MOST_STATES), lambda s, i: (i == 0) | (s["d"] < STATE_REACH_DEGREES))
     return points.select(key, F.posexplode(kept).alias("state_no", "s")).select(key, (F.col("state_no") + 1).alias("state_no"), "s.state")
-
-
-
