@@ -1,6 +1,5 @@
 """Search, personal data, chat, pages and quality: brute force, round trips and held-out accuracy."""
 
-import hashlib
 import html as entities
 import random
 import re
