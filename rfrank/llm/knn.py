@@ -62,7 +62,7 @@ def top_k(
     scale: int = 1024,
     k: int = 10,
     pivots: int = 64,
-    block: int = 4096,
+    block: int = 1024,
 ) -> DataFrame:
     """The ``k`` other vectors with the highest integer inner product, for each row where ``is_query`` holds.
 
