@@ -246,9 +246,9 @@ def match_nearest(spark, sf_dir):
     found = ranking.in_broadcast_band(derived.devices(spark, sf_dir), CONFIG)
     # Frequencies come from three short progressions, 40 of them at most whatever the table holds.
     first = derived.measurements(spark, sf_dir).groupBy("freq_mhz").agg(F.min("ordinal").alias("ordinal")).orderBy("ordinal").collect()
-    numbers = F.array(*[F.lit(r["ordinal"]) for r in first]) if first else F.array().cast("array<bigint>")
+    numbers = F.array(*[F.lit(r["ordinal"]).cast("bigint") for r in first]) if first else F.array().cast("array<bigint>")
     matched = match.match_values(found, [{"freq_mhz": r["freq_mhz"]} for r in first])
-    return matched.select(F.col("ord.system_no").alias("k"), F.coalesce(F.get(numbers, F.col("m.ordinal").cast("int")), F.lit(-1)).alias("ordinal"))
+    return matched.select(F.col("ord.system_no").alias("k"), F.coalesce(F.get(numbers, F.col("m.ordinal").cast("int")), F.lit(-1).cast("bigint")).alias("ordinal"))
 
 
 @query("match_nearest_bins", NEAREST)
