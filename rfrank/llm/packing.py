@@ -21,7 +21,7 @@ from .common import materialize, ship_package, text_of
 #: Sequence numbers: a partition's own from ``partition << 34``; those of merged leftovers from here.
 MERGED = 1 << 62
 
-_CACHE_WORDS = 1_000_000
+_CACHE_WORDS = 500_000
 
 
 #: Byte-level vocabularies write a byte as a character: printable Latin-1 as itself, the rest from U+0100 on.
