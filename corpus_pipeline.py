@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from rfrank.llm.common import materialize
 from rfrank.llm.exact_dedup import exact_dedup
+from rfrank.llm.minhash import jaccard_dedup
 from rfrank.llm.mixing import mix_sources
 from rfrank.llm.packing import pack
 from rfrank.llm.quality import classify_quality
-from rfrank.llm.simhash import simhash_dedup
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +28,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
-    return simhash_dedup(docs).filter("kept").select("row.*")
+    """Of each group of near-duplicates (5-word shingles 0.8 alike, or SimHash as op8) that with the smallest id stays."""
+    return jaccard_dedup(docs, max_bits=4).filter("kept").select("row.*")
 
 
 def mixed_text(text, size, taken):

@@ -159,6 +159,28 @@ def near_links(fps: DataFrame, max_bits: int = 4) -> DataFrame:
     )
 
 
+def grouped(printed: DataFrame, fps: DataFrame, roots: DataFrame, sieve_buckets: int) -> DataFrame:
+    """The groups of rows (``printed``) whose distinct fingerprints (``fps``) hang on ``roots``."""
+    # Written, so that the joins read both sides afresh and a large component can be split over tasks.
+    rooted = materialize(fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "best", "n", F.coalesce("root", "fp").alias("root")), "simhash-rooted")
+    groups = materialize(rooted.groupBy("root").agg(F.min("best").alias("best"), F.sum("n").alias("n")), "simhash-groups")
+    of_print = materialize(rooted.select("fp", "root").join(groups.filter("n > 1"), "root").select("fp", "best"), "simhash-shared")
+    # Rows with company are told from the others by a sieve of at most ``sieve_buckets`` rows; a collision
+    # only sends a row to the join that finds nothing there.
+    bucket = F.pmod(F.xxhash64("fp"), F.lit(sieve_buckets)).cast("int").alias("bucket")
+    sieve = of_print.select(bucket).distinct().withColumn("hit", F.lit(True))
+    sieved = printed.withColumnRenamed("fingerprint", "fp").withColumn("bucket", bucket).join(F.broadcast(sieve), "bucket", "left")
+    alone = sieved.filter("hit is null").select("row", "fp", F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    shared = sieved.filter("hit").join(of_print, "fp", "left")
+    grouped = shared.select(
+        "row",
+        "fp",
+        F.when(F.col("best").isNull(), F.col("id")).otherwise(F.col("best.id")).alias("component_id"),
+        (F.col("best").isNull() | (F.col("uid") == F.col("best.uid"))).alias("kept"),
+    )
+    return alone.unionByName(grouped).withColumnRenamed("fp", "fingerprint")
+
+
 def simhash_dedup(
     docs: DataFrame,
     carry: Sequence[Column | str] = ("*",),
@@ -196,25 +218,7 @@ def simhash_dedup(
     )
     best = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "uid")).alias("best")
     fps = materialize(printed.groupBy(F.col("fingerprint").alias("fp")).agg(best, F.count(F.lit(1)).alias("n")), "simhash-distinct")
-    roots = components(near_links(fps, max_bits))
-    # Written, so that the joins read both sides afresh and a large component can be split over tasks.
-    rooted = materialize(fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "best", "n", F.coalesce("root", "fp").alias("root")), "simhash-rooted")
-    groups = materialize(rooted.groupBy("root").agg(F.min("best").alias("best"), F.sum("n").alias("n")), "simhash-groups")
-    of_print = materialize(rooted.select("fp", "root").join(groups.filter("n > 1"), "root").select("fp", "best"), "simhash-shared")
-    # Rows with company are told from the others by a sieve of at most ``sieve_buckets`` rows; a collision
-    # only sends a row to the join that finds nothing there.
-    bucket = F.pmod(F.xxhash64("fp"), F.lit(sieve_buckets)).cast("int").alias("bucket")
-    sieve = of_print.select(bucket).distinct().withColumn("hit", F.lit(True))
-    sieved = printed.withColumnRenamed("fingerprint", "fp").withColumn("bucket", bucket).join(F.broadcast(sieve), "bucket", "left")
-    alone = sieved.filter("hit is null").select("row", "fp", F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    shared = sieved.filter("hit").join(of_print, "fp", "left")
-    grouped = shared.select(
-        "row",
-        "fp",
-        F.when(F.col("best").isNull(), F.col("id")).otherwise(F.col("best.id")).alias("component_id"),
-        (F.col("best").isNull() | (F.col("uid") == F.col("best.uid"))).alias("kept"),
-    )
-    return alone.unionByName(grouped).withColumnRenamed("fp", "fingerprint")
+    return grouped(printed, fps, components(near_links(fps, max_bits)), sieve_buckets)
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:

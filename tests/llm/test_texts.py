@@ -165,6 +165,58 @@ def test_dense_and_sparse_fingerprints(spark, spread):
 # Mixing
 
 
+def test_jaccard_groups_against_all_pairs(spark):
+    """The stage's links reach similarity 0.8: small groups, and one too large for pairs."""
+    import corpus_pipeline
+
+    from rfrank.llm.minhash import jaccard_dedup
+
+    rng = random.Random(11)
+
+    def changed(words, times):
+        words = list(words)
+        for _ in range(times):
+            words[rng.randrange(len(words))] = f"n{rng.randrange(10**6)}"
+        return " ".join(words)
+
+    texts = [None, "", " \t", "one two", "One  two", "one two three"]
+    for k in range(60):
+        base = [f"w{rng.randrange(500)}" for _ in range(rng.choice((20, 150, 400)))]
+        texts += [changed(base, round(t * len(base) / 100)) for t in (0, 1, 2, 3)]
+    base = [f"w{rng.randrange(500)}" for _ in range(200)]
+    texts += [changed(base, 2) for _ in range(60)]
+    rows = [(i, t, "en", "s", len(t or ""), "r", "k", 5) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
+
+    def shingled(t):
+        words = (t or "").lower().split()
+        return {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))} if words else set()
+
+    sets, root = [shingled(t) for t in texts], list(range(len(texts)))
+    between = 0
+    for b in range(len(texts)):
+        for a in range(b):
+            union = len(sets[a] | sets[b])
+            alike = len(sets[a] & sets[b]) / union if union else 1
+            if alike >= 0.8:
+                between += alike < 0.95
+                x, y = sorted((root[a], root[b]))
+                root = [x if r == y else r for r in root]
+    assert between > 500
+    both, prints = list(root), [fingerprint(t or "") for t in texts]
+    for b in range(len(texts)):
+        for a in range(b):
+            if (prints[a] ^ prints[b]).bit_count() <= 4:
+                x, y = sorted((both[a], both[b]))
+                both = [x if z == y else z for z in both]
+    for buckets in (1 << 20, 2):
+        got = jaccard_dedup(docs, sieve_buckets=buckets).select("row.doc_id", "component_id", F.col("kept").alias("stays")).collect()
+        assert {r.doc_id: r.component_id for r in got} == dict(enumerate(root))
+        assert sorted(r.doc_id for r in got if r.stays) == sorted(set(root))
+    stage = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, "")
+    assert sorted(r.doc_id for r in stage.collect()) == sorted(set(both))
+
+
 def test_mix(docs):
     got = mix_sources(docs).select(F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"), "size", "source_size", "target", "taken").collect()
     assert len(got) == len(awkward())
