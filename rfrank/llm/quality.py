@@ -35,7 +35,13 @@ for _char, _class in ((".", 4), (",", 5), ("!", 6), ("|", 7)):
 
 DIMS = 1024  # class trigrams take the first 729; binned statistics are hashed into the rest
 _GRAMS = 9**3
-MIN_WORDS = 5
+#: Of fewer words, labellers that compare words tell nothing; the others take the text for one of so many words
+#: and ``MIN_CHARS`` characters, since one mark or acronym is much of a short text, or, where a script has no
+#: spaces, for one word in every ``WORD_BYTES``.
+MIN_WORDS, MIN_CHARS, WORD_BYTES = 5, 25, 8
+SEVERAL_WORDS = [3 < k < 6 for k in range(8)]  # repeats, few_words
+#: The score of a text without a word, whatever the corpus: there is nothing to reject.
+EMPTY_SCORE = 0.0
 #: A labeller is taken to call at most this share of clean texts junk.
 MAX_FALSE_ALARMS = 0.01
 
@@ -54,7 +60,7 @@ LABELLERS = (
 
 
 def statistics(text: str) -> tuple[np.ndarray | None, np.ndarray]:
-    """The labellers' statistics (None for a text of too few words to tell) and the hashed features."""
+    """The labellers' statistics (None for a text without a word; NaN where words are too few) and the hashed features."""
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
     features = np.zeros(DIMS, np.float32)
     words = text.split()
@@ -74,22 +80,29 @@ def statistics(text: str) -> tuple[np.ndarray | None, np.ndarray]:
     if len(windows) > 1 and len(windows[-1]) < 32:
         windows.pop()
     few = np.mean([1 - len(set(w)) / len(w) for w in windows])
+    short, letters, odds = n < MIN_WORDS, count[2] + np.count_nonzero((raw >= 97) & (raw < 123)), odd.sum()
+    if short:
+        n, solid, letters = max(MIN_WORDS, solid / WORD_BYTES), max(solid, MIN_CHARS), max(letters, MIN_CHARS)
     found = np.array(
         [
             count[8] / n,
             count[6] / n,
-            count[2] / max(count[2] + np.count_nonzero((raw >= 97) & (raw < 123)), 1),
+            count[2] / max(letters, 1),
             count[7] / n,
             sum(map(str.__eq__, words, words[1:])) / n,
             few,
-            odd.mean(),
+            odds / n if short else odd.mean(),
             (count[6] + count[7] + count[8]) / solid,
         ]
     )
+    if short:
+        found[SEVERAL_WORDS] = np.nan  # neither bound holds
     for k, x in enumerate(found):
+        if np.isnan(x):
+            continue
         bin_ = min(int(x * 20), 19)
         features[_GRAMS + (k * 2654435761 + bin_ * 40503) % (DIMS - _GRAMS)] += 0.25
-    return (found if n >= MIN_WORDS else None), features
+    return found, features
 
 
 def votes(found: np.ndarray | None) -> int:
@@ -156,9 +169,9 @@ def classify_quality(
     (probability of junk by the scorer), ``votes`` and ``accepted`` (score below ``threshold``).
 
     The scorer is fitted on the ``sample_rows`` documents whose text and id hash lowest; vote counts,
-    labeller accuracies and scores cover every document. A null text counts as empty; on texts of fewer
-    than ``MIN_WORDS`` words labellers abstain and the score is the share of junk. Repeated rows are
-    scored alike; an empty table gives an empty result. Other columns ride along inside ``row``,
+    labeller accuracies and scores cover every document. A null text counts as empty. A text without a
+    word has the score ``EMPTY_SCORE``, any other the scorer's; on texts of fewer than ``MIN_WORDS``
+    words labellers that compare words abstain. Repeated rows are scored alike; an empty table gives an empty result. Other columns ride along inside ``row``,
     whatever their names.
     """
     spark = docs.sparkSession
@@ -176,7 +189,7 @@ def classify_quality(
         empty = T.StructType([docs.select(F.struct(*carry).alias("row")).schema["row"]])
         return spark.createDataFrame([], empty).select("row", F.lit(0.0).alias("junk_score"), F.lit(0).alias("votes"), F.lit(True).alias("accepted"))
     codes = patterns["votes"].to_numpy()
-    posterior, _, share = fit_label_model(codes, patterns["count"].to_numpy())
+    posterior, *_ = fit_label_model(codes, patterns["count"].to_numpy())
 
     limit = voted.select("draw").orderBy("draw").limit(sample_rows).agg(F.max("draw")).first()[0]
 
@@ -205,7 +218,7 @@ def classify_quality(
             for t in batch.column(0).field(text_col) if whole else batch.column(1):
                 found, f = statistics(t.as_py() or "")
                 code.append(votes(found))
-                scores.append(float(1 / (1 + np.exp(-np.clip(f @ weights + bias, -60, 60)))) if found is not None else share)
+                scores.append(float(1 / (1 + np.exp(-np.clip(f @ weights + bias, -60, 60)))) if found is not None else EMPTY_SCORE)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(code, pa.int32())], ["row", "junk_score", "votes"])
 
     return source.mapInArrow(score, schema).withColumn("accepted", F.col("junk_score") < threshold)

@@ -272,6 +272,19 @@ def test_quality_edges(spark):
     assert quality.classify_quality(frame.limit(0)).count() == 0
 
 
+def test_quality_scores_short_texts(spark):
+    """Texts of one to four words are told apart whatever the share of junk; the empty text has one decision."""
+    rng = np.random.default_rng(4)
+    clean = [" ".join("".join(rng.choice(list("aeinorst"), rng.integers(2, 9))) + rng.choice(["", "", "", "."]) for _ in range(30)) for _ in range(150)]
+    junk = ["".join(rng.choice(["#", "*", "~", "^", "ab", "$", " "], 120)) for _ in range(150)]
+    short = ["That*** atly.###", "##$$ **~~", "walked home", "The river.", "Hello!", "USA", "Price: $5", "わたしたちは川まで歩いて帰りました。" * 20, "", None]
+    for n_clean, n_junk in ((150, 15), (15, 150)):
+        texts = [*short, *clean[:n_clean], *junk[:n_junk]]
+        frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        found = {r.doc_id: r.accepted for r in quality.classify_quality(frame).select("row.doc_id", "accepted").collect()}
+        assert [found[i] for i in range(len(short))] == [False, False] + [True] * 8
+
+
 def test_label_model_finds_junk_and_accuracies():
     rng = np.random.default_rng(1)
     m, n = len(quality.LABELLERS), 20_000
