@@ -1,7 +1,7 @@
 """Exact top-k inner-product search: a Voronoi kNN join.
 
 Vectors are grouped by their nearest pivot. A summary per group (size, radius, and the distances of the
-k + 1 members nearest to the pivot) bounds every score from both sides: for a member x of the group of
+k + 1 nearest members of different ids) bounds every score from both sides: for a member x of the group of
 pivot p, ``q.p - |q| d(p, x) <= q.x <= q.p + |q| radius``. The lower bounds give each query a score that
 its k-th best certainly reaches; it is then sent only to groups whose upper bound reaches that too. Each
 group is solved locally in blocks of bounded size, and the blocks' top k are merged.
@@ -44,11 +44,10 @@ def _top(query_ids, data_ids, found: np.ndarray, k: int) -> pd.DataFrame:
     data_ids, found = data_ids[order], found[:, order]
     out = []
     for q, row in zip(query_ids, found, strict=True):
-        best = np.arange(len(row))
-        if len(row) > 2 * k + 2:
-            floor = np.partition(row, len(row) - k - 1)[len(row) - k - 1]
-            best = np.flatnonzero(row >= floor)
-        best = best[data_ids[best] != q]
+        best = np.flatnonzero(data_ids != q)
+        if len(best) > 2 * k + 2:
+            floor = np.partition(row[best], len(best) - k)[len(best) - k]
+            best = best[row[best] >= floor]
         best = best[np.argsort(-row[best], kind="stable")][:k]
         out.append(pd.DataFrame({"query_id": q, "vec_id": data_ids[best], "score": row[best]}))
     return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
@@ -117,9 +116,11 @@ def top_k(
     celled = materialize(
         packed.mapInPandas(assign, "vec_id bigint, dim int, v binary, is_query boolean, cell int, far double"), "knn-cells"
     )
+    # Of different ids, so that k remain beside the query's own rows, however many these are.
     near = Window.partitionBy("dim", "cell").orderBy("far")
-    nearest = celled.withColumn("n", F.row_number().over(near)).filter(F.col("n") <= k + 1)
-    lows = nearest.groupBy("dim", "cell").agg(F.collect_list("far").alias("lows"))
+    of_id = celled.groupBy("dim", "cell", "vec_id").agg(F.min("far").alias("far"))
+    nearest = of_id.withColumn("n", F.row_number().over(near)).filter(F.col("n") <= k + 1)
+    lows = nearest.groupBy("dim", "cell").agg(F.collect_list(F.struct("far", "vec_id")).alias("lows"))
     totals = celled.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("size"), F.max("far").alias("radius"))
     summary: dict[int, list] = {}
     for r in totals.join(lows, ["dim", "cell"]).orderBy("dim", "cell").collect():
@@ -138,7 +139,8 @@ def top_k(
                 cells = summary[dim]
                 p = chosen[dim][[c[0] for c in cells]]
                 radius = np.array([c[2] for c in cells])
-                lows = np.concatenate([c[3] for c in cells])
+                lows = np.array([x[0] for c in cells for x in c[3]])
+                ids = np.array([x[1] for c in cells for x in c[3]])
                 of = np.repeat(np.arange(len(cells)), [len(c[3]) for c in cells])
                 x = _matrix(part["v"], dim).astype(np.float64)
                 for at in range(0, len(x), 256):
@@ -147,8 +149,8 @@ def top_k(
                     norm, dot = np.sqrt((q * q).sum(1)), q @ p.T
                     slack = 1e-9 * (np.abs(dot).max(1) + norm * (1 + radius.max())) + 1e-9
                     low = dot[:, of] - norm[:, None] * lows
-                    # One of the k + 1 may be the query itself.
-                    floor = np.sort(low, axis=1)[:, -(k + 1)] if low.shape[1] > k else np.full(len(q), -np.inf)
+                    low[some["vec_id"].to_numpy()[:, None] == ids] = -np.inf  # the query's own rows are no candidates
+                    floor = np.sort(low, axis=1)[:, -k] if low.shape[1] >= k else np.full(len(q), -np.inf)
                     reach = dot + norm[:, None] * radius >= (floor - 2 * slack)[:, None]
                     for i, c in zip(*np.nonzero(reach), strict=True):
                         cell, size = cells[c][:2]

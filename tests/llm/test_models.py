@@ -254,6 +254,26 @@ def test_deep_and_long_pages():
 # Quality
 
 
+def test_top_k_with_copies_of_query_rows(spark):
+    """The query's own rows, however many, prune nothing; as in the SQL, each row of a query brings its list."""
+    from rfrank.llm.knn import _top, top_k
+
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((2000, 8))
+    x[0] *= 0.05  # its own rows are nearer to any pivot of their own than others, and score low
+    ids = np.array([*range(2000), *[0] * 11])
+    x = np.concatenate([x, np.repeat(x[:1], 11, 0)])
+    frame = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    v = np.floor(1024 * x).astype(np.int64)
+    for query, n, pivots in ((0, 12, 64), (0, 12, 2000), (7, 1, 64)):
+        got = top_k(frame, F.col("vec_id") == query, pivots=pivots).orderBy("rank").collect()
+        found = v @ v[query]
+        want = sorted((-int(s), int(i)) for s, i in zip(found, ids, strict=True) if i != query for _ in range(n))[:10]
+        assert [(-r.score, r.vec_id) for r in got] == want
+    own = _top([0], np.array([0] * 12 + list(range(1, 40))), np.array([[100] * 12 + list(range(39))]), 10)
+    assert own["score"].tolist() == list(range(38, 28, -1))
+
+
 def test_quality_on_held_out_labels(spark, sf_dir):
     docs, gold = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     found = quality.classify_quality(docs, carry=["doc_id"]).select("row.doc_id", "accepted").join(gold, "doc_id").toPandas()
