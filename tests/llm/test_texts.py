@@ -17,7 +17,7 @@ from rfrank.llm.exact_dedup import exact_dedup
 from rfrank.llm.mixing import mix_sources
 from rfrank.llm.packing import WordTokenizer, pack
 from rfrank.llm.simhash import fingerprint, simhash_dedup
-from rfrank.llm.substrings import intervals, remove_repeats, shared_offsets
+from rfrank.llm.substrings import Suffixes, intervals, remove_repeats, repeat_groups, shared_offsets
 
 WHITE = " \t\n\x0b\x0c\r"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, kept string, size int"
@@ -339,7 +339,94 @@ def test_removal_of_awkward_texts(docs):
     assert removal(docs) == brute_removal([r[1] for r in awkward()], 400)
 
 
+def pasted(seed, n=30, most=60):
+    """Texts of a small alphabet with pieces of each other."""
+    rng = random.Random(seed)
+    alphabet = ["ab", "ba", "é", "c", "日", " "]
+    pool = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(1, most))) for _ in range(n)]
+    texts = [None, "", "a" * 70, "ab" * 40, pool[0], pool[0], *pool]
+    return texts + ["".join(rng.choice(pool)[rng.randrange(5) :][: rng.randrange(most)] for _ in range(3)) for _ in range(n)]
+
+
+def brute_groups(raws, length):
+    """Every maximal repeat: (bytes, set of (document, start))."""
+    most = max(map(len, raws))
+    out, by = {}, defaultdict(set)
+    for size in range(length, most + 1):
+        by = defaultdict(set)
+        for d, r in enumerate(raws):
+            for i in range(len(r) - size + 1):
+                by[r[i : i + size]].add((d, i))
+        by = {w: at for w, at in by.items() if len(at) > 1}
+        if not by:
+            break
+        for w, at in by.items():
+            before = {raws[d][i - 1] if i else (d, i) for d, i in at}
+            after = {raws[d][i + size] if i + size < len(raws[d]) else (d, i) for d, i in at}
+            if len(before) > 1 and len(after) > 1:
+                out[w] = at
+    return out
+
+
+@pytest.mark.parametrize("length, gram, most_local", [(12, 8, 16_384), (20, 10, 16_384)])
+def test_repeat_groups(spark, length, gram, most_local):
+    texts = pasted(length)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = repeat_groups(docs, length=length, gram=gram, most_local=most_local).collect()
+    found = defaultdict(set)
+    for r in rows:
+        found[r.group_id, r.n_bytes, r.n_occurrences].add((r.id, r.start))
+    raws = [(t or "").encode() for t in texts]
+    got = {}
+    for (_, size, n), at in found.items():
+        assert len(at) == n
+        (string,) = {raws[d][i : i + size] for d, i in at}
+        assert string not in got
+        got[string] = at
+    assert got == brute_groups(raws, length)
+
+
+def test_repeat_groups_of_a_frequent_gram(spark):
+    """Past ``most_local`` segments windows are counted, each with all of its occurrences."""
+    texts = pasted(5)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    raws = [(t or "").encode() for t in texts]
+    found = defaultdict(set)
+    for r in repeat_groups(docs, length=16, gram=8, most_local=1).collect():
+        found[r.group_id, r.n_bytes, r.n_occurrences].add((r.id, r.start))
+    assert found
+    for (_, size, n), at in found.items():
+        (string,) = {raws[d][i : i + size] for d, i in at}
+        assert len(at) == n and at == {(d, i) for d, r in enumerate(raws) for i in range(len(r)) if r.startswith(string, i)}
+
+
+@pytest.mark.parametrize("most_local", [16_384, 1])
+def test_passages(spark, most_local):
+    """Runs of strings that another document holds too; repeats inside one document do not count."""
+    texts = [*pasted(9), "xyz" * 40]
+    ids = [i // 2 for i in range(len(texts))]
+    keys = list(zip(ids, texts, strict=True))
+    docs = spark.createDataFrame(keys, "doc_id long, text string").repartition(3)
+    found = remove_repeats(docs, carry=["doc_id", "text"], length=40, passage=14, gram=8, most_local=most_local)
+    rows = [(r.row.doc_id, r.row.text, [(p.low, p.high, p.words) for p in r.passages]) for r in found.collect()]
+    holders = defaultdict(set)
+    for key in keys:
+        raw = (key[1] or "").encode()
+        for i in range(len(raw) - 13):
+            holders[raw[i : i + 14]].add(key)
+    for doc_id, text, passages in rows:
+        raw = (text or "").encode()
+        cover = bytearray(len(raw))
+        for i in range(len(raw) - 13):
+            if len(holders[raw[i : i + 14]]) > 1:
+                cover[i : i + 14] = b"\1" * 14
+        want = [(m.start(), m.end(), len(raw[m.start() : m.end()].split())) for m in re.finditer(b"\1+", bytes(cover))]
+        assert passages == want, (doc_id, text)
+
+
 def test_interval_tree():
+    tree = Suffixes([b"ab", b"ab", b"ax", b"ab"], [b"1234", b"1234x", b"12zz", b"12zy"], 3)
+    assert sorted((left, depth, sorted(m.tolist())) for left, depth, m in tree.repeats()) == [(1, 2, [0, 1, 2, 3]), (1, 3, [2, 3]), (2, 2, [0, 1, 3]), (2, 4, [0, 1])]
     assert sorted(intervals([2, 3, 0, 1])) == sorted([(3, 1, 2), (2, 0, 2), (1, 3, 4), (0, 0, 4)])
     assert list(intervals([])) == []
     # Two members share 3 to the left and 4 to the right of the anchor, the third less.
