@@ -33,23 +33,31 @@ def cardinal(bearing: Column) -> Column:
     return F.element_at(F.array(*[F.lit(c) for c in CARDINALS]), at + 1)
 
 
-def grid_cell(lat: Column, lon: Column) -> Column:
-    """The one-degree cell of a point, as one number."""
-    row = F.least(F.floor(lat + 90), F.lit(179))
-    return (row * 360 + F.pmod(F.floor(lon), F.lit(360))).cast("int")
+def cells_per_degree(km: float) -> int:
+    """How finely to cut degrees for circles of about so many kilometres: a radius spans two cells or a little more,
+    so a circle touches some thirty cells, and these hold about twice its area."""
+    return max(1, min(1000, round(2 * KM_PER_DEGREE / max(km, 0.1))))
 
 
-def cells_in_reach(lat: Column, lon: Column, km: Column) -> Column:
-    """The one-degree cells that a circle may touch, across the date line and over the poles."""
+def grid_cell(lat: Column, lon: Column, per_degree: int = 1) -> Column:
+    """The cell of a point, as one number; ``per_degree`` rows and columns to a degree."""
+    n = per_degree
+    row = F.least(F.floor((lat + 90) * n), F.lit(180 * n - 1))
+    return row * (360 * n) + F.pmod(F.floor(lon * n), F.lit(360 * n))
+
+
+def cells_in_reach(lat: Column, lon: Column, km: Column, per_degree: int = 1) -> Column:
+    """The cells that a circle may touch, across the date line and over the poles."""
+    n = per_degree
     reach = km / KM_PER_DEGREE
     low, high = F.greatest(lat - reach, F.lit(-90.0)), F.least(lat + reach, F.lit(90.0))
-    rows = F.sequence(F.least(F.floor(low + 90), F.lit(179)), F.least(F.floor(high + 90), F.lit(179)))
+    rows = F.sequence(F.least(F.floor((low + 90) * n), F.lit(180 * n - 1)), F.least(F.floor((high + 90) * n), F.lit(180 * n - 1)))
     # The widest parallel that the circle touches is the one nearest to a pole.
     steep = F.greatest(F.abs(low), F.abs(high))
     wide = F.when(steep >= 89.0, F.lit(180.0)).otherwise(
         F.degrees(F.asin(F.least(F.sin(F.least(km / EARTH_RADIUS_KM, F.lit(1.5))) / F.cos(F.radians(steep)), F.lit(1.0)))) + 0.01
     )
-    columns = F.when(wide >= 90.0, F.sequence(F.lit(0).cast("long"), F.lit(359).cast("long"))).otherwise(
-        F.transform(F.sequence(F.floor(lon - wide), F.floor(lon + wide)), lambda c: F.pmod(c, F.lit(360)))
+    columns = F.when(wide >= 90.0, F.sequence(F.lit(0).cast("long"), F.lit(360 * n - 1).cast("long"))).otherwise(
+        F.transform(F.sequence(F.floor((lon - wide) * n), F.floor((lon + wide) * n)), lambda c: F.pmod(c, F.lit(360 * n)))
     )
-    return F.flatten(F.transform(rows, lambda r: F.transform(columns, lambda c: (r * 360 + c).cast("int"))))
+    return F.flatten(F.transform(rows, lambda r: F.transform(columns, lambda c: r * (360 * n) + c)))

@@ -16,11 +16,6 @@ def elevation_table(raw: DataFrame) -> DataFrame:
     )
 
 
-def wanted_places(towers: DataFrame) -> DataFrame:
-    """The distinct places of ranked towers, as elevations are asked for."""
-    return towers.select(F.col("latitude").alias("lat6"), F.col("longitude").alias("lon6")).distinct()
-
-
 def altitude(elevation: Column, height: Column) -> Column:
     return F.bround(elevation + F.coalesce(height, F.lit(0.0)), 1)
 
@@ -45,8 +40,31 @@ def strongest_by_band(measurements: DataFrame) -> DataFrame:
     )
 
 
-def result_documents(towers: DataFrame) -> DataFrame:
-    """One JSON document for each receiver: its towers by rank, and their count."""
+def result_documents(towers: DataFrame, receivers: DataFrame, source: Column | str = "us") -> DataFrame:
+    """(receiver_id, document): for each receiver a JSON answer of its towers by rank, the query, and the count.
+
+    ``receivers`` (receiver_id, rx_lat, rx_lon, radius_km[, altitude_m]) are what was asked; one without towers
+    gets an empty list. Fields without a value are null in the document. A list has at most the rows that were
+    asked for.
+    """
     fields = [c for c in towers.columns if c != "receiver_id"]
-    listed = F.array_sort(F.collect_list(F.struct("rank", *[c for c in fields if c != "rank"])))
-    return towers.groupBy("receiver_id").agg(F.to_json(listed).alias("towers"), F.count(F.lit(1)).alias("n_towers"))
+    listed = F.struct("rank", *[c for c in fields if c != "rank"])
+    found = towers.groupBy("receiver_id").agg(F.array_sort(F.collect_list(listed)).alias("towers"))
+    altitude_m = F.col("altitude_m") if "altitude_m" in receivers.columns else F.lit(0.0)
+    asked = F.struct(
+        F.col("rx_lat").alias("latitude"), F.col("rx_lon").alias("longitude"), altitude_m.alias("altitude_m"), "radius_km",
+        (F.lit(source) if isinstance(source, str) else source).alias("source"),
+    )
+    both = receivers.select("receiver_id", asked.alias("query")).join(found, "receiver_id", "left")
+    towers_ = F.coalesce("towers", F.array().cast(found.schema["towers"].dataType))
+    document = F.struct(towers_.alias("towers"), "query", F.size(towers_).alias("count"))
+    return both.select("receiver_id", F.to_json(document, {"ignoreNullFields": "false"}).alias("document"))
+
+
+def write_captures(systems: DataFrame, ranked: DataFrame, folder: str) -> None:
+    """Keep raw systems and the towers ranked from them as JSON lines, in ``folder``/raw and /matched.
+
+    ``read_systems`` reads the raw ones back, in the order of ``system_no``.
+    """
+    systems.repartitionByRange("system_no").sortWithinPartitions("system_no").select("id", "devices", "licence").write.json(f"{folder}/raw", ignoreNullFields=False)
+    ranked.write.json(f"{folder}/matched", ignoreNullFields=False)

@@ -36,15 +36,20 @@ def match_values(towers: DataFrame, measurements: Sequence[dict], freq: str = "f
     return towers.withColumn("m", best["m"])
 
 
+def _bin(mhz: Column, width: Column) -> Column:
+    return F.floor(mhz / (width * 1.001))
+
+
 def _pairs(towers: DataFrame, measurements: DataFrame, freq: str, band: str, same_band: bool) -> tuple[DataFrame, DataFrame, Column]:
     """Both sides keyed by (tolerance, bin), and what a pair must satisfy: an equi-join in place of a range join.
 
-    Measurements go into their own bin and both neighbours, once for each tolerance in use.
+    Measurements go into their own bin and both neighbours, once for each tolerance in use. Bins are a little
+    wider than the tolerance, so that rounding never parts a pair by two.
     """
     widths = F.array(*[F.lit(t) for t in sorted({*rf.TOLERANCE_MHZ.values(), rf.OTHER_TOLERANCE_MHZ})])
-    binned = measurements.withColumn("width", F.explode(widths)).withColumn("own", F.floor(F.col("freq_mhz") / F.col("width")))
+    binned = measurements.withColumn("width", F.explode(widths)).withColumn("own", _bin(F.col("freq_mhz"), F.col("width")))
     binned = binned.withColumn("bin", F.explode(F.array(F.col("own") - 1, F.col("own"), F.col("own") + 1))).drop("own")
-    keyed = towers.withColumn("width", rf.tolerance_mhz(F.col(band))).withColumn("bin", F.floor(F.col(freq) / F.col("width")))
+    keyed = towers.withColumn("width", rf.tolerance_mhz(F.col(band))).withColumn("bin", _bin(F.col(freq), F.col("width")))
     close = F.abs(F.col("m.freq_mhz") - F.col(f"t.{freq}")) <= F.col("t.width")
     on = (F.col("t.width") == F.col("m.width")) & (F.col("t.bin") == F.col("m.bin")) & close
     if same_band:
@@ -60,7 +65,7 @@ def match_nearest(towers: DataFrame, measurements: DataFrame, key: Sequence[str]
     frequency nor a busy bin multiplies rows beyond the towers in it.
     """
     first = measurements.groupBy("freq_mhz").agg(F.min(F.struct("ordinal", *FIELDS)).alias("f")).select("freq_mhz", "f.*")
-    t, m, on = _pairs(towers.select(*key, freq, band), first, freq, band, False)
+    t, m, on = _pairs(towers.select(*dict.fromkeys([*key, freq, band])), first, freq, band, False)
     best = (
         t.join(m, on)
         .groupBy(*[F.col(f"t.{k}").alias(k) for k in key])
@@ -79,9 +84,9 @@ def supported(towers: DataFrame, measurements: DataFrame, freq: str = "frequency
 def unmatched(towers: DataFrame, measurements: DataFrame, freq: str = "frequency_mhz", band: str = "band") -> DataFrame:
     """Measurements without a tower of their own band within its tolerance."""
     width = rf.tolerance_mhz(F.col("band"))
-    m = measurements.withColumn("width", width).withColumn("bin", F.floor(F.col("freq_mhz") / width)).alias("m")
+    m = measurements.withColumn("width", width).withColumn("bin", _bin(F.col("freq_mhz"), width)).alias("m")
     own = towers.select(F.col(freq).alias("f"), F.col(band).alias("b")).distinct().withColumn("w", rf.tolerance_mhz(F.col("b")))
-    own = own.withColumn("o", F.floor(F.col("f") / F.col("w")))
+    own = own.withColumn("o", _bin(F.col("f"), F.col("w")))
     own = own.withColumn("o", F.explode(F.array(F.col("o") - 1, F.col("o"), F.col("o") + 1))).alias("t")
     on = (F.col("m.band") == F.col("t.b")) & (F.col("m.bin") == F.col("t.o")) & (F.abs(F.col("m.freq_mhz") - F.col("t.f")) <= F.col("m.width"))
     return m.join(own, on, "left_anti").drop("width", "bin")
@@ -89,7 +94,8 @@ def unmatched(towers: DataFrame, measurements: DataFrame, freq: str = "frequency
 
 def recall(ranked: DataFrame, measurements: DataFrame) -> DataFrame:
     """Matched towers over signals, as one row; 0 without signals, and above 1 if towers share one."""
-    matched = ranked.agg(F.count_if("frequency_matched").alias("n_matched"))
-    signals = measurements.agg(F.count(F.lit(1)).alias("n_signals"))
-    both = matched.withColumn("one", F.lit(1)).join(signals.withColumn("one", F.lit(1)), "one").drop("one")
-    return both.withColumn("recall", F.coalesce(F.try_divide(F.col("n_matched").cast("double"), "n_signals"), F.lit(0.0)))
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    matched = ranked.select(F.when(F.col("frequency_matched"), one).otherwise(zero).alias("n_matched"), zero.alias("n_signals"))
+    both = matched.unionByName(measurements.select(zero.alias("n_matched"), one.alias("n_signals")))
+    sums = both.agg(*[F.coalesce(F.sum(c), zero).alias(c) for c in ("n_matched", "n_signals")])
+    return sums.withColumn("recall", F.coalesce(F.try_divide(F.col("n_matched").cast("double"), "n_signals"), F.lit(0.0)))

@@ -11,9 +11,6 @@ from ..functions import geo, rf
 from ..plans.config import RankingConfig
 from .match import match_nearest, match_values
 
-#: The most rows that a request may ask for; a bound known to the optimizer lets it rank before the shuffle.
-MAX_ROWS = 200
-
 
 def in_broadcast_band(devices: DataFrame, config: RankingConfig) -> DataFrame:
     """Devices with a frequency in a broadcast band, which is added."""
@@ -25,14 +22,16 @@ def located(devices: DataFrame) -> DataFrame:
     return devices.filter("lat is not null and lon is not null and not isnan(lat) and not isnan(lon)")
 
 
-def in_radius(devices: DataFrame, receivers: DataFrame) -> DataFrame:
+def in_radius(devices: DataFrame, receivers: DataFrame, typical_km: float = 80.0) -> DataFrame:
     """Pairs of device and receiver (receiver_id, rx_lat, rx_lon, radius_km) at most the radius apart.
 
-    An equi-join on one-degree cells finds the candidates, each pair once; the distance decides. Neither
-    side is broadcast by hint: Spark does so if its statistics say that receivers are few.
+    An equi-join on cells finds the candidates, each pair once; the distance decides. The cells fit
+    radii of ``typical_km``; others give the same pairs from more cells or more candidates. Neither side is
+    broadcast by hint: Spark does so if its statistics say that receivers are few.
     """
-    reach = receivers.withColumn("cell", F.explode(F.array_distinct(geo.cells_in_reach(F.col("rx_lat"), F.col("rx_lon"), F.col("radius_km").cast("double")))))
-    keyed = devices.withColumn("cell", geo.grid_cell(F.col("lat"), F.col("lon")))
+    n = geo.cells_per_degree(typical_km)
+    reach = receivers.withColumn("cell", F.explode(F.array_distinct(geo.cells_in_reach(F.col("rx_lat"), F.col("rx_lon"), F.col("radius_km").cast("double"), n))))
+    keyed = devices.withColumn("cell", geo.grid_cell(F.col("lat"), F.col("lon"), n))
     distance = geo.haversine_km(F.col("rx_lat"), F.col("rx_lon"), F.col("lat"), F.col("lon"))
     return keyed.join(reach, "cell").drop("cell").withColumn("dist", distance).filter(F.col("dist") <= F.col("radius_km"))
 
@@ -110,10 +109,16 @@ def sort_columns(config: RankingConfig, towers: DataFrame) -> list[Column]:
     return [*out, F.col("first_ord").asc()]
 
 
-def rank(towers: DataFrame, config: RankingConfig) -> DataFrame:
-    """The first ``max_rows`` of each receiver, numbered from 1."""
+def rank(towers: DataFrame, config: RankingConfig, most_rows: int | None = None) -> DataFrame:
+    """The first ``max_rows`` of each receiver, numbered from 1.
+
+    ``most_rows``, where the caller knows that no ``max_rows`` exceeds it, lets Spark rank before the shuffle.
+    """
     order = Window.partitionBy("receiver_id").orderBy(*sort_columns(config, towers))
-    return towers.withColumn("rank", F.row_number().over(order)).filter((F.col("rank") <= MAX_ROWS) & (F.col("rank") <= F.col("max_rows"))).drop("max_rows", "ord", "first_ord")
+    numbered = towers.withColumn("rank", F.row_number().over(order))
+    if most_rows is not None:
+        numbered = numbered.filter(F.col("rank") <= most_rows)
+    return numbered.filter(F.col("rank") <= F.col("max_rows")).drop("max_rows", "ord", "first_ord")
 
 
 def with_defaults(receivers: DataFrame, config: RankingConfig) -> DataFrame:
@@ -124,28 +129,43 @@ def with_defaults(receivers: DataFrame, config: RankingConfig) -> DataFrame:
     return receivers
 
 
-def candidates(devices: DataFrame, receivers: DataFrame, config: RankingConfig) -> DataFrame:
+def candidates(devices: DataFrame, receivers: DataFrame, config: RankingConfig, typical_km: float | None = None) -> DataFrame:
     """All that can be ranked: in band, located, in radius, audible."""
-    pairs = in_radius(located(in_broadcast_band(devices, config)), with_defaults(receivers, config))
+    pairs = in_radius(located(in_broadcast_band(devices, config)), with_defaults(receivers, config), typical_km or config.default_radius_km)
     return audible(pairs, config)
 
 
-def rank_towers(devices: DataFrame, receivers: DataFrame, config: RankingConfig, measurements: DataFrame | Sequence[dict] | None = None) -> DataFrame:
+def tuned(devices: DataFrame, config: RankingConfig) -> DataFrame:
+    """The different (freq, band) of devices: what a match depends on, whoever receives it."""
+    return in_broadcast_band(devices, config).select("freq", "band").distinct()
+
+
+def rank_towers(
+    devices: DataFrame,
+    receivers: DataFrame,
+    config: RankingConfig,
+    measurements: DataFrame | Sequence[dict] | None = None,
+    typical_km: float | None = None,
+    most_rows: int | None = None,
+) -> DataFrame:
     """Rank the towers around each receiver.
 
     With measurements (a DataFrame, or a short list) only towers that one of them matches are ranked;
     an empty list means none were sent. The strongest row of a key is chosen before unmatched ones go, so
-    a key whose strongest row is unmatched goes as a whole.
+    a key whose strongest row is unmatched goes as a whole. A match depends on frequency and band only, so a
+    table of measurements meets the different ones of these, not the pairs of device and receiver.
+
+    ``typical_km`` and ``most_rows`` say what radii and row limits receivers with their own ones have.
     """
-    found = candidates(devices, receivers, config)
+    found = candidates(devices, receivers, config, typical_km)
     given = measurements is not None and not (isinstance(measurements, Sequence) and not measurements)
     if not given:
         found = match_values(found, [])
     elif isinstance(measurements, Sequence):
         found = match_values(found, measurements)
     else:
-        found = match_nearest(found, measurements, ["receiver_id", "ord"])
+        found = found.join(match_nearest(tuned(devices, config), measurements, ["freq", "band"]), ["freq", "band"], "left")
     towers = keep_strongest(project(found, config))
     if given:
         towers = towers.filter("frequency_matched")
-    return rank(towers, config)
+    return rank(towers, config, config.default_limit if "max_rows" not in receivers.columns else most_rows)

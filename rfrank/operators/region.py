@@ -21,17 +21,19 @@ STATES = {
 STATE_REACH_DEGREES, MOST_STATES = 4.0, 5
 
 
-def classify(points: DataFrame, edges: DataFrame, x: str = "lon", y: str = "lat") -> DataFrame:
+def classify(points: DataFrame, edges: DataFrame, x: str = "lon", y: str = "lat", rows_per_degree: int = 4) -> DataFrame:
     """Adds ``region``, the first (by region_no) whose polygon covers the point, boundary included; else null.
 
-    Ray casting over all rings (so holes count), and a test of lying on an edge. Borders are gathered as
-    one array of edges per region: they are a dimension of a few countries, its size fixed by the border
-    file. The points are not shuffled.
+    Ray casting over all rings (so holes count), and a test of lying on an edge. A ray to the east meets
+    only edges that reach its own latitude, so edges are gathered by rows of latitude, and each point is
+    joined to the edges of its row: an equi-join that keeps points single.
     """
     side = F.struct("x1", "y1", "x2", "y2")
-    regions = edges.groupBy("region_no", "region").agg(F.collect_list(side).alias("edges"))
-    all_of = regions.agg(F.array_sort(F.collect_list(F.struct("region_no", "region", "edges"))).alias("regions")).withColumn("one", F.lit(1))
+    row_of = lambda y: F.floor(y * rows_per_degree)
     px, py = F.col(x), F.col(y)
+    spread = edges.withColumn("_row", F.explode(F.sequence(row_of(F.least("y1", "y2")), row_of(F.greatest("y1", "y2")))))
+    regions = spread.groupBy("_row", "region_no", "region").agg(F.collect_list(side).alias("edges"))
+    all_of = regions.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("region_no", "region", "edges"))).alias("_regions"))
 
     def on(e: Column) -> Column:
         cross = (e["x2"] - e["x1"]) * (py - e["y1"]) - (e["y2"] - e["y1"]) * (px - e["x1"])
@@ -45,9 +47,9 @@ def classify(points: DataFrame, edges: DataFrame, x: str = "lon", y: str = "lat"
     def covers(r: Column) -> Column:
         return F.exists(r["edges"], on) | (F.size(F.filter(r["edges"], crossed)) % 2 == 1)
 
-    joined = points.withColumn("one", F.lit(1)).join(all_of, "one", "left").drop("one")
-    found = F.get(F.filter("regions", covers), F.lit(0))["region"]
-    return joined.withColumn("region", found).drop("regions")
+    joined = points.withColumn("_row", row_of(py)).join(all_of, "_row", "left")
+    found = F.get(F.filter("_regions", covers), F.lit(0))["region"]
+    return joined.withColumn("region", found).drop("_row", "_regions")
 
 
 def source_of(region: Column) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -13,6 +12,7 @@ from .functions import geo, rf, text
 from .functions.sql import register
 from .operators import enrich, match, ranking, region
 from .plans.config import RankingConfig
+from .shared import shared_dir
 from .sources import derived, regions, stations, sweep, systems
 from .streaming import sweep as stream
 
@@ -40,11 +40,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 # The SQL's common tables -----------------------------------------------------------------------------
 
 D = """d AS (
-  SELECT p_partkey AS k, 'W' || (p_partkey % 400)::VARCHAR AS callsign, p_name AS name, 'S' || (p_partkey % 50)::VARCHAR AS state,
-         (CASE WHEN p_partkey % 8 <= 2 THEN 879 + 2 * (p_partkey % 40) WHEN p_partkey % 8 <= 4 THEN 1770 + 60 * (p_partkey % 5)
-               WHEN p_partkey % 8 <= 6 THEN 4730 + 60 * (p_partkey % 20) ELSE 3000 END)::DOUBLE / 10 AS freq,
-         (348526 + 10 * ((7919 * p_partkey) % 2001 - 1000))::DOUBLE / 10000 AS lat,
-         (-823940 + 10 * ((104729 * p_partkey) % 2001 - 1000))::DOUBLE / 10000 AS lon,
+  SELECT p_partkey AS k, 'W' || (p_partkey % 100)::VARCHAR AS callsign, p_name AS name, 'S' || (p_partkey % 50)::VARCHAR AS state,
+         (CASE WHEN p_partkey % 8 <= 2 THEN 879 + 4 * (p_partkey % 51) WHEN p_partkey % 8 <= 4 THEN 1770 + 60 * (p_partkey % 7)
+               WHEN p_partkey % 8 <= 6 THEN 4730 + 120 * (p_partkey % 12) ELSE 3000 END)::DOUBLE / 10 AS freq,
+         (CASE WHEN p_partkey % 3 = 0 THEN 348526 + 10 * ((7919 * p_partkey) % 2001 - 1000) ELSE 250000 + (7919 * p_partkey) % 240001 END)::DOUBLE / 10000 AS lat,
+         (CASE WHEN p_partkey % 3 = 0 THEN -823940 + 10 * ((104729 * p_partkey) % 2001 - 1000) ELSE -1240000 + (104729 * p_partkey) % 570001 END)::DOUBLE / 10000 AS lon,
          (p_partkey % 300)::DOUBLE AS height_m,
          CASE WHEN p_partkey % 6 <> 0 THEN p_retailprice END AS eirp_w,
          CASE WHEN p_partkey % 12 <> 0 THEN p_size * 0.001::DOUBLE END AS transmit_w
@@ -56,15 +56,16 @@ D = """d AS (
 )"""
 M = """m AS (
   SELECT event_id AS ordinal,
-         (CASE event_id % 3 WHEN 0 THEN 879 + 2 * (event_id % 25) WHEN 1 THEN 1770 + 60 * (event_id % 3) ELSE 4740 + 60 * (event_id % 12) END)::DOUBLE / 10 AS freq_mhz,
+         (CASE event_id % 3 WHEN 0 THEN 87900 + (37 * event_id) % 12001 WHEN 1 THEN 174000 + (53 * event_id) % 20001 ELSE 470000 + (71 * event_id) % 60001 END)::DOUBLE / 1000 AS freq_mhz,
          (event_id % 60)::DOUBLE AS snr_db, (event_id % 100)::DOUBLE / 100 AS obw_fraction, least(value / 500, 1.0::DOUBLE) AS score,
          (-(event_id % 90))::DOUBLE AS power_db, CASE event_id % 3 WHEN 0 THEN 'FM' WHEN 1 THEN 'VHF' ELSE 'UHF' END AS band
-  FROM events WHERE event_id % 97 = 0
+  FROM events
 )"""
 ONE = "r AS (SELECT 1 AS receiver_id, 34.8526::DOUBLE AS rx_lat, -82.394::DOUBLE AS rx_lon, 80.0::DOUBLE AS radius_km, 100 AS max_rows)"
 MANY = """r AS (
-  SELECT s_suppkey AS receiver_id, (348526 + 1000 * (s_suppkey % 21 - 10))::DOUBLE / 10000 AS rx_lat,
-         (-823940 + 1000 * ((7 * s_suppkey) % 21 - 10))::DOUBLE / 10000 AS rx_lon,
+  SELECT s_suppkey AS receiver_id,
+         (CASE WHEN s_suppkey % 3 = 0 THEN 348526 + 10 * ((7919 * s_suppkey) % 2001 - 1000) ELSE 250000 + (7919 * s_suppkey) % 240001 END)::DOUBLE / 10000 AS rx_lat,
+         (CASE WHEN s_suppkey % 3 = 0 THEN -823940 + 10 * ((104729 * s_suppkey) % 2001 - 1000) ELSE -1240000 + (104729 * s_suppkey) % 570001 END)::DOUBLE / 10000 AS rx_lon,
          (20 + s_suppkey % 30)::DOUBLE AS radius_km, 5 + s_suppkey % 7 AS max_rows
   FROM supplier
 )"""
@@ -82,12 +83,12 @@ LOSS = "CASE WHEN dist <= 0 OR freq <= 0 THEN 0 ELSE 20 * log10(dist * 1000) + 2
 CLASS = "CASE WHEN dist < 0 THEN 'Far' WHEN dist < 8 THEN 'Too Close' WHEN dist < 30 THEN 'Ideal' WHEN dist < 60 THEN 'Good' ELSE 'Far' END"
 NO_MATCH = "x AS (SELECT *, false AS hit, NULL::DOUBLE AS snr_db, NULL::DOUBLE AS score, NULL::DOUBLE AS power_db, NULL::DOUBLE AS obw_fraction FROM p)"
 MATCH = """n AS (
-  SELECT p.receiver_id, p.k, m.snr_db, m.score, m.power_db, m.obw_fraction,
-         row_number() OVER (PARTITION BY p.receiver_id, p.k ORDER BY abs(m.freq_mhz - p.freq), m.ordinal) AS nth
-  FROM p JOIN m ON abs(m.freq_mhz - p.freq) <= p.tol
+  SELECT f.freq, f.tol, m.snr_db, m.score, m.power_db, m.obw_fraction,
+         row_number() OVER (PARTITION BY f.freq, f.tol ORDER BY abs(m.freq_mhz - f.freq), m.ordinal) AS nth
+  FROM (SELECT DISTINCT freq, tol FROM p) f JOIN m ON abs(m.freq_mhz - f.freq) <= f.tol
 ), x AS (
-  SELECT p.*, n.k IS NOT NULL AS hit, n.snr_db, n.score, n.power_db, n.obw_fraction
-  FROM p LEFT JOIN n ON n.receiver_id = p.receiver_id AND n.k = p.k AND n.nth = 1
+  SELECT p.*, n.freq IS NOT NULL AS hit, n.snr_db, n.score, n.power_db, n.obw_fraction
+  FROM p LEFT JOIN n ON n.freq = p.freq AND n.tol = p.tol AND n.nth = 1
 )"""
 
 
@@ -156,7 +157,7 @@ def rank_by_power(spark, sf_dir):
 @query("rank_receivers", ranked_sql(MANY, matched=True, order=BY_POWER_SQL))
 def rank_receivers(spark, sf_dir):
     """Every receiver at once."""
-    return ranking.rank_towers(derived.devices(spark, sf_dir), derived.receivers(spark, sf_dir), BY_POWER, derived.measurements(spark, sf_dir))
+    return ranking.rank_towers(derived.devices(spark, sf_dir), derived.receivers(spark, sf_dir), BY_POWER, derived.measurements(spark, sf_dir), typical_km=35.0, most_rows=11)
 
 
 @query("top_k", ranked_sql(columns="callsign, frequency_mhz, rank").replace("rank <= max_rows", "rank <= 10"))
@@ -176,11 +177,31 @@ def project_tower(spark, sf_dir):
     return found.withColumn("k", F.col("ord.system_no")).drop("ord", "receiver_id", "max_rows")
 
 
-@query("result_json", f"SELECT receiver_id, count(*)::BIGINT AS n_towers FROM ({ranked_sql(MANY, order=BY_POWER_SQL)}) GROUP BY receiver_id")
+@query(
+    "result_json",
+    f"WITH {MANY}, z AS ({ranked_sql(MANY, order=BY_POWER_SQL)}), g AS (SELECT receiver_id, count(*)::BIGINT AS n, string_agg(rank || ':' || callsign || ':' || band, ',' ORDER BY rank) AS listed,"
+    " min_by(frequency_mhz, rank) AS first_mhz, max_by(received_power_dbm, rank) AS last_dbm, max_by(licence_subtype, rank) AS last_subtype, count(snr_db) AS n_snr FROM z GROUP BY receiver_id)"
+    " SELECT receiver_id, coalesce(n, 0)::BIGINT AS n_towers, rx_lat AS latitude, rx_lon AS longitude, radius_km, 'us' AS source, coalesce(listed, '') AS listed, first_mhz, last_dbm, last_subtype,"
+    " coalesce(n_snr, 0)::BIGINT AS n_snr FROM r LEFT JOIN g USING (receiver_id)",
+)
 def result_json(spark, sf_dir):
-    ranked = ranking.rank_towers(derived.devices(spark, sf_dir), derived.receivers(spark, sf_dir), BY_POWER)
-    made = enrich.result_documents(ranked)
-    return made.select("receiver_id", F.size(F.from_json("towers", "array<struct<rank:int>>")).cast("long").alias("n_towers"))
+    """Answers as JSON documents, read back."""
+    receivers = derived.receivers(spark, sf_dir)
+    ranked = ranking.rank_towers(derived.devices(spark, sf_dir), receivers, BY_POWER, typical_km=35.0, most_rows=11)
+    tower = "struct<rank:int,callsign:string,band:string,frequency_mhz:double,received_power_dbm:double,licence_subtype:string,snr_db:double>"
+    document = f"struct<towers:array<{tower}>,query:struct<latitude:double,longitude:double,radius_km:double,source:string>,count:bigint>"
+    made = enrich.result_documents(ranked, receivers).select("receiver_id", F.from_json("document", document).alias("d"))
+    first, last = F.try_element_at("d.towers", F.lit(1)), F.try_element_at("d.towers", F.lit(-1))
+    return made.select(
+        "receiver_id",
+        F.col("d.count").alias("n_towers"),
+        "d.query.*",
+        F.array_join(F.transform("d.towers", lambda t: F.concat_ws(":", t["rank"], t["callsign"], t["band"])), ",").alias("listed"),
+        first["frequency_mhz"].alias("first_mhz"),
+        last["received_power_dbm"].alias("last_dbm"),
+        last["licence_subtype"].alias("last_subtype"),
+        F.size(F.filter("d.towers", lambda t: t["snr_db"].isNotNull())).cast("long").alias("n_snr"),
+    )
 
 
 # Filters ---------------------------------------------------------------------------------------------
@@ -242,17 +263,16 @@ NEAREST = f"""WITH {D}, {M}, n AS (
 
 @query("match_nearest", NEAREST)
 def match_nearest(spark, sf_dir):
-    """Against a list of values: the distinct frequencies of the measurements, which are a few dozen."""
-    found = ranking.in_broadcast_band(derived.devices(spark, sf_dir), CONFIG)
-    # Frequencies come from three short progressions, 40 of them at most whatever the table holds.
-    first = derived.measurements(spark, sf_dir).groupBy("freq_mhz").agg(F.min("ordinal").alias("ordinal")).orderBy("ordinal").collect()
-    numbers = F.array(*[F.lit(r["ordinal"]).cast("bigint") for r in first]) if first else F.array().cast("array<bigint>")
-    matched = match.match_values(found, [{"freq_mhz": r["freq_mhz"]} for r in first])
-    return matched.select(F.col("ord.system_no").alias("k"), F.coalesce(F.get(numbers, F.col("m.ordinal").cast("int")), F.lit(-1).cast("bigint")).alias("ordinal"))
+    """By the different frequencies and bands of the devices, as a ranking does."""
+    devices = derived.devices(spark, sf_dir)
+    nearest = match.match_nearest(ranking.tuned(devices, CONFIG), derived.measurements(spark, sf_dir), ["freq", "band"])
+    found = ranking.in_broadcast_band(devices, CONFIG).join(nearest, ["freq", "band"], "left")
+    return found.select(F.col("ord.system_no").alias("k"), F.coalesce("m.ordinal", F.lit(-1)).alias("ordinal"))
 
 
 @query("match_nearest_bins", NEAREST)
 def match_nearest_bins(spark, sf_dir):
+    """Device by device."""
     found = ranking.in_broadcast_band(derived.devices(spark, sf_dir), CONFIG)
     return match.match_nearest(found, derived.measurements(spark, sf_dir), ["ord"]).select(F.col("ord.system_no").alias("k"), F.coalesce("m.ordinal", F.lit(-1)).alias("ordinal"))
 
@@ -265,10 +285,9 @@ def match_semi(spark, sf_dir):
     return match.supported(_unique_towers(spark, sf_dir), derived.measurements(spark, sf_dir)).select("callsign", "frequency_mhz", "band")
 
 
-@query("match_anti", f"WITH {towers_sql()}, {M} SELECT ordinal, freq_mhz, band FROM m WHERE NOT EXISTS (SELECT 1 FROM u WHERE m.band = u.band AND k % 4 = 0 AND abs(m.freq_mhz - u.frequency_mhz) <= {TOL})")
+@query("match_anti", f"WITH {towers_sql()}, {M} SELECT ordinal, freq_mhz, band FROM m WHERE NOT EXISTS (SELECT 1 FROM u WHERE m.band = u.band AND abs(m.freq_mhz - u.frequency_mhz) <= {TOL})")
 def match_anti(spark, sf_dir):
-    fewer = _unique_towers(spark, sf_dir).filter("ord.system_no % 4 = 0")
-    return match.unmatched(fewer, derived.measurements(spark, sf_dir)).select("ordinal", "freq_mhz", "band")
+    return match.unmatched(_unique_towers(spark, sf_dir), derived.measurements(spark, sf_dir)).select("ordinal", "freq_mhz", "band")
 
 
 @query(
@@ -322,12 +341,10 @@ def sweep_dedup(spark, sf_dir):
 @query("sweep_stream", f"WITH {S} SELECT freq_mhz, band, score FROM ({BEST})")
 def sweep_stream(spark, sf_dir):
     """The same through a stream: events are written as files, which the stream then finds."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rfrank-stream-")
-    folder, name = f"{base.rstrip('/')}/sweep-{uuid.uuid4().hex}", f"sweep_{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/sweep-{uuid.uuid4().hex}"
     derived.sweep_lines(spark, sf_dir).select("line").write.text(f"{folder}/in")
-    running = stream.start(stream.running_best(stream.read_stream(spark, f"{folder}/in")), name, f"{folder}/state")
-    running.awaitTermination()
-    return spark.table(name).select("freq_mhz", "band", "score")
+    stream.start(stream.running_best(stream.read_stream(spark, f"{folder}/in")), f"{folder}/out", f"{folder}/state").awaitTermination()
+    return stream.read_best(spark, f"{folder}/out").select("freq_mhz", "band", "score")
 
 
 # Station lines ---------------------------------------------------------------------------------------
@@ -397,7 +414,7 @@ def tv_channel_freq(spark, sf_dir):
 # Elevation and places --------------------------------------------------------------------------------
 
 ELEVATION = """ev AS (
-  SELECT round_even(lat, 6) AS lat6, round_even(lon, 6) AS lon6, min((k % 1000)::DOUBLE / 8) AS elevation_m FROM d WHERE k % 3 <> 0 AND k % 7 <> 0 GROUP BY ALL
+  SELECT round_even(lat, 6) AS lat6, round_even(lon, 6) AS lon6, min((k % 1000)::DOUBLE / 8) AS elevation_m FROM d WHERE k % 5 <> 0 AND k % 7 <> 0 GROUP BY ALL
 )"""
 
 
@@ -530,16 +547,58 @@ def fn_sql(spark, sf_dir):
 
 @query(
     "page_scan",
-    "SELECT o_custkey % 3 AS subtype_no, count(*)::BIGINT AS n_systems FROM (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey % 3 ORDER BY o_orderkey) - 1 AS i FROM orders)"
-    " WHERE i // 20 < 3 GROUP BY 1",
+    "SELECT capture AS subtype_no, count(*)::BIGINT AS n_systems, max(o_orderkey) AS last_key FROM (SELECT o_orderkey, o_orderkey // 300 * 3 + o_custkey % 3 AS capture,"
+    " row_number() OVER (PARTITION BY o_orderkey // 300, o_custkey % 3 ORDER BY o_orderkey) - 1 AS i FROM orders) WHERE i // 20 < 3 GROUP BY 1",
 )
 def page_scan(spark, sf_dir):
-    """Systems of captured pages: orders stand for systems, twenty to a page, three pages to a subtype."""
-    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_custkey % 3 AS subtype_no", "o_orderkey")
+    """Systems of captured pages: orders stand for systems, some hundred to a capture, twenty to a page; three pages of each are read."""
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_orderkey div 300 * 3 + o_custkey % 3 AS subtype_no", "o_orderkey")
     numbered = rows.selectExpr("subtype_no", "o_orderkey", "row_number() OVER (PARTITION BY subtype_no ORDER BY o_orderkey) - 1 AS i")
     pages = numbered.groupBy("subtype_no", F.floor(F.col("i") / 20).cast("int").alias("page_no")).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("o_orderkey").cast("string").alias("cursor"), F.struct(F.concat(F.lit("sys-"), "o_orderkey").alias("id")).alias("node")))).alias("edges")
+        F.array_sort(F.collect_list(F.struct("o_orderkey", F.col("o_orderkey").cast("string").alias("cursor"), F.struct(F.concat(F.lit("sys-"), "o_orderkey").alias("id")).alias("node")))).alias("edges")
     )
     body = F.to_json(F.struct(F.struct(F.struct("edges", F.struct(F.lit(True).alias("hasNextPage")).alias("pageInfo")).alias("systems")).alias("data")))
     found = systems.page_systems(pages.select("subtype_no", "page_no", body.alias("body")))
-    return found.groupBy(F.col("system_no.subtype_no").alias("subtype_no")).agg(F.count("id").alias("n_systems"))
+    key = F.substring("id", 5, 20).cast("long")
+    return found.groupBy(F.col("system_no.subtype_no").alias("subtype_no")).agg(F.count("id").alias("n_systems"), F.max(key).alias("last_key"))
+
+
+@query(
+    "source_scan",
+    f"WITH {D}, l AS (SELECT k, freq, CASE k % 4 WHEN 0 THEN 'Commercial Television' WHEN 1 THEN 'Commercial Radio' WHEN 2 THEN 'Retransmission' END AS subtype FROM d)"
+    " SELECT 'us' AS source, count(*)::BIGINT AS n_systems, sum(k)::BIGINT AS sum_k FROM l WHERE freq BETWEEN 54 AND 698"
+    " UNION ALL SELECT s, count(*)::BIGINT, sum(k)::BIGINT FROM l, (VALUES ('au'), ('ca')) t(s) WHERE subtype IN ('Commercial Television', 'Commercial Radio') GROUP BY s",
+)
+def source_scan(spark, sf_dir):
+    """What each source is asked for: certain subtypes, or a range of frequencies."""
+    subtype = F.expr("CASE system_no % 4 WHEN 0 THEN 'Commercial Television' WHEN 1 THEN 'Commercial Radio' WHEN 2 THEN 'Retransmission' END")
+    every = derived.systems(spark, sf_dir).withColumn("licence", F.struct(F.lit("Broadcasting").alias("type"), subtype.alias("subtype")))
+    counts = [
+        systems.asked_for(every, source).agg(F.count(F.lit(1)).alias("n_systems"), F.sum("system_no").alias("sum_k")).select(F.lit(source).alias("source"), "n_systems", "sum_k")
+        for source in ("us", "au", "ca")
+    ]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
+WIDE = "r AS (SELECT 1 AS receiver_id, 34.8526::DOUBLE AS rx_lat, -82.394::DOUBLE AS rx_lon, 300.0::DOUBLE AS radius_km)"
+UNION_SQL = f"""{D}, {TV}, {FM}, a AS (
+  SELECT 0 AS source_no, k, callsign, 'Winston-Salem, NC' AS name, mhz AS freq, lat, lon, eirp_w, NULL::DOUBLE AS transmit_w FROM tvs WHERE mhz IS NOT NULL
+  UNION ALL SELECT 1, ordinal, callsign, 'St. Mary''S, GA', mhz, lat, lon, pow(10, eirp_db / 10), NULL FROM fms
+  UNION ALL SELECT 2, k, callsign, name, freq, lat, lon, eirp_w, transmit_w FROM d
+), ab AS (
+  SELECT *, CASE WHEN freq BETWEEN 87.8::DOUBLE AND 108 THEN 'FM' WHEN freq BETWEEN 174 AND 216 THEN 'VHF' WHEN freq BETWEEN 470 AND 608 THEN 'UHF' END AS band FROM a
+), {WIDE}, g AS (SELECT ab.*, r.*, {HAVERSINE} AS dist FROM ab, r WHERE band IS NOT NULL), h AS (SELECT *, {EIRP} AS eirp FROM g WHERE dist <= radius_km
+), p AS (SELECT * FROM (SELECT *, eirp + 6 - ({LOSS}) AS power FROM h) WHERE power >= -120
+), t AS (SELECT *, round_even(freq, 3) AS frequency_mhz, round_even(dist, 1) AS distance_km, round_even(power, 1) AS received_power_dbm, {CLASS} AS distance_class, source_no * 10000000000 + k AS first_k FROM p
+), u AS (SELECT * FROM (SELECT * EXCLUDE (first_k), row_number() OVER (PARTITION BY callsign, frequency_mhz ORDER BY received_power_dbm DESC, first_k) AS nth,
+                               min(first_k) OVER (PARTITION BY callsign, frequency_mhz) AS first_k FROM t) WHERE nth = 1)"""
+
+
+@query("rank_sources", f"WITH {UNION_SQL} SELECT row_number() OVER (ORDER BY {BY_POWER_SQL})::INT AS rank, name, callsign, frequency_mhz, distance_km, received_power_dbm FROM u")
+def rank_sources(spark, sf_dir):
+    """Station lines, television before FM, then systems, as one: every tower within the widest radius, none cut off."""
+    lines = stations.as_devices(stations.all_stations(derived.tv_lines(spark, sf_dir), derived.fm_lines(spark, sf_dir)))
+    both = lines.unionByName(systems.explode_devices(derived.systems(spark, sf_dir), source_no=2))
+    wide = derived.receiver(spark).selectExpr("*", "300D AS radius_km", "2147483647 AS max_rows")
+    ranked = ranking.rank_towers(both, wide, BY_POWER, typical_km=300.0)
+    return ranked.select("rank", "name", "callsign", "frequency_mhz", "distance_km", "received_power_dbm")

@@ -18,17 +18,24 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _spread(k: str) -> str:
+    """Latitude and longitude: every third number near the first receiver, the others over a continent."""
+    near = f"array(CAST(348526 + 10 * ((7919 * {k}) % 2001 - 1000) AS DOUBLE) / 10000, CAST(-823940 + 10 * ((104729 * {k}) % 2001 - 1000) AS DOUBLE) / 10000)"
+    far = f"array(CAST(250000 + (7919 * {k}) % 240001 AS DOUBLE) / 10000, CAST(-1240000 + (104729 * {k}) % 570001 AS DOUBLE) / 10000)"
+    return f"CASE WHEN {k} % 3 = 0 THEN {near} ELSE {far} END"
+
+
 def tower_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One transmitter for each part."""
     return _read(spark, sf_dir, "part").selectExpr(
         "p_partkey AS k",
-        "concat('W', p_partkey % 400) AS callsign",
+        "concat('W', p_partkey % 100) AS callsign",
         "p_name AS name",
         "concat('S', p_partkey % 50) AS state",
-        "CAST(CASE WHEN p_partkey % 8 <= 2 THEN 879 + 2 * (p_partkey % 40) WHEN p_partkey % 8 <= 4 THEN 1770 + 60 * (p_partkey % 5)"
-        " WHEN p_partkey % 8 <= 6 THEN 4730 + 60 * (p_partkey % 20) ELSE 3000 END AS DOUBLE) / 10 AS freq",
-        "CAST(348526 + 10 * ((7919 * p_partkey) % 2001 - 1000) AS DOUBLE) / 10000 AS lat",
-        "CAST(-823940 + 10 * ((104729 * p_partkey) % 2001 - 1000) AS DOUBLE) / 10000 AS lon",
+        "CAST(CASE WHEN p_partkey % 8 <= 2 THEN 879 + 4 * (p_partkey % 51) WHEN p_partkey % 8 <= 4 THEN 1770 + 60 * (p_partkey % 7)"
+        " WHEN p_partkey % 8 <= 6 THEN 4730 + 120 * (p_partkey % 12) ELSE 3000 END AS DOUBLE) / 10 AS freq",
+        f"{_spread('p_partkey')}[0] AS lat",
+        f"{_spread('p_partkey')}[1] AS lon",
         "CAST(p_partkey % 300 AS DOUBLE) AS height_m",
         "CASE WHEN p_partkey % 6 <> 0 THEN p_retailprice END AS eirp_w",
         "CASE WHEN p_partkey % 12 <> 0 THEN p_size * 0.001D END AS transmit_w",
@@ -58,21 +65,21 @@ def receiver(spark: SparkSession) -> DataFrame:
 
 
 def receivers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One receiver for each supplier, in a grid around the first."""
+    """One receiver for each supplier, near the first or over a continent, with a radius of 20 to 49 km of its own."""
     return _read(spark, sf_dir, "supplier").selectExpr(
         "s_suppkey AS receiver_id",
-        "CAST(348526 + 1000 * (s_suppkey % 21 - 10) AS DOUBLE) / 10000 AS rx_lat",
-        "CAST(-823940 + 1000 * ((7 * s_suppkey) % 21 - 10) AS DOUBLE) / 10000 AS rx_lon",
+        f"{_spread('s_suppkey')}[0] AS rx_lat",
+        f"{_spread('s_suppkey')}[1] AS rx_lon",
         "CAST(20 + s_suppkey % 30 AS DOUBLE) AS radius_km",
         "CAST(5 + s_suppkey % 7 AS INT) AS max_rows",
     )
 
 
 def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A measurement for each 97th event: what a scan of the rest would be is noise."""
-    return _read(spark, sf_dir, "events").filter("event_id % 97 = 0").selectExpr(
+    """A measurement for each event, in the lower part of each band and to the kilohertz: some near no transmitter."""
+    return _read(spark, sf_dir, "events").selectExpr(
         "event_id AS ordinal",
-        "CAST(CASE event_id % 3 WHEN 0 THEN 879 + 2 * (event_id % 25) WHEN 1 THEN 1770 + 60 * (event_id % 3) ELSE 4740 + 60 * (event_id % 12) END AS DOUBLE) / 10 AS freq_mhz",
+        "CAST(CASE event_id % 3 WHEN 0 THEN 87900 + (37 * event_id) % 12001 WHEN 1 THEN 174000 + (53 * event_id) % 20001 ELSE 470000 + (71 * event_id) % 60001 END AS DOUBLE) / 1000 AS freq_mhz",
         "CAST(event_id % 60 AS DOUBLE) AS snr_db",
         "CAST(event_id % 100 AS DOUBLE) / 100 AS obw_fraction",
         "least(value / 500, 1.0D) AS score",
@@ -114,8 +121,8 @@ def sweep_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def elevations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An elevation for two of three places, some of them twice."""
-    return tower_numbers(spark, sf_dir).filter("k % 3 <> 0").selectExpr("lat", "lon", "CASE WHEN k % 7 <> 0 THEN CAST(k % 1000 AS DOUBLE) / 8 END AS elevation_m")
+    """An elevation for four of five places, some of them twice."""
+    return tower_numbers(spark, sf_dir).filter("k % 5 <> 0").selectExpr("lat", "lon", "CASE WHEN k % 7 <> 0 THEN CAST(k % 1000 AS DOUBLE) / 8 END AS elevation_m")
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from .schema import SYSTEM
 
-#: Licence subtypes whose pages are captured for the countries that are asked by subtype.
+#: Licence subtypes, the countries that are asked by subtype, and MHz that the others are asked for.
 SUBTYPES = ("Commercial Television", "National Broadcasting", "Commercial Radio")
 SUBTYPE_SOURCES = ("au", "ca")
 RANGE_MHZ = (54, 698)
@@ -26,8 +26,8 @@ def read_systems(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Captured response pages, one JSON document a line, as (subtype_no, page_no, body text)."""
-    return spark.read.schema("subtype_no int, page_no int, body string").json(path)
+    """Captured response pages, one JSON document a line, as (source, subtype_no, page_no, body text)."""
+    return spark.read.schema("source string, subtype_no int, page_no int, body string").json(path)
 
 
 def page_systems(pages: DataFrame, max_pages: int = 3) -> DataFrame:
@@ -60,6 +60,25 @@ def page_systems(pages: DataFrame, max_pages: int = 3) -> DataFrame:
     )
 
 
+def source_systems(pages: DataFrame, source: str, max_pages: int = 3) -> DataFrame:
+    """Systems of one source from captured pages (source, subtype_no, page_no, body).
+
+    A country that is asked by subtype has a capture for each of ``SUBTYPES``, in this order; another
+    subtype's pages are not read, and one that fails gives nothing while the others stay. Any other has
+    one capture, that of the frequency range.
+    """
+    captures = len(SUBTYPES) if source in SUBTYPE_SOURCES else 1
+    return page_systems(pages.filter((F.col("source") == source) & F.col("subtype_no").between(0, captures - 1)), max_pages)
+
+
+def asked_for(systems: DataFrame, source: str) -> DataFrame:
+    """What a source is asked for, from a whole export: certain subtypes, or systems with a device in the range."""
+    if source in SUBTYPE_SOURCES:
+        return systems.filter(F.col("licence.subtype").isin(*SUBTYPES))
+    low, high = RANGE_MHZ
+    return systems.filter(F.exists("devices", lambda d: text.as_float(d["frequency"]).between(float(low), float(high))))
+
+
 def explode_devices(systems: DataFrame, source_no: int = 0) -> DataFrame:
     """One row for each device of (system_no, devices, licence), numbers and geometry parsed.
 

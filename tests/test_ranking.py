@@ -1,14 +1,17 @@
 """The ranking as a whole against a plain Python account of it, with many ties."""
 
+import json
 import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from rfrank.operators import match, ranking
+from rfrank import queries
+from rfrank.operators import enrich, match, ranking, region
 from rfrank.plans.config import RankingConfig
-from rfrank.sources import systems
+from rfrank.sources import regions, stations, systems
+from rfrank.sources.schema import SYSTEM
 from rfrank.sources.stations import as_devices, tv_stations
 from rfrank.streaming import sweep as stream
 
@@ -83,13 +86,6 @@ def test_one_receiver_of_many_is_ranked_alike(spark):
         assert sorted(map(tuple, alone.collect()), key=str) == sorted(map(tuple, together.filter(F.col("receiver_id") == i).collect()), key=str)
 
 
-def test_plans(spark):
-    devices = spark.createDataFrame(made_up(6, 50), SCHEMA)
-    here = spark.createDataFrame([(1, 34.85, -82.4)], "receiver_id int, rx_lat double, rx_lon double")
-    plan = ranking.rank_towers(devices, here, CONFIG)._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
-
-
 def test_recall_without_signals(spark):
     towers = spark.createDataFrame([(True,)], "frequency_matched boolean")
     assert match.recall(towers, spark.createDataFrame([], "ordinal long")).first().recall == 0
@@ -131,6 +127,83 @@ def test_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.txt").write_text('data: {"type":"step","channels":[{"band":"fm","fc_mhz":89.3,"score":"0.5","snr_db":1.0},{"band":"am","fc_mhz":1}]}\nnoise\ndata: {bad\n')
     (tmp_path / "in" / "b.txt").write_text('data: {"type":"step","channels":[{"band":"fm","fc_mhz":89.3,"score":0.9,"snr_db":2.0}]}\n')
-    run = stream.start(stream.running_best(stream.read_stream(spark, str(tmp_path / "in"))), "best_now", str(tmp_path / "state"))
-    run.awaitTermination()
-    assert [(r.freq_mhz, r.score, r.snr_db) for r in spark.table("best_now").collect()] == [(89.3, 0.9, 2.0)]
+
+    def run():
+        best = stream.running_best(stream.read_stream(spark, str(tmp_path / "in")))
+        stream.start(best, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+        return sorted((r.freq_mhz, r.score, r.snr_db) for r in stream.read_best(spark, str(tmp_path / "out")).collect())
+
+    assert run() == [(89.3, 0.9, 2.0)]
+    (tmp_path / "in" / "c.txt").write_text('data: {"type":"step","channels":[{"band":"fm","fc_mhz":89.3,"score":0.95,"snr_db":3.0},{"band":"fm","fc_mhz":90.1,"score":0.1}]}\n')
+    assert run() == [(89.3, 0.95, 3.0), (90.1, 0.1, None)]
+
+
+def test_row_limits_beyond_two_hundred(spark):
+    rows = [((0, i, 0), f"W{i}", "n", "s", 89.3, 34.9, -82.4, None, 100.0, None, None, "", "") for i in range(450)]
+    here = spark.createDataFrame([(1, 34.85, -82.4, 400), (2, 34.85, -82.4, 3)], "receiver_id int, rx_lat double, rx_lon double, max_rows int")
+    ranked = ranking.rank_towers(spark.createDataFrame(rows, SCHEMA), here, CONFIG)
+    assert {r.receiver_id: r["count"] for r in ranked.groupBy("receiver_id").count().collect()} == {1: 400, 2: 3}
+
+
+@pytest.mark.parametrize("per_degree", [1, 3, 40])
+def test_cells_miss_no_pair(spark, per_degree):
+    rng = random.Random(per_degree)
+    places = [(rng.uniform(-90, 90), rng.uniform(-180, 180)) for _ in range(60)] + [(90.0, 0.0), (-90.0, 10.0), (0.0, 180.0), (0.0, -180.0), (10.0, 179.99), (89.9, 120.0)]
+    near = [(min(90.0, max(-90.0, la + rng.uniform(-1, 1))), (lo + rng.uniform(-2, 2) + 540) % 360 - 180) for la, lo in places for _ in range(5)]
+    devices = spark.createDataFrame([((0, i, 0), *p) for i, p in enumerate(near)], "ord struct<source_no:int,system_no:bigint,device_no:int>, lat double, lon double")
+    receivers = spark.createDataFrame([(i, *p, 100.0) for i, p in enumerate(places)], "receiver_id int, rx_lat double, rx_lon double, radius_km double")
+    got = {(r.receiver_id, r.ord.system_no) for r in ranking.in_radius(devices, receivers, 222.0 / per_degree).collect()}
+
+    def km(a, b):
+        p, q = math.radians(a[0]), math.radians(b[0])
+        h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2
+        return 2 * 6371.0 * math.atan2(math.sqrt(h), math.sqrt(max(1 - h, 0)))
+
+    assert got == {(i, j) for i, p in enumerate(places) for j, q in enumerate(near) if km(p, q) <= 100.0} and got
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_no_plan_pairs_all_with_all(spark, name):
+    plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_readers(spark, tmp_path):
+    (tmp_path / "tv.txt").write_text("header\n|" + "|".join(["KXYZ", "", "DT", "14", *[""] * 4, "LIC", "GREER", "SC", "", "", "100.   kW", "", "300", "", "", "N", "34", "50", "0", "W", "82", "20", "0", *[""] * 9]) + "\n|short|line\n")
+    stations_ = tv_stations(stations.read_lines(spark, str(tmp_path / "tv.txt"))).collect()
+    assert [(s.callsign, s.mhz, s.id) for s in stations_] == [("KXYZ", 473.0, "fcc-tv-KXYZ-14")]
+
+    node = {"id": "s1", "devices": [{"callsign": "A", "frequency": 89.3, "eirp": {"value": "100"}, "location": {"name": "n", "state": "SC", "geom": {"string": "POINT(-82.4 34.9)"}}}], "licence": {"type": "Broadcasting", "subtype": "Commercial Radio"}}
+    (tmp_path / "systems.json").write_text(json.dumps(node) + "\n" + json.dumps(node | {"id": "s2", "devices": None}) + "\n")
+    export = systems.read_systems(spark, str(tmp_path / "systems.json"))
+    (device,) = systems.explode_devices(export).collect()
+    assert (device.callsign, device.freq, device.eirp_w, device.lat, device.lon) == ("A", 89.3, 100.0, 34.9, -82.4)
+    assert systems.asked_for(export, "au").count() == 2 and systems.asked_for(export, "us").count() == 1
+
+    ok = json.dumps({"data": {"systems": {"edges": [{"cursor": "1", "node": node}], "pageInfo": {"hasNextPage": False}}}})
+    pages = [("au", 0, 0, ok), ("au", 1, 0, "not json"), ("au", 2, 0, ok), ("au", 3, 0, ok), ("us", 0, 0, ok), ("us", 1, 0, ok)]
+    (tmp_path / "pages.json").write_text("".join(json.dumps(dict(zip(("source", "subtype_no", "page_no", "body"), p, strict=True))) + "\n" for p in pages))
+    captured = systems.read_pages(spark, str(tmp_path / "pages.json"))
+    assert [systems.source_systems(captured, s).count() for s in ("au", "us", "ca")] == [2, 1, 0]
+
+    square = [[[-10, -10], [10, -10], [10, 10], [-10, 10], [-10, -10]]]
+    features = [{"properties": {"ADMIN": a}, "geometry": {"type": t, "coordinates": c}} for a, t, c in (("Canada", "Polygon", [[[0, 0], [1, 0], [1, 1]]]), ("Canada", "Polygon", square), ("Elsewhere", "Polygon", square), ("Australia", "MultiPolygon", [[[[20, 0], [30, 0], [30, 10], [20, 10]]], [[[40, 0], [50, 0], [45, 10]]]]))]
+    (tmp_path / "borders.json").write_text(json.dumps({"type": "FeatureCollection", "features": features}))
+    edges = regions.edges(regions.read_borders(spark, str(tmp_path / "borders.json")))
+    points = spark.createDataFrame([(0.5, 9.9), (10.0, 0.0), (45.0, 5.0), (35.0, 5.0), (None, 1.0)], "lon double, lat double")
+    assert [r.region for r in region.classify(points, edges).orderBy(F.col("lon").asc_nulls_last()).collect()] == ["ca", "ca", None, "au", None]
+
+
+def test_answers_and_captures(spark, tmp_path):
+    devices = spark.createDataFrame(made_up(7, 40), SCHEMA)
+    asked = spark.createDataFrame([(1, 34.85, -82.4, 80.0), (2, -60.0, 10.0, 80.0)], "receiver_id int, rx_lat double, rx_lon double, radius_km double")
+    ranked = ranking.rank_towers(devices, asked, CONFIG)
+    found = {r.receiver_id: json.loads(r.document) for r in enrich.result_documents(ranked, asked, "us").collect()}
+    assert found[2] == {"towers": [], "query": {"latitude": -60.0, "longitude": 10.0, "altitude_m": 0.0, "radius_km": 80.0, "source": "us"}, "count": 0}
+    want = [r.asDict() for r in ranked.filter("receiver_id = 1").drop("receiver_id").orderBy("rank").collect()]
+    assert found[1]["towers"] == want and found[1]["count"] == len(want) > 5
+
+    raw = spark.createDataFrame([(i, f"s{i}", None, None) for i in range(20)], "system_no long, " + SYSTEM)
+    enrich.write_captures(raw, ranked, str(tmp_path / "captures"))
+    assert [r.id for r in systems.read_systems(spark, str(tmp_path / "captures" / "raw")).orderBy("system_no").collect()] == [f"s{i}" for i in range(20)]
+    assert spark.read.json(str(tmp_path / "captures" / "matched")).count() == len(want)
