@@ -57,22 +57,30 @@ def _pairs(towers: DataFrame, measurements: DataFrame, freq: str, band: str, sam
     return keyed.alias("t"), binned.alias("m"), on
 
 
-def match_nearest(towers: DataFrame, measurements: DataFrame, key: Sequence[str], freq: str = "freq", band: str = "band") -> DataFrame:
-    """Adds ``m``, the nearest measurement within the band's tolerance, to towers identified by ``key``.
+def nearest(tuned: DataFrame, measurements: DataFrame, freq: str = "freq", band: str = "band") -> DataFrame:
+    """(freq, band, m) for different (freq, band): the nearest measurement within the band's tolerance, where there is one.
 
     Ties go to the smaller measurement ordinal. Measurements of one frequency are reduced to the first of
-    them beforehand, and pairs to the best for each tower before the shuffle, so neither a busy
-    frequency nor a busy bin multiplies rows beyond the towers in it.
+    them beforehand, and pairs to the best before the shuffle, so neither a busy frequency nor a busy bin
+    multiplies rows beyond the frequencies in it.
     """
     first = measurements.groupBy("freq_mhz").agg(F.min(F.struct("ordinal", *FIELDS)).alias("f")).select("freq_mhz", "f.*")
-    t, m, on = _pairs(towers.select(*dict.fromkeys([*key, freq, band])), first, freq, band, False)
-    best = (
+    t, m, on = _pairs(tuned.select(freq, band), first, freq, band, False)
+    found = F.struct("m.ordinal", "m.freq_mhz", *[f"m.{f}" for f in FIELDS]).alias("m")
+    return (
         t.join(m, on)
-        .groupBy(*[F.col(f"t.{k}").alias(k) for k in key])
-        .agg(F.min(F.struct(F.abs(F.col("m.freq_mhz") - F.col(f"t.{freq}")).alias("diff"), F.struct("m.ordinal", "m.freq_mhz", *[f"m.{f}" for f in FIELDS]).alias("m"))).alias("best"))
-        .select(*key, "best.m")
+        .groupBy(F.col(f"t.{freq}").alias(freq), F.col(f"t.{band}").alias(band))
+        .agg(F.min(F.struct(F.abs(F.col("m.freq_mhz") - F.col(f"t.{freq}")).alias("diff"), found)).alias("best"))
+        .select(freq, band, "best.m")
     )
-    return towers.join(best, list(key), "left")
+
+
+def match_nearest(towers: DataFrame, measurements: DataFrame, freq: str = "freq", band: str = "band") -> DataFrame:
+    """Adds ``m``, the nearest measurement within the band's tolerance; null if there is none.
+
+    A match depends on frequency and band, so only the different ones of these meet the measurements.
+    """
+    return towers.join(nearest(towers.select(freq, band).distinct(), measurements, freq, band), [freq, band], "left")
 
 
 def supported(towers: DataFrame, measurements: DataFrame, freq: str = "frequency_mhz", band: str = "band") -> DataFrame:

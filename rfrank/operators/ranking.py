@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, rf
 from ..plans.config import RankingConfig
-from .match import match_nearest, match_values
+from .match import match_values, nearest
 
 
 def in_broadcast_band(devices: DataFrame, config: RankingConfig) -> DataFrame:
@@ -164,7 +164,7 @@ def rank_towers(
     elif isinstance(measurements, Sequence):
         found = match_values(found, measurements)
     else:
-        found = found.join(match_nearest(tuned(devices, config), measurements, ["freq", "band"]), ["freq", "band"], "left")
+        found = found.join(nearest(tuned(devices, config), measurements), ["freq", "band"], "left")
     towers = keep_strongest(project(found, config))
     if given:
         towers = towers.filter("frequency_matched")

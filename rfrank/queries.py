@@ -263,18 +263,17 @@ NEAREST = f"""WITH {D}, {M}, n AS (
 
 @query("match_nearest", NEAREST)
 def match_nearest(spark, sf_dir):
-    """By the different frequencies and bands of the devices, as a ranking does."""
+    """The nearest for each frequency and band, as a ranking takes it, and the devices tuned to these."""
     devices = derived.devices(spark, sf_dir)
-    nearest = match.match_nearest(ranking.tuned(devices, CONFIG), derived.measurements(spark, sf_dir), ["freq", "band"])
+    nearest = match.nearest(ranking.tuned(devices, CONFIG), derived.measurements(spark, sf_dir))
     found = ranking.in_broadcast_band(devices, CONFIG).join(nearest, ["freq", "band"], "left")
     return found.select(F.col("ord.system_no").alias("k"), F.coalesce("m.ordinal", F.lit(-1)).alias("ordinal"))
 
 
 @query("match_nearest_bins", NEAREST)
 def match_nearest_bins(spark, sf_dir):
-    """Device by device."""
     found = ranking.in_broadcast_band(derived.devices(spark, sf_dir), CONFIG)
-    return match.match_nearest(found, derived.measurements(spark, sf_dir), ["ord"]).select(F.col("ord.system_no").alias("k"), F.coalesce("m.ordinal", F.lit(-1)).alias("ordinal"))
+    return match.match_nearest(found, derived.measurements(spark, sf_dir)).select(F.col("ord.system_no").alias("k"), F.coalesce("m.ordinal", F.lit(-1)).alias("ordinal"))
 
 
 TOL = "CASE WHEN m.band = 'FM' THEN 0.15::DOUBLE ELSE 4.0::DOUBLE END"
