@@ -1,17 +1,22 @@
 """Exact top-k inner-product search: a Voronoi kNN join.
 
-Vectors are grouped by their nearest pivot. A summary per group (size, radius, and the distances of the
-k + 1 nearest members of different ids) bounds every score from both sides: for a member x of the group of
-pivot p, ``q.p - |q| d(p, x) <= q.x <= q.p + |q| radius``. The lower bounds give each query a score that
-its k-th best certainly reaches; it is then sent only to groups whose upper bound reaches that too. Each
-group is solved locally in blocks of bounded size, and the blocks' top k are merged.
-
-What goes to every task is the pivots and their summaries: at most ``pivots`` + 1 rows for each vector
-length. Queries are replicated, not data, unless there are more than ``block`` queries.
+Queries and data are grouped by their nearest pivot; there are about as many pivots as the square root of
+the number of vectors. A summary per group (size, radius, greatest norm, and the distances of the k + 1
+nearest members of different ids) bounds every score from both sides: for a member x of the group of pivot
+p, ``q.p - |q| d(p, x) <= q.x <= min(q.p + |q| radius, |q| norm)``. The lower bounds, among them the exact
+scores of the pivots, give each query a score that its k-th best certainly reaches; only groups whose
+upper bound reaches that too are searched for it.
+
+Queries of neighbouring groups form query groups of about ``block``. A group of data is copied to those
+query groups that have a query which needs it, and to no other; each pair of groups is solved locally, in
+blocks of bounded size, and the blocks' top k are merged.
+
+What goes to every task is the pivots and their summaries, which grow with the square root of the data.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,24 +58,26 @@ def _top(query_ids, data_ids, found: np.ndarray, k: int) -> pd.DataFrame:
     return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
 
 
-def top_k(
-    vectors: DataFrame,
-    is_query,
-    id_col: str = "vec_id",
-    vector_col: str = "embedding",
-    scale: int = 1024,
-    k: int = 10,
-    pivots: int = 64,
-    block: int = 1024,
-) -> DataFrame:
-    """The ``k`` other vectors with the highest integer inner product, for each row where ``is_query`` holds.
+def query_groups(pivots: np.ndarray, queries: dict[int, int], block: int) -> dict[int, tuple[int, int]]:
+    """Group of each cell's queries, and how many blocks the group is dealt into: coarse cells among the pivots.
 
-    A component x counts as floor(scale * x). Returns ``query_id``, ``rank`` (from 1), ``vec_id``,
-    ``score``; ties go to the smaller id. Every row is a candidate for every query but those with its
-    own id. Rows whose id or vector is null, or whose vector holds a null or non-finite component, take
-    no part; vectors are compared with those of the same length only; repeated rows are candidates
-    each. Fewer candidates than ``k`` give fewer rows, an empty table none. Components beyond the
-    64-bit range stop at its ends, and scores beyond it wrap. Other columns are not read.
+    ``queries`` counts the queries of each cell. A group of more than ``block`` of them has several blocks.
+    """
+    coarse = pivots[: max(1, math.ceil(sum(queries.values()) / block))]
+    group = {}
+    for cell in queries:
+        group[cell] = int(((coarse - pivots[cell]) ** 2).sum(1).argmin())
+    load: dict[int, int] = {}
+    for cell, n in queries.items():
+        load[group[cell]] = load.get(group[cell], 0) + n
+    return {cell: (g, math.ceil(load[g] / block)) for cell, g in group.items()}
+
+
+def needed_pairs(vectors: DataFrame, is_query, id_col: str, vector_col: str, scale: int, k: int, pivots: int | None, block: int) -> tuple[DataFrame, DataFrame] | None:
+    """The vectors (uid, vec_id, dim, v, is_query, cell), and which queries need which cells.
+
+    The second table (uid, dim, cell, qblock, n_blocks) has a row for each query and cell that may hold one of its k
+    best; None if there are no vectors.
     """
     spark = vectors.sparkSession
     ship_package(spark)
@@ -89,15 +96,23 @@ def top_k(
             columns = [b.column(0), pa.array([len(v) for v in ints], pa.int32()), pa.array([v.tobytes() for v in ints], pa.binary()), b.column(2)]
             yield pa.RecordBatch.from_arrays(columns, ["vec_id", "dim", "v", "is_query"])
 
-    packed = materialize(valid.mapInArrow(pack, "vec_id bigint, dim int, v binary, is_query boolean"), "knn-vectors")
+    packed = valid.mapInArrow(pack, "vec_id bigint, dim int, v binary, is_query boolean").withColumn("uid", F.monotonically_increasing_id())
+    packed = materialize(packed, "knn-vectors")
 
-    # Pivots: for each length the origin, and the vectors whose ids hash lowest; a fixed number, so bounded.
-    few = packed.select("dim", "v", F.xxhash64("vec_id").alias("h")).withColumn(
-        "n", F.row_number().over(Window.partitionBy("dim").orderBy("h", "v"))
-    )
+    # Pivots: for each length the origin, and the vectors whose hashes fall into one of so many buckets.
     chosen: dict[int, np.ndarray] = {}
-    for dim, vs in few.filter(F.col("n") <= pivots).groupBy("dim").agg(F.collect_set("v")).collect():
-        chosen[dim] = np.concatenate([np.zeros((1, dim)), _matrix(sorted(map(bytes, vs)), dim).astype(np.float64)])
+    counts = {r["dim"]: r["count"] for r in packed.groupBy("dim").count().collect()}
+    if not counts:
+        return None
+    bucket = F.pmod(F.xxhash64("vec_id", "v"), F.lit(1 << 40))
+    one_in = lambda n: max(1, (1 << 40) // max(1, round(n / (pivots or math.sqrt(n)))))
+    drawn = F.lit(False)
+    for dim, n in counts.items():
+        drawn = drawn | ((F.col("dim") == dim) & (bucket < one_in(n)))
+    for dim, vs in packed.filter(drawn).groupBy("dim").agg(F.collect_set("v")).collect():
+        chosen[dim] = _matrix(sorted(map(bytes, vs)), dim).astype(np.float64)
+    for dim in counts:
+        chosen[dim] = np.concatenate([np.zeros((1, dim)), chosen.get(dim, np.zeros((0, dim)))])
 
     def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -111,77 +126,90 @@ def top_k(
                     c = square.argmin(1)
                     cell[at : at + 1024] = c
                     far[at : at + 1024] = np.sqrt(((y - p[c]) ** 2).sum(1))  # not from the rounded squares
-                yield part[["vec_id", "dim", "v", "is_query"]].assign(cell=cell.astype("int32"), far=far)
+                yield part[["uid", "vec_id", "dim", "v", "is_query"]].assign(cell=cell.astype("int32"), far=far, norm=np.sqrt((x * x).sum(1)))
 
     celled = materialize(
-        packed.mapInPandas(assign, "vec_id bigint, dim int, v binary, is_query boolean, cell int, far double"), "knn-cells"
+        packed.mapInPandas(assign, "uid bigint, vec_id bigint, dim int, v binary, is_query boolean, cell int, far double, norm double"), "knn-cells"
     )
     # Of different ids, so that k remain beside the query's own rows, however many these are.
     near = Window.partitionBy("dim", "cell").orderBy("far")
     of_id = celled.groupBy("dim", "cell", "vec_id").agg(F.min("far").alias("far"))
     nearest = of_id.withColumn("n", F.row_number().over(near)).filter(F.col("n") <= k + 1)
     lows = nearest.groupBy("dim", "cell").agg(F.collect_list(F.struct("far", "vec_id")).alias("lows"))
-    totals = celled.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("size"), F.max("far").alias("radius"))
+    totals = celled.groupBy("dim", "cell").agg(
+        F.count(F.lit(1)).alias("size"), F.max("far").alias("radius"), F.max("norm").alias("norm"), F.count_if("is_query").alias("queries")
+    )
     summary: dict[int, list] = {}
+    groups: dict[int, dict] = {}
     for r in totals.join(lows, ["dim", "cell"]).orderBy("dim", "cell").collect():
-        summary.setdefault(r["dim"], []).append((r["cell"], r["size"], r["radius"], r["lows"]))
-
-    n_queries = celled.filter("is_query").count()
-    query_blocks = max(1, -(-n_queries // block))
-
-    def blocks_of(size: int) -> int:
-        return -(-size // block)
+        summary.setdefault(r["dim"], []).append((r["cell"], r["size"], r["radius"], r["norm"], r["lows"]))
+        if r["queries"]:
+            groups.setdefault(r["dim"], {})[r["cell"]] = r["queries"]
+    groups = {dim: query_groups(chosen[dim], queries, block) for dim, queries in groups.items()}
 
     def needed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Each query with every block of every group that can hold one of its k best."""
+        """Each query with every group that can hold one of its k best."""
         for f in frames:
             for dim, part in f.groupby("dim"):
                 cells = summary[dim]
-                p = chosen[dim][[c[0] for c in cells]]
-                radius = np.array([c[2] for c in cells])
-                lows = np.array([x[0] for c in cells for x in c[3]])
-                ids = np.array([x[1] for c in cells for x in c[3]])
-                of = np.repeat(np.arange(len(cells)), [len(c[3]) for c in cells])
+                number = np.array([c[0] for c in cells], np.int32)
+                blocks = np.array([-(-c[1] // block) for c in cells], np.int32)
+                p = chosen[dim][number]
+                radius, longest = (np.array([c[i] for c in cells]) for i in (2, 3))
+                far = np.array([x[0] for c in cells for x in c[4]])
+                ids = np.array([x[1] for c in cells for x in c[4]])
+                of = np.repeat(np.arange(len(cells)), [len(c[4]) for c in cells])
                 x = _matrix(part["v"], dim).astype(np.float64)
                 for at in range(0, len(x), 256):
-                    q = x[at : at + 256]
-                    some = part.iloc[at : at + 256]
+                    q, some = x[at : at + 256], part.iloc[at : at + 256]
                     norm, dot = np.sqrt((q * q).sum(1)), q @ p.T
-                    slack = 1e-9 * (np.abs(dot).max(1) + norm * (1 + radius.max())) + 1e-9
-                    low = dot[:, of] - norm[:, None] * lows
+                    slack = 1e-9 * (np.abs(dot).max(1) + norm * (1 + radius.max() + longest.max())) + 1e-9
+                    low = dot[:, of] - norm[:, None] * far
                     low[some["vec_id"].to_numpy()[:, None] == ids] = -np.inf  # the query's own rows are no candidates
-                    floor = np.sort(low, axis=1)[:, -k] if low.shape[1] >= k else np.full(len(q), -np.inf)
-                    reach = dot + norm[:, None] * radius >= (floor - 2 * slack)[:, None]
-                    for i, c in zip(*np.nonzero(reach), strict=True):
-                        cell, size = cells[c][:2]
-                        n = blocks_of(size)
-                        yield pd.DataFrame({"query_id": some["vec_id"].iloc[i], "dim": dim, "cell": cell, "block": np.arange(n), "v": [some["v"].iloc[i]] * n})
-
-    def batched(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, n = [], 0
-        for f in needed(frames):
-            held.append(f)
-            n += len(f)
-            if n >= 4096:
-                yield pd.concat(held)
-                held, n = [], 0
-        if held:
-            yield pd.concat(held)
-
-    sizes = [(d, c, blocks_of(n)) for d, cells in summary.items() for c, n, *_ in cells]
-    if not sizes:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
-    counts = F.create_map(*[x for d, c, n in sizes if n > 1 for x in (F.lit(f"{d}:{c}"), F.lit(n))]) if any(n > 1 for *_, n in sizes) else None
-    many = F.lit(1) if counts is None else F.coalesce(F.try_element_at(counts, F.concat_ws(":", "dim", "cell")), F.lit(1))
-    data = celled.select(
-        "dim", "cell", F.pmod(F.xxhash64("vec_id"), many).cast("int").alias("block"), "vec_id", "v", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qblock")
-    )
-    asked = (
-        celled.filter("is_query")
-        .select("vec_id", "dim", "v")
-        .mapInPandas(batched, "query_id bigint, dim int, cell int, block int, v binary")
-        .withColumn("qblock", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int"))
-    )
+                    floor = np.partition(low, -k, axis=1)[:, -k] if low.shape[1] >= k else np.full(len(q), -np.inf)
+                    most = np.minimum(dot + norm[:, None] * radius, norm[:, None] * longest)
+                    i, c = np.nonzero(most >= (floor - 2 * slack)[:, None])
+                    group, parts = np.array([groups[dim][own] for own in some["cell"]]).T
+                    uid = some["uid"].to_numpy()
+                    yield pd.DataFrame({"uid": uid[i], "dim": np.int32(dim), "cell": number[c], "qblock": ((group << 32) + uid % parts)[i], "n_blocks": blocks[c]})
+
+    pairs = celled.filter("is_query").mapInPandas(needed, "uid bigint, dim int, cell int, qblock bigint, n_blocks int")
+    return celled, materialize(pairs, "knn-pairs")
+
+
+def top_k(
+    vectors: DataFrame,
+    is_query,
+    id_col: str = "vec_id",
+    vector_col: str = "embedding",
+    scale: int = 1024,
+    k: int = 10,
+    pivots: int | None = None,
+    block: int = 1024,
+) -> DataFrame:
+    """The ``k`` other vectors with the highest integer inner product, for each row where ``is_query`` holds.
+
+    A component x counts as floor(scale * x). Returns ``query_id``, ``rank`` (from 1), ``vec_id``,
+    ``score``; ties go to the smaller id. Every row is a candidate for every query but those with its
+    own id. ``pivots``: about how many; the square root of the number of vectors if not given.
+
+    Rows whose id or vector is null, or whose vector holds a null or non-finite component, take
+    no part; vectors are compared with those of the same length only; repeated rows are candidates
+    each. Fewer candidates than ``k`` give fewer rows, an empty table none. Components beyond the
+    64-bit range stop at its ends, and scores beyond it wrap. Other columns are not read, whatever their names.
+    """
+    found = needed_pairs(vectors, is_query, id_col, vector_col, scale, k, pivots, block)
+    if found is None:
+        return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
+    celled, pairs = found
+    asked = pairs.join(celled.filter("is_query").select("uid", F.col("vec_id").alias("query_id"), "v"), "uid")
+    asked = asked.select("query_id", "dim", "cell", "qblock", "v", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"))
+    # Data goes to the query groups that need its cell; a cell's blocks are dealt by id.
+    wanted = pairs.select("dim", "cell", "qblock", "n_blocks").distinct()
+    data = celled.select("dim", "cell", "vec_id", "v").join(wanted, ["dim", "cell"])
+    dealt = F.pmod(F.xxhash64("vec_id"), F.col("n_blocks")).cast("int").alias("block")
+    # Named anew, since both sides of the cogroup come from one table.
+    data = data.select(*[F.col(c).alias(c) for c in ("dim", "cell", "qblock", "vec_id", "v")], dealt)
     keys = ["dim", "cell", "block", "qblock"]
 
     def solve(queries: pd.DataFrame, data: pd.DataFrame) -> pd.DataFrame:
@@ -194,9 +222,9 @@ def top_k(
             out.append(_top(some["query_id"].to_numpy(), data["vec_id"].to_numpy(), scores(_matrix(some["v"], dim), x), k))
         return pd.concat(out)
 
-    found = asked.groupBy(*keys).cogroup(data.groupBy(*keys)).applyInPandas(solve, "query_id bigint, vec_id bigint, score bigint")
+    solved = asked.groupBy(*keys).cogroup(data.groupBy(*keys)).applyInPandas(solve, "query_id bigint, vec_id bigint, score bigint")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return solved.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op3_top_k(spark, sf_dir: str) -> DataFrame:

@@ -38,6 +38,25 @@ def test_top_k(spark, block, pivots, k):
     assert got == brute_top(rows, k)
 
 
+def test_top_k_copies_only_what_is_needed(spark):
+    """Clustered vectors: most cells are pruned, and data goes only to query groups that ask for its cell."""
+    from rfrank.llm.knn import needed_pairs
+
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 16)) * 4
+    rows = [(i, (centres[i % 40] + rng.normal(size=16) * 0.05).tolist()) for i in range(4000)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    celled, pairs = needed_pairs(frame, F.col("vec_id") % 7 == 0, "vec_id", "embedding", 1024, 10, None, 64)
+    cells = celled.groupBy("cell").agg(F.count(F.lit(1)).alias("size"))
+    searched = pairs.join(cells, "cell").agg(F.sum("size")).first()[0]
+    copies = pairs.select("cell", "qblock").distinct().join(cells, "cell").agg(F.sum("size")).first()[0]
+    n_queries, n_groups = sum(i % 7 == 0 for i, _ in rows), pairs.select("qblock").distinct().count()
+    assert searched < 0.2 * n_queries * len(rows)
+    assert n_groups > 5 and copies < 0.4 * n_groups * len(rows)
+    got = sorted(tuple(r) for r in top_k(frame, F.col("vec_id") % 7 == 0, block=64).collect())
+    assert len(got) == 10 * n_queries
+
+
 def test_scores_beyond_doubles():
     a = np.array([[2**31, 3]], np.int64)
     assert scores(a, a).tolist() == [[2**62 + 9]]
