@@ -22,6 +22,7 @@ never meet in one task; a document's spans are joined back to its text.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -63,13 +64,43 @@ def _grams(b: np.ndarray, gram: int) -> np.ndarray:
     return _mix((sums[gram:] - sums[:n]) * _power(_BASE, n))
 
 
-def _owners(coded: np.ndarray, width: int) -> np.ndarray:
-    """Where the smallest of each window of ``width`` hashes is, ties to the left; from the running minima of blocks."""
+def _least(coded: np.ndarray, width: int) -> np.ndarray:
+    """The smallest of each window of ``width`` values, from the running minima of blocks."""
     m = len(coded)
     blocks = np.concatenate((coded, np.full(-m % width, ~np.uint64(0)))).reshape(-1, width)
     ahead = np.minimum.accumulate(blocks, axis=1).ravel()
     behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return (np.minimum(behind[: m - width + 1], ahead[width - 1 : m]) & _POSITION).astype(np.int64)
+    return np.minimum(behind[: m - width + 1], ahead[width - 1 : m])
+
+
+def _runs(b: np.ndarray, starts: np.ndarray, ends: np.ndarray, lengths: Sequence[int], gram: int) -> tuple[np.ndarray, list[tuple[np.ndarray, ...]]]:
+    """The anchors of windows whose first byte lies in [starts, ends), a range for each text, by length; see ``anchors``.
+
+    ``ends`` holds a column for each length, so that windows stay inside their text. An anchor is the smallest
+    of its window, ties to the left: the position is part of what is compared.
+    """
+    grams = _grams(b, gram)
+    coded = (grams & ~_POSITION) | np.arange(len(grams), dtype=np.uint64)
+    narrow = lengths[0] - gram + 1
+    least = _least(coded, narrow)
+    runs = []
+    for k, length in enumerate(lengths):
+        wide, some = length - gram + 1, least
+        if k:  # a wider window is the union of narrow ones
+            n = len(coded) - wide + 1
+            shifts = sorted({*range(0, wide - narrow, narrow), wide - narrow})
+            some = least[:n] if n > 0 else least[:0]
+            for shift in shifts[1:]:
+                some = np.minimum(some, least[shift : shift + n])
+        stop = np.maximum(ends[:, k], starts)
+        sizes = stop - starts
+        at = np.repeat(starts - np.concatenate(([0], np.cumsum(sizes[:-1]))), sizes) + np.arange(sizes.sum())
+        owner = (some[at] & _POSITION).astype(np.int64)
+        cut = np.flatnonzero(np.diff(owner)) + 1 if len(owner) else np.zeros(0, np.int64)
+        firsts = np.concatenate((np.zeros(min(len(owner), 1), np.int64), cut))
+        lasts = np.concatenate((cut - 1, np.full(min(len(owner), 1), len(owner) - 1)))
+        runs.append((owner[firsts], at[firsts], at[lasts]))
+    return grams[runs[0][0]], runs
 
 
 def anchors(raw: bytes, lengths: Sequence[int], gram: int) -> tuple[np.ndarray, list[tuple[np.ndarray, ...]]]:
@@ -77,33 +108,51 @@ def anchors(raw: bytes, lengths: Sequence[int], gram: int) -> tuple[np.ndarray,
 
     The hashes belong to the anchors of the first length, the smallest; the others' are among these.
     """
-    longest, n = max(lengths), len(raw)
+    n = len(raw)
     b = np.frombuffer(raw, np.uint8)
     parts: list[list[tuple[np.ndarray, ...]]] = [[] for _ in lengths]
-    hashes = []
+    hashes = [np.zeros(0, np.uint64)]
     for at in range(0, n - lengths[0] + 1, _CHUNK):
-        grams = _grams(b[at : at + _CHUNK + longest - 1], gram)
-        coded = (grams & ~_POSITION) | np.arange(len(grams), dtype=np.uint64)
-        for k, length in enumerate(lengths):
-            if len(grams) < length - gram + 1:
-                continue
-            owner = _owners(coded, length - gram + 1)[:_CHUNK]
-            cut = np.flatnonzero(np.diff(owner)) + 1
-            first, last = np.concatenate(([0], cut)), np.concatenate((cut - 1, [len(owner) - 1]))
-            if not k:
-                hashes.append(grams[owner[first]])
-            parts[k].append((owner[first] + at, first + at, last + at))
+        some = b[at : at + _CHUNK + lengths[-1] - 1]
+        ends = np.array([[min(_CHUNK, len(some) - length + 1) for length in lengths]])
+        fp, runs = _runs(some, np.zeros(1, np.int64), ends, lengths, gram)
+        hashes.append(fp)
+        for part, run in zip(parts, runs, strict=True):
+            part.append(tuple(x + at for x in run))
     none = (np.zeros(0, np.int64),) * 3
-    runs = []
+    out = []
     for k, some in enumerate(parts):
         p, first, last = map(np.concatenate, zip(none, *some, strict=True))
-        new = np.concatenate(([True], p[1:] != p[:-1])) if len(p) else np.zeros(0, bool)  # a run may span two chunks
-        starts = np.flatnonzero(new)
-        ends = np.append(starts[1:], len(p)) - 1 if len(p) else starts
-        runs.append((p[starts], first[starts], last[ends]))
+        starts = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1]))) if len(p) else p  # a run may span two chunks
+        out.append((p[starts], first[starts], last[np.append(starts[1:], len(p)) - 1 if len(p) else starts]))
         if not k:
-            fp = np.concatenate([np.zeros(0, np.uint64), *hashes])[starts]
-    return fp, runs
+            fp = np.concatenate(hashes)[starts]
+    return fp, out
+
+
+def _together(raws: list[bytes], lengths: Sequence[int], gram: int) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, list[tuple[np.ndarray, ...]]]]:
+    """``anchors`` of many texts: (bytes, end of each text there, hashes, runs) for short texts joined and long ones alone."""
+    held: list[bytes] = []
+    size = 0
+
+    def joined():
+        ends = np.cumsum([len(r) for r in held])
+        starts = ends - [len(r) for r in held]
+        whole = b"".join(held)
+        stops = np.stack([ends - length + 1 for length in lengths], 1)
+        return whole, ends, *_runs(np.frombuffer(whole, np.uint8), starts, stops, lengths, gram)
+
+    for raw in raws:
+        if held and size + len(raw) > _CHUNK:
+            yield joined()
+            held, size = [], 0
+        if len(raw) >= _CHUNK:
+            yield raw, np.array([len(raw)]), *anchors(raw, lengths, gram)
+        else:
+            held.append(raw)
+            size += len(raw)
+    if held:
+        yield joined()
 
 
 def _common(a: bytes, b: bytes) -> int:
@@ -136,6 +185,9 @@ class Suffixes:
 
     def __init__(self, lefts: list[bytes], rights: list[bytes], length: int):
         self.lefts, self.rights, self.length = lefts, rights, length
+        if len(lefts) == 2:
+            self.prefix, self.shared = _common(*rights), _common(*lefts)
+            return
         self.order, self.prefix = _sorted(rights)
         by_left, self.shared = _sorted(lefts)
         self.by_left, self.rank = by_left, np.empty(len(lefts), np.int64)
@@ -145,6 +197,9 @@ class Suffixes:
 
     def spread(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Each interval of the tree: depth, members in order of their left contexts, and what neighbours share there."""
+        if len(self.lefts) == 2:
+            yield self.prefix, np.arange(2), np.array([self.shared])
+            return
         most = max(map(len, self.lefts))
         for depth, first, last in intervals(self.prefix.tolist()):
             if self.length - depth <= most:
@@ -161,8 +216,8 @@ class Suffixes:
             for left, a, b in intervals(between.tolist()):
                 if left + depth >= self.length:
                     some = members[a : b + 1]
-                    places = np.sort(self.place[some])
-                    if self.prefix[places[0] : places[-1]].min() == depth:
+                    places = np.sort(self.place[some]) if len(self.lefts) > 2 else None
+                    if places is None or self.prefix[places[0] : places[-1]].min() == depth:
                         yield left, depth, some
 
     def offsets(self, whole: Sequence[bool], documents: Sequence[int] | None = None) -> list[list[tuple[int, int]]]:
@@ -177,7 +232,7 @@ class Suffixes:
             if w:
                 low = max(self.length - len(self.rights[i]), 0)
                 found[i].append((low, len(self.lefts[i]) + 1))
-        for depth, members, between in self.spread() if len(self.lefts) > 1 else ():
+        for depth, members, between in self.spread() if len(self.lefts) > 2 else ():
             if docs is None:
                 left = np.maximum(np.append(between, -1), np.append(-1, between))
             else:
@@ -187,6 +242,12 @@ class Suffixes:
                 low, high = max(least, self.length - len(self.rights[i])), min(most, len(self.lefts[i]))
                 if low <= high:
                     found[i].append((low, high + 1))
+        if len(self.lefts) == 2 and (docs is None or docs[0] != docs[1] or docs[0] < 0):  # one interval
+            depth, left = self.prefix, self.shared
+            low = max(self.length - depth, 0)
+            if low <= left:
+                for f in found:
+                    f.append((low, left + 1))
         return [_merge(f) for f in found]
 
 
@@ -262,13 +323,15 @@ def _hits(keyed: DataFrame, lengths: Sequence[int], gram: int, reach: int | None
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
             parts: list[list] = [[] for _ in range(3 + len(made))]
-            for k1, k2, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                raw = t.as_py().encode("utf-8", "surrogatepass")
-                if len(raw) < lengths[0]:
-                    continue
-                fp, runs = anchors(raw, lengths, gram)
+            raws = [t.as_py().encode("utf-8", "surrogatepass") for t in batch.column(2)]
+            keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1)]
+            done = 0
+            for raw, text_ends, fp, runs in _together(raws, lengths, gram):
                 view, base = memoryview(raw), runs[0][0]
-                columns = [fp.view(np.int64), np.full(len(fp), k1), np.full(len(fp), k2)]
+                of = np.searchsorted(text_ends, base, side="right")
+                begins = np.concatenate(([0], text_ends[:-1]))
+                columns = [fp.view(np.int64), *(k[done : done + len(text_ends)][of] for k in keys)]
+                done += len(text_ends)
                 for (p, first, last), length in zip(runs, lengths, strict=True):
                     seg, place = np.zeros(len(fp), np.int64), np.full(len(fp), -1)
                     here = np.searchsorted(base, p)
@@ -276,11 +339,12 @@ def _hits(keyed: DataFrame, lengths: Sequence[int], gram: int, reach: int | None
                     if reach is None:
                         start, end = first, last + length
                     else:  # at a text's start there is no byte more, which tells such a segment from others
-                        start, end = np.maximum(first - 1, 0), np.minimum(p + reach, len(raw))
+                        text_no = np.searchsorted(text_ends, p, side="right")
+                        start, end = np.maximum(first - 1, begins[text_no]), np.minimum(p + reach, text_ends[text_no])
                     shape = ((p - start) << 16 | span).tolist()
                     hashed = [digest(view[a:z], s) for a, z, s in zip(start.tolist(), end.tolist(), shape, strict=True)]
                     seg[here] = np.array(hashed, np.uint64).view(np.int64)
-                    place[here] = p << 32 | back << 16 | span
+                    place[here] = (p - begins[np.searchsorted(text_ends, p, side="right")]) << 32 | back << 16 | span
                     columns += [seg, place]
                 for part, column in zip(parts, columns, strict=True):
                     part.append(column)
@@ -328,18 +392,21 @@ def _contexts(keyed: DataFrame, segments: DataFrame, sizes: DataFrame, lengths:
     wanted = (
         segments.join(sizes.filter("segments > 1"), ["fp", "kind"])
         .groupBy("k1", "k2")
-        .agg(F.collect_list(F.struct("fp", "kind", "seg", "n", doc.alias("doc"), (F.col("segments") > most_local).alias("hot"), "place")).alias("wanted"))
+        .agg(F.collect_list(F.struct("fp", "kind", "seg", "n", doc.alias("doc"), "place", (F.col("segments") > most_local).alias("hot"))).alias("wanted"))
     )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for t, some in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            lists = batch.column(1)
+            values = lists.flatten()
+            fields = iter(zip(*[values.field(c).to_pylist() for c in _CONTEXT[:7]], strict=True))
+            for t, many in zip(batch.column(0), lists.value_lengths().to_pylist(), strict=True):
                 raw = t.as_py().encode("utf-8", "surrogatepass")
-                for s in some:
+                for row in islice(fields, many):
                     # Of a frequent gram hash only windows are looked at.
-                    start, p, end = _ends(s["place"], lengths[s["kind"]], None if s["hot"] else reach)
-                    rows.append((s["fp"], s["kind"], s["seg"], s["n"], s["doc"], s["place"], s["hot"], raw[start:p][::-1], raw[p:end]))
+                    start, p, end = _ends(row[5], lengths[row[1]], None if row[6] else reach)
+                    rows.append((*row, raw[start:p][::-1], raw[p:end]))
                 if len(rows) > 10_000:
                     yield _batch(rows, _CONTEXT_TYPES, _CONTEXT)
                     rows = []
@@ -462,11 +529,13 @@ def remove_repeats(
     here = F.when(F.col("offsets").isNull(), F.array(F.struct((p - back).alias("low"), (p - back + span + size).alias("high")))).otherwise(
         F.transform("offsets", lambda r: F.struct((p - r["high"] + 1).alias("low"), (p - r["low"] + size).alias("high")))
     )
+    # A span is one number, in order of kind, then start: 1 bit, 31, and 31 of its size.
+    packed = F.shiftleft(F.col("kind").cast("long"), 62) + F.shiftleft(F.col("span.low").cast("long"), 31) + (F.col("span.high") - F.col("span.low"))
     spans = (
         hits.join(repeated, ["fp", "kind", "seg"])
         .select("k1", "k2", "kind", F.explode(here).alias("span"))
         .groupBy("k1", "k2")
-        .agg(F.collect_set(F.struct("kind", "span.low", "span.high")).alias("spans"))
+        .agg(F.collect_set(packed).alias("spans"))
     )
     spans = materialize(spans, "repeats-spans")
     discard(hits, segments, sizes, contexts, windows, repeated)
@@ -483,7 +552,11 @@ def remove_repeats(
             sizes_, removed, kept, told = [], [], [], []
             for t, some in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
                 raw = t.as_py().encode("utf-8", "surrogatepass")
-                runs = _merge([(s["low"], s["high"]) for s in some or [] if s["kind"] == last])
+                both: tuple[list, list] = ([], [])
+                for s in some or ():
+                    low = s >> 31 & 0x7FFFFFFF
+                    both[s >> 62].append((low, low + (s & 0x7FFFFFFF)))
+                runs = _merge(both[last])
                 at, left = 0, []
                 for a, b in runs:
                     left.append(raw[at:a])
@@ -492,7 +565,7 @@ def remove_repeats(
                 removed.append([{"low": a, "high": b} for a, b in runs])
                 kept.append(b"".join([*left, raw[at:]]))
                 if passage is not None:
-                    told.append([{"low": a, "high": b, "words": len(raw[a:b].split())} for a, b in _merge([(s["low"], s["high"]) for s in some or [] if s["kind"] < last])])
+                    told.append([{"low": a, "high": b, "words": len(raw[a:b].split())} for a, b in _merge(both[0])])
             columns = [batch.column(0), pa.array(sizes_, pa.int64()), pa.array(removed, _ARROW_RANGES), pa.array(kept, pa.binary())]
             if passage is not None:
                 columns.append(pa.array(told, arrow_passages))
