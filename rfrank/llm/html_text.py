@@ -1,14 +1,18 @@
 """Main text of web pages by a tree-structured graphical model.
 
 A page's block elements are the nodes; each is content or not. A node's potential comes from its tag and
-name class, its link density and its text; parent and child are tied by a two-by-two potential, which
-depends on whether the child's markup calls it an article. Nodes that their markup calls a menu, a
-sidebar, comments and the like are observed: not content, whatever is in them. Sum-product messages go up the tree and down again, which gives every node's exact marginal; blocks with
-a marginal of at least one half are the main text.
+name class, its link density, its text and its company among its siblings; parent and child are tied by a
+two-by-two potential, which depends on whether the child's markup calls it an article. Nodes that their
+markup calls a menu, a sidebar, comments and the like are observed: not content, whatever is in them.
+Sum-product messages go up the tree and down again, which gives every node's exact marginal; blocks with
+a marginal of at least one half are the main text. A page without telling names is decided by the other
+features and the messages alone.
+
+Reading a page takes time in proportion to its length, however broken or deep it is.
 
 Labelled pages train both potentials: pages whose own markup names their article (one ``article`` or
 ``main``) label their nodes, and the potentials are smoothed log ratios of counts, taken in Spark over the
-``sample_pages`` labelled pages whose url and id hash lowest. Applying the model is one scan without a shuffle.
+``sample_pages`` different labelled pages that hash lowest. Applying the model is one scan without a shuffle.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
@@ -27,7 +32,11 @@ from pyspark.sql import types as T
 from .common import ship_package, text_of
 
 # HTML's element kinds.
-RAW = {"script", "style", "noscript", "template", "iframe", "svg", "math", "head", "title", "textarea", "object", "canvas", "select", "button"}
+RAW = {"script", "style", "title", "textarea", "iframe", "noembed", "noframes", "xmp"}
+#: Shown by other means than text, or controls: their text is left out. A block that begins ends the first kind,
+#: an article any but a template, and the end of the block around them all.
+ENDED = {"select", "svg", "datalist"}
+HIDDEN = ENDED | {"button", "canvas", "noscript", "template", "audio", "video"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {
     "html", "body", "address", "article", "aside", "blockquote", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt",
@@ -62,21 +71,32 @@ BAD_NAMES = {
     "copyright", "legal", "disclaimer", "tags", "byline", "hidden", "skip", "navigationbar", "complementary", "contentinfo",
 }
 
-_TAG = re.compile(r"""<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[/!?a-zA-Z][^>]*>""", re.S)
+_OPEN = re.compile(r"<(?=[a-zA-Z/!?])")
+# Possessive, so that a tag without an end is given up at once. A quote that does not end is plain.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+_PLAIN = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""")
+_COMMENT_END = re.compile(r"--!?>")
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in (*RAW, "head")}
+_BODY = re.compile(r"<body(?=[\s/>])", re.I)
 _ATTR = re.compile(r"""(?:^|[\s"'/])(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/"']|$)""", re.I)
 _NAME = re.compile(r"[a-z]+")
 
-STRONG, WEAK = 6.0, 1.5  # most that one feature may weigh
+STRONG, MIDDLE, WEAK = 6.0, 3.0, 1.5  # most that one feature may weigh
 STAY = 0.995  # most that a parent may say for its child
-FEATURES = ("good_tag", "bad_tag", "good_name", "bad_name", "form", "links_none", "links_some", "links_most", "short", "middle", "long", "stop", "no_stop")
+FEATURES = (
+    "good_tag", "bad_tag", "good_name", "bad_name", "form", "links_none", "links_some", "links_most", "short", "middle", "long", "stop", "no_stop",
+    "is_paragraph", "is_heading", "is_other", "alone", "in_company",
+)
+#: What kind of block holds a text; any tag else, a division among them, is another.
+KINDS = {"p": "is_paragraph", "pre": "is_paragraph", "blockquote": "is_paragraph", "li": "is_item", "dt": "is_item", "dd": "is_item", "td": "is_cell", "th": "is_cell", "caption": "is_cell"} | {f"h{i}": "is_heading" for i in range(1, 7)}
 _AT = {f: i for i, f in enumerate(FEATURES)}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kind", "chars", "linked", "stop")
+    __slots__ = ("tag", "parent", "kind", "chars", "linked", "stop", "company")
 
     def __init__(self, tag: str, parent: int, kind: tuple):
-        self.tag, self.parent, self.kind, self.chars, self.linked, self.stop = tag, parent, kind, 0, 0, False
+        self.tag, self.parent, self.kind, self.chars, self.linked, self.stop, self.company = tag, parent, kind, 0, 0, False, 0
 
 
 _kinds: dict[tuple[str, str], tuple] = {}
@@ -118,92 +138,144 @@ def _kind(tag: str, attrs: str) -> tuple:
     return found
 
 
+class _Stack:
+    """The open elements, with where each tag is open."""
+
+    def __init__(self):
+        self.tags, self.blocks = ["#root"], [0]
+        self.at: dict[str, list[int]] = {}
+        self.links = self.hidden = 0
+
+    def push(self, tag: str, block: int) -> None:
+        self.at.setdefault(tag, []).append(len(self.tags))
+        self.tags.append(tag)
+        self.blocks.append(block)
+        self.links += tag == "a"
+        self.hidden += tag in HIDDEN
+
+    def last(self, tags) -> int:
+        """Where the innermost of some tags is open; 0 if none is."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+    def outermost_above(self, tags, depth: int) -> int:
+        """Where the outermost of some tags is open above ``depth``; 0 if none is."""
+        found = (self.at[t][i] for t in tags if self.at.get(t) and (i := bisect_right(self.at[t], depth)) < len(self.at[t]))
+        return min(found, default=0)
+
+    def close(self, depth: int) -> bool:
+        """Close what is open from ``depth`` on; whether a block was."""
+        block = False
+        while len(self.tags) > depth:
+            tag = self.tags.pop()
+            self.blocks.pop()
+            self.at[tag].pop()
+            self.links -= tag == "a"
+            self.hidden -= tag in HIDDEN
+            block |= tag in BLOCK
+        return block
+
+
+def _skip_raw(page: str, tag: str, at: int) -> int:
+    """Past the end tag of an element whose content is no markup; the end of the page if it has none."""
+    end = _RAW_END[tag].search(page, at)
+    close = page.find(">", end.end()) if end else -1
+    return close + 1 if close >= 0 else len(page)
+
+
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """Block elements in page order (a parent before its children), and text blocks as (node, text)."""
     nodes = [Node("#root", -1, ())]
-    stack: list[tuple[str, int]] = [("#root", 0)]  # open elements and the block each is in
+    stack = _Stack()
     blocks: list[tuple[int, str]] = []
     run: list[str] = []
-    links = at = 0
+    at, size, headed = 0, len(page), False
 
     def flush() -> None:
         if run:
             text = " ".join("".join(run).split())
             run.clear()
             if text:
-                blocks.append((stack[-1][1], text))
-                nodes[stack[-1][1]].stop |= text[-1] in ".!?…" or ". " in text
+                here = stack.blocks[-1]
+                blocks.append((here, text))
+                nodes[here].stop |= text[-1] in ".!?…" or ". " in text
 
     def words(raw: str) -> None:
-        if raw:
+        if raw and not stack.hidden:
             text = html.unescape(raw) if "&" in raw else raw
-            node, solid = nodes[stack[-1][1]], len(text) if not text.isspace() else 0
+            node, solid = nodes[stack.blocks[-1]], len(text) if not text.isspace() else 0
             node.chars += solid
-            if links:
+            if stack.links:
                 node.linked += solid
             run.append(text)
 
     def close(depth: int) -> None:
-        nonlocal links
-        if any(t in BLOCK for t, _ in stack[depth:]):
+        if any(stack.tags[d] in BLOCK for d in range(len(stack.tags) - 1, depth - 1, -1)):
             flush()
-        links -= sum(t == "a" for t, _ in stack[depth:])
-        del stack[depth:]
+        stack.close(depth)
 
-    size = len(page)
     while at < size:
-        m = _TAG.search(page, at)
-        if m is None:
+        start = _OPEN.search(page, at)
+        if start is None:
             words(page[at:])
             break
-        if m.start() > at:
-            words(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
+        words(page[at : start.start()])
+        at = start.start()
+        if page.startswith("<!--", at):
+            end = _COMMENT_END.search(page, at + 2)
+            at = end.end() if end else size
             continue
+        m = _TAG.match(page, at) or _PLAIN.match(page, at)
+        if m is None:
+            end = page.find(">", at)  # a comment of another kind, or a tag that the page breaks off in
+            at = end + 1 if end >= 0 else size
+            continue
+        at = m.end()
         tag = m[2].lower()
         if m[1]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == tag:
-                    close(depth)
-                    break
-                if stack[depth][0] in ("td", "th", "table") and tag not in BLOCK:
-                    break
+            depth = stack.last((tag,))
+            if depth and (tag in BLOCK or depth > stack.last(("td", "th", "table"))):
+                close(depth)
+            continue
+        if tag == "head":
+            if not headed:  # its end tag may be missing
+                headed = True
+                end, body = _RAW_END["head"].search(page, at), _BODY.search(page, at)
+                if end or body:
+                    at = min(x.start() for x in (end, body) if x)
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            if tag == "head":  # its end tag may be missing
-                body = re.compile(r"<body[\s>]", re.I).search(page, at)
-                at = min([x for x in (end and end.end(), body and body.start()) if x] or [at])
-            elif not m[3].rstrip().endswith("/"):
-                at = end.end() if end else size
+            if not m[3].rstrip().endswith("/"):
+                at = _skip_raw(page, tag, at)
             continue
         if tag == "br":
-            run.append(" ")
+            if not stack.hidden:
+                run.append(" ")
             continue
         if tag in BLOCK:
-            for depth in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph
-                if stack[depth][0] == "p":
-                    close(depth)
-                    break
-                if stack[depth][0] in P_SCOPE:
-                    break
+            depth = stack.last(("p",))  # a block ends an open paragraph
+            if depth > stack.last(P_SCOPE):
+                close(depth)
+            ends = HIDDEN - {"template"} if tag in ("article", "main") else ENDED
+            if stack.hidden and (depth := stack.outermost_above(ends, stack.last(("template",)))):
+                close(depth)
             if tag in CLOSES:
                 shut, stop = CLOSES[tag]
-                for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth][0] in stop:
-                        break
-                    if stack[depth][0] in shut:
-                        close(depth)
+                if depth := stack.outermost_above(shut, stack.last(stop)):
+                    close(depth)
             flush()
             if tag not in VOID:
-                nodes.append(Node(tag, stack[-1][1], _kind(tag, m[3])))
-                stack.append((tag, len(nodes) - 1))
+                nodes.append(Node(tag, stack.blocks[-1], _kind(tag, m[3])))
+                stack.push(tag, len(nodes) - 1)
         elif tag not in VOID:
-            stack.append((tag, stack[-1][1]))
-            links += tag == "a"
+            if tag == "button" and (depth := stack.last(("button",))):
+                close(depth)
+            if not (tag in HIDDEN and m[3].rstrip().endswith("/")):
+                stack.push(tag, stack.blocks[-1])
     close(1)
     flush()
+    for n in nodes[1:]:
+        if n.chars:
+            nodes[n.parent].company += 1
     return nodes, blocks
 
 
@@ -215,15 +287,19 @@ def observed(node: Node) -> bool:
     return not _BAD.isdisjoint(node.kind)
 
 
-def features(node: Node) -> tuple:
+def features(node: Node, parent: Node | None = None) -> tuple:
     if not node.chars or node.tag in ("#root", "html", "body"):
         return node.kind
-    part = node.linked / node.chars
+    part, holder = node.linked / node.chars, KINDS.get(node.tag, "is_other")
+    # Items and cells always come in numbers, in menus as in texts.
+    company = (_AT["in_company" if parent.company > 2 else "alone"],) if parent and holder not in ("is_item", "is_cell") else ()
     return (
         *node.kind,
         _AT["links_none" if part == 0 else "links_some" if part < 0.6 else "links_most"],
         _AT["short" if node.chars < 25 else "middle" if node.chars < 100 else "long"],
         _AT["stop" if node.stop else "no_stop"],
+        *((_AT[holder],) if holder not in ("is_item", "is_cell") else ()),
+        *company,
     )
 
 
@@ -258,13 +334,14 @@ class Model:
 
     def marginals(self, nodes: list[Node]) -> list[float]:
         """Log odds of every node's marginal, by messages up the tree and down."""
-        belief, edge = [], []
+        belief, edge, out = [], [], []
         for n in nodes:
-            if observed(n):
+            out.append(observed(n) or n.parent >= 0 and out[n.parent])  # with all that is in it
+            if out[-1]:
                 belief.append(-500.0)
                 edge.append(None)  # an observed node says nothing about its parent
             else:
-                belief.append(self.potential(features(n)))
+                belief.append(self.potential(features(n, nodes[n.parent] if n.parent >= 0 else None)))
                 edge.append(self.edges[not _GOOD.isdisjoint(n.kind)])
         sent = [0.0] * len(nodes)
         for i in range(len(nodes) - 1, 0, -1):  # children come after their parents
@@ -295,7 +372,7 @@ def fit(counts: dict[tuple[str, int, int], int]) -> Model:
         prior = {"good": (1, 40), "bad_": (40, 1), "form": (20, 1)}.get(name[:4], (1, 1))
         no, yes = (counts.get(("feature", i, y), 0) + prior[y] for y in (0, 1))
         ratio = math.log(yes / (total[1] + sum(prior))) - math.log(no / (total[0] + sum(prior)))
-        most = STRONG if strong else WEAK
+        most = STRONG if strong else MIDDLE if name.startswith("is_") else WEAK
         weights.append(max(-most, min(most, ratio)))
     up, most = [], math.log(STAY / (1 - STAY))
     for k, (no_prior, yes_prior) in enumerate(((200, 1), (1, 200), (2, 2), (1, 20))):
@@ -313,7 +390,7 @@ def count_labelled(pages: Iterator[str]) -> Counter:
             continue
         for n, y in zip(nodes[1:], found[1:], strict=True):
             counts["node", 0, int(y)] += 1
-            for f in features(n):
+            for f in features(n, nodes[n.parent]):
                 counts["feature", f, int(y)] += 1
             if not observed(n):
                 counts["edge", 2 * (not _GOOD.isdisjoint(n.kind)) + found[n.parent], int(y)] += 1
@@ -325,7 +402,7 @@ def train(pages: DataFrame, html_col: str = "html", sample_pages: int = 2000) ->
     ship_package(pages.sparkSession)
     page = text_of(html_col)
     labelled = pages.select(page.alias("html")).filter(page.rlike("(?i)<(?:article|main)[\\s>]")).withColumn("draw", F.xxhash64("html"))
-    limit = labelled.select("draw").orderBy("draw").limit(sample_pages).agg(F.max("draw")).first()[0]
+    limit = labelled.select("draw").distinct().orderBy("draw").limit(sample_pages).agg(F.max("draw")).first()[0]
     if limit is None:
         return fit({})
 
@@ -339,7 +416,8 @@ def train(pages: DataFrame, html_col: str = "html", sample_pages: int = 2000) ->
             [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.int64()), strict=True)], ["what", "which", "label", "n"]
         )
 
-    counted = labelled.filter(F.col("draw") <= limit).limit(2 * sample_pages).select("html").mapInArrow(count, "what string, which int, label int, n bigint")
+    # Counted where the pages lie: copies of one page count once for each, and no page moves.
+    counted = labelled.filter(F.col("draw") <= limit).select("html").mapInArrow(count, "what string, which int, label int, n bigint")
     rows = counted.groupBy("what", "which", "label").agg(F.sum("n").alias("n")).collect()
     return fit({(r["what"], r["which"], r["label"]): r["n"] for r in rows})
 
@@ -352,8 +430,8 @@ def extract_text(pages: DataFrame, carry: Sequence[Column | str] = ("*",), html_
     space inside a block turned into one space; empty if there is none.
 
     A null page counts as empty; repeated rows are treated alike; broken markup is read as HTML's rules
-    for open paragraphs, lists and tables say; an empty table gives an empty result. Other columns ride
-    along inside ``row``, whatever their names.
+    for open paragraphs, lists and tables say, and a tag that the page breaks off in is dropped; an empty
+    table gives an empty result. Other columns ride along inside ``row``, whatever their names.
     """
     ship_package(pages.sparkSession)
     model = model or train(pages, html_col)

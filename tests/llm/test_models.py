@@ -1,16 +1,18 @@
 """Search, personal data, chat, pages and quality: brute force, round trips and held-out accuracy."""
 
 import html as entities
+import math
 import random
 import re
-from collections import defaultdict
+import time
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from rfrank.llm import chat, html_text, pii, quality
-from rfrank.llm.knn import scores, top_k
+from rfrank.llm.knn import needed_pairs, scores, top_k
 
 # Search
 
@@ -40,8 +42,6 @@ def test_top_k(spark, block, pivots, k):
 
 def test_top_k_copies_only_what_is_needed(spark):
     """Clustered vectors: most cells are pruned, and data goes only to query groups that ask for its cell."""
-    from rfrank.llm.knn import needed_pairs
-
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(40, 16)) * 4
     rows = [(i, (centres[i % 40] + rng.normal(size=16) * 0.05).tolist()) for i in range(4000)]
@@ -207,6 +207,47 @@ def test_pages(spark, sf_dir):
     assert len(found) > 50 and all(r.text == reference_text(r.html) for r in found)
 
 
+def without_names(page):
+    """The page with no tag or attribute left that tells what a block is for."""
+    page = re.sub(r"<(/?)(article|nav|footer|header|aside|main|section)\b[^>]*>", r"<\1div>", page)
+    return re.sub(r' (class|id|role)="[^"]*"', "", page)
+
+
+def test_pages_without_telling_names(spark, sf_dir):
+    """Decided by messages from the blocks' texts and company; words against those of the article."""
+    pages = [(r.page_id, r.html) for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
+    model = html_text.fit(html_text.count_labelled(h for i, h in pages if i % 2))
+    right = extra = missed = 0
+    for i, h in pages:
+        if i % 2 == 0:
+            got, want = Counter(model.text(without_names(h)).split()), Counter(reference_text(h).split())
+            right, extra, missed = right + (got & want).total(), extra + (got - want).total(), missed + (want - got).total()
+    assert 2 * right / (2 * right + extra + missed) > 0.99
+
+
+@pytest.mark.parametrize("page", [
+    "<a " * 330_000, "<div>" * 100_000, '<a "' * 200_001 + ">", "<!--" * 200_000, "<p>" * 100_000, "<ul><li>" * 60_000, "<b>" * 100_000 + "</i>" * 100_000,
+    "<script>" + "</script " * 100_000, "<head>" * 100_000, '<a class="' * 80_000 + ">", "<button>" * 50_000 + "<p>x" * 50_000, "<table><tr><td>" * 30_000 + "</b>" * 30_000,
+])
+def test_broken_and_deep_pages_take_linear_time(page):
+    model, began = html_text.fit({}), time.process_time()
+    model.text(page)
+    assert time.process_time() - began < 5
+
+
+@pytest.mark.parametrize("page, want", [
+    ("<button>Menu <article><h1>T</h1><p>A long paragraph of text that is here. Yes.</p></article> <button>Share</button>", "T\nA long paragraph of text that is here. Yes."),
+    ("<p>before <svg><title>x</title><path></svg> after it goes on for a while. Yes.</p>", "before after it goes on for a while. Yes."),
+    ("<article><p>x <math><mi>a</mi></math> y is a text of some length, is it not. Yes.</p><p>z <object>instead</object></p></article>", "x a y is a text of some length, is it not. Yes.\nz instead"),
+    ("<noscript><img>please</noscript><article><p>Text.</p></article>", "Text."),
+    ("<svg><path><article><p>Text.</p></article>", "Text."),
+    ("<article><p>Text <a href='it", "Text"),
+    ("<article><p title=it's>Text, a < b.</p><p title=\"a>b\">More.</p></article>", "Text, a < b.\nMore."),
+])
+def test_markup_that_is_no_text(page, want):
+    assert html_text.fit({}).text(page) == want
+
+
 PAGES = [
     (
         "<html><body class='has-sidebar'><header><h1>Site</h1><ul><li><a href=/>Home</a></ul></header><div class='cookie-notice'>We use cookies. Accept?</div><div id=content><h1>Title</h1>"
@@ -324,6 +365,89 @@ def test_quality_scores_short_texts(spark):
         assert [found[i] for i in range(len(short))] == [False, False] + [True] * 8
 
 
+def plain_votes(text):
+    """The labellers' votes, written out one by one."""
+    white = " \t\n\x0b\x0c\r"
+    words = [w for w in re.split(f"[{white}]+", text) if w]
+    raw = text.encode()
+    if not words:
+        return [0] * 8
+    ordinary = set(b"+-()@:;'\"/?=_0123456789.,!|") | set(white.encode())
+    kind = ["a" if 97 <= b < 123 or b > 127 else "A" if 65 <= b < 91 else chr(b) if b in ordinary else "#" for b in raw]
+    count = Counter(kind)
+    odd = sum(any(k in "!|#" for k in kind_of) for kind_of in ([k for k, b in zip(kind, raw)][i:j] for i, j in word_bytes(raw)))
+    solid, letters, n = sum(b not in white.encode() for b in raw), sum(65 <= b < 91 or 97 <= b < 123 for b in raw), len(words)
+    windows = [words[i : i + 64] for i in range(0, n, 64)]
+    if len(windows) > 1 and len(windows[-1]) < 32:
+        windows.pop()
+    few = sum(1 - len(set(w)) / len(w) for w in windows) / len(windows)
+    repeats = sum(a == b for a, b in zip(words, words[1:]))
+    short, solid = n < 5, max(solid, 1)
+    if short:
+        n, solid, letters = max(5, solid / 8), max(solid, 25), max(letters, 25)
+    noise = count["!"] + count["|"] + count["#"]
+    found = [count["#"] / n, count["!"] / n, count["A"] / max(letters, 1), count["|"] / n, repeats / n, few, odd / n, noise / solid]
+    out = []
+    for k, (x, (_, junk, clean)) in enumerate(zip(found, quality.LABELLERS, strict=True)):
+        out.append(0 if short and k in (4, 5) else 2 if x >= junk else 1 if clean is not None and x <= clean else 0)
+    return out
+
+
+def word_bytes(raw):
+    return [m.span() for m in re.finditer(rb"[^ \t\n\x0b\x0c\r]+", raw)]
+
+
+def plain_posteriors(votes):
+    """EM document by document."""
+    either, junk = [c is not None for *_, c in quality.LABELLERS], [0.8 if 2 in v else 0.02 for v in votes]
+    for _ in range(200):
+        share = min(0.9, max(1e-4, (sum(junk) + 0.1) / (len(votes) + 2)))
+        rate = []
+        for k in range(8):
+            of = []
+            for y, pseudo in ((0, 0.01), (1, 1.0)):
+                w = [q if y else 1 - q for q in junk]
+                against = sum(x for x, v in zip(w, votes) if v[k] == 2)
+                asked = sum(x for x, v in zip(w, votes) if v[k]) if either[k] else sum(w)
+                of.append((against + pseudo) / (asked + 2))
+            rate.append((min(of[0], quality.MAX_FALSE_ALARMS), of[1]))
+        was, junk = junk, []
+        for v in votes:
+            odds = math.log(share / (1 - share))
+            for k, x in enumerate(v):
+                if x == 2:
+                    odds += math.log(rate[k][1] / rate[k][0])
+                elif x == 1 and either[k]:
+                    odds += math.log((1 - rate[k][1]) / (1 - rate[k][0]))
+            junk.append(1 / (1 + math.exp(-max(-500, min(500, odds)))))
+        if max(abs(a - b) for a, b in zip(was, junk)) < 1e-9:
+            break
+    return junk, rate, share
+
+
+def test_quality_against_brute_force(spark, sf_dir):
+    """Votes, labellers' rates and scores of a table, document by document in plain Python."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").limit(300).collect()]
+    rows += [(1000, None), (1001, "\n"), (1002, "!!! ### %%%"), (1003, "ok"), (1004, "日本語のとても長い文章です。")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    model = quality.fit_quality(docs)
+    votes = [plain_votes(t or "") for _, t in rows]
+    junk, rate, share = plain_posteriors(votes)
+    assert model.share == pytest.approx(share, abs=1e-6)
+    assert np.array(list(model.rates.values())) == pytest.approx(np.array(rate), abs=1e-6)
+    draws = {r.doc_id: r.draw for r in docs.select("doc_id", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("draw")).collect()}
+    order = sorted(range(len(rows)), key=lambda i: draws[rows[i][0]])
+    x = np.stack([quality.statistics(rows[i][1] or "")[1] for i in order]).astype(float)
+    weights, bias = quality.fit_scorer(x, np.array([junk[i] for i in order]))
+    want = {}
+    for (i, t), v in zip(rows, votes):
+        code = int("".join(map(str, v)), 3)
+        score = 1 / (1 + math.exp(-(quality.statistics(t)[1] @ weights + bias))) if (t or "").split() else 0.0
+        want[i] = (code, pytest.approx(score, abs=1e-3))
+    got = {r.row.doc_id: (r.votes, r.junk_score) for r in quality.classify_quality(docs, carry=["doc_id"]).collect()}
+    assert got == want
+
+
 def test_label_model_finds_junk_and_accuracies():
     rng = np.random.default_rng(1)
     m, n = len(quality.LABELLERS), 20_000
