@@ -4,14 +4,15 @@ Overlapping heuristic labellers vote junk, clean or nothing on every document. E
 over the counts of vote patterns estimates each labeller's accuracies and the share of junk; the
 patterns' posteriors are soft labels for a logistic scorer over hashed features, which decides.
 
-Two scans of the texts, no shuffle of them. The first counts vote patterns over all documents (at most
-3 ** labellers rows, pre-aggregated) and gathers features of at most ``sample_rows`` documents for the
-fit; the second scores every document.
+Texts are scanned where they lie and never shuffled. The first scan counts vote patterns over all documents
+(at most 3 ** labellers rows, pre-aggregated); the features of at most ``sample_rows`` documents, vectors of
+fixed length made where the texts are, are gathered for the fit; the last scan scores every document.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, ship_package, text_of
+from .common import discard, materialize, ship_package, text_of
 
 #: Byte classes: 0 white, 1 lower case or beyond ASCII, 2 upper case, 3 digits and the signs of ordinary
 #: numbers, addresses and quotations, 4 stop, 5 comma, 6 "!", 7 "|", 8 other.
@@ -59,16 +60,16 @@ LABELLERS = (
 )
 
 
-def statistics(text: str) -> tuple[np.ndarray | None, np.ndarray]:
-    """The labellers' statistics (None for a text without a word; NaN where words are too few) and the hashed features."""
+def statistics(text: str, featured: bool = True) -> tuple[np.ndarray | None, np.ndarray | None]:
+    """The labellers' statistics (None for a text without a word; NaN where words are too few) and, if wanted, the hashed features."""
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-    features = np.zeros(DIMS, np.float32)
+    features = np.zeros(DIMS, np.float32) if featured else None
     words = text.split()
     if not words:
         return None, features
     c = _CLASS[raw]
     count = np.bincount(c, minlength=9).astype(float)
-    if len(c) > 2:
+    if featured and len(c) > 2:
         codes = c[:-2].astype(np.int16) * 81 + c[1:-1].astype(np.int16) * 9 + c[2:]
         features[:_GRAMS] = np.bincount(codes, minlength=_GRAMS) / len(codes)
     n = len(words)
@@ -97,7 +98,7 @@ def statistics(text: str) -> tuple[np.ndarray | None, np.ndarray]:
     )
     if short:
         found[SEVERAL_WORDS] = np.nan  # neither bound holds
-    for k, x in enumerate(found):
+    for k, x in enumerate(found if featured else ()):
         if np.isnan(x):
             continue
         bin_ = min(int(x * 20), 19)
@@ -114,14 +115,19 @@ def votes(found: np.ndarray | None) -> int:
     return code
 
 
-def fit_label_model(codes: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
+def fit_label_model(codes: np.ndarray, counts: np.ndarray, rounds: int = 200, max_false_alarms: float | None = None) -> tuple[np.ndarray, np.ndarray, float]:
     """EM over vote patterns. Returns each pattern's posterior of junk, the labellers' rates of junk votes
     (class, labeller), and the share of junk. Class 1 is junk.
 
     Not voting says nothing: a labeller that can vote either way has its rate taken over its votes, one
     for a single kind of junk over all texts of a class, and only votes enter a posterior.
+
+    The rates on junk are estimated freely. Those on clean texts are estimated below ``MAX_FALSE_ALARMS``, an
+    assumption about the labellers, not a finding: it tells the two classes apart, as EM alone may take a
+    kind of junk that few labellers see for a habit of clean texts. README has figures with and without it.
     """
     m = len(LABELLERS)
+    bound = MAX_FALSE_ALARMS if max_false_alarms is None else max_false_alarms
     v = np.stack([codes // 3 ** (m - 1 - k) % 3 for k in range(m)], 1)
     against, for_ = (v == 2).astype(float), (v == 1).astype(float)
     either = np.array([clean is not None for *_, clean in LABELLERS])
@@ -132,8 +138,7 @@ def fit_label_model(codes: np.ndarray, counts: np.ndarray, rounds: int = 200) ->
         of_class = np.stack([weight * (1 - junk), weight * junk])
         asked = np.where(either, of_class @ (against + for_), of_class.sum(1)[:, None])
         rate = (of_class @ against + [[0.01], [1.0]]) / (asked + 2)
-        # Without a bound on false alarms a kind of junk that few labellers see passes for a habit of clean texts.
-        rate[0] = np.minimum(rate[0], MAX_FALSE_ALARMS)
+        rate[0] = np.minimum(rate[0], bound)
         odds = np.log(share / (1 - share)) + against @ np.log(rate[1] / rate[0]) + (for_ * either) @ np.log((1 - rate[1]) / (1 - rate[0]))
         was, junk = junk, 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
         if np.abs(was - junk).max() < 1e-9:
@@ -155,57 +160,78 @@ def fit_scorer(x: np.ndarray, y: np.ndarray, rounds: int = 400, l2: float = 1e-4
     return w * scale, b
 
 
-def classify_quality(
-    docs: DataFrame,
-    carry: Sequence[Column | str] = ("*",),
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    sample_rows: int = 8000,
-    threshold: float = 0.5,
-) -> DataFrame:
-    """Score every document; reject junk.
+@dataclass(frozen=True)
+class QualityModel:
+    """What was learned: the scorer, and what the label model says of the labellers."""
 
-    Returns one row per input row: ``row`` (a struct of the ``carry`` columns), ``junk_score``
-    (probability of junk by the scorer), ``votes`` and ``accepted`` (score below ``threshold``).
+    weights: np.ndarray
+    bias: float
+    #: Each labeller's rate of junk votes on (clean, junk) texts, and the share of junk.
+    rates: dict[str, tuple[float, float]]
+    share: float
 
-    The scorer is fitted on the ``sample_rows`` documents whose text and id hash lowest; vote counts,
-    labeller accuracies and scores cover every document. A null text counts as empty. A text without a
-    word has the score ``EMPTY_SCORE``, any other the scorer's; on texts of fewer than ``MIN_WORDS``
-    words labellers that compare words abstain. Repeated rows are scored alike; an empty table gives an empty result. Other columns ride along inside ``row``,
-    whatever their names.
-    """
-    spark = docs.sparkSession
-    ship_package(spark)
-    draw = F.xxhash64(F.col(id_col), F.substring(text_of(text_col), 1, 64))
-    seen = docs.select(draw.alias("draw"), text_of(text_col).alias("text"))
+
+def fit_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 8000, max_false_alarms: float | None = None) -> QualityModel | None:
+    """Fit the label model on the votes on all documents, and the scorer on the ``sample_rows`` different
+    (id, text) that hash lowest. None for an empty table."""
+    ship_package(docs.sparkSession)
+    seen = docs.select(F.xxhash64(F.col(id_col), text_of(text_col)).alias("draw"), text_of(text_col).alias("text"))
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([votes(statistics(t.as_py())[0]) for t in batch.column(1)], pa.int32())], ["draw", "votes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([votes(statistics(t.as_py(), False)[0]) for t in batch.column(1)], pa.int32())], ["draw", "votes"])
 
     voted = materialize(seen.mapInArrow(vote, "draw bigint, votes int"), "quality-votes")
     patterns = voted.groupBy("votes").count().toPandas()
     if not len(patterns):
-        empty = T.StructType([docs.select(F.struct(*carry).alias("row")).schema["row"]])
-        return spark.createDataFrame([], empty).select("row", F.lit(0.0).alias("junk_score"), F.lit(0).alias("votes"), F.lit(True).alias("accepted"))
+        return None
     codes = patterns["votes"].to_numpy()
-    posterior, *_ = fit_label_model(codes, patterns["count"].to_numpy())
-
-    limit = voted.select("draw").orderBy("draw").limit(sample_rows).agg(F.max("draw")).first()[0]
+    posterior, rate, share = fit_label_model(codes, patterns["count"].to_numpy(), max_false_alarms=max_false_alarms)
+    limit = voted.select("draw").distinct().orderBy("draw").limit(sample_rows).agg(F.max("draw")).first()[0]
+    discard(voted)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [statistics(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([votes(s) for s, _ in out], pa.int32()), pa.array([f.tobytes() for _, f in out], pa.binary())], ["votes", "features"]
+                [batch.column(0), pa.array([votes(s) for s, _ in out], pa.int32()), pa.array([f.tobytes() for _, f in out], pa.binary())], ["draw", "votes", "features"]
             )
 
-    sample = seen.filter(F.col("draw") <= limit).limit(2 * sample_rows).mapInArrow(features, "votes int, features binary").toPandas()
+    sample = seen.filter(F.col("draw") <= limit).mapInArrow(features, "draw bigint, votes int, features binary").dropDuplicates(["draw"])
+    sample = sample.toPandas().sort_values("draw")  # so that sums do not depend on the order of partitions
     x = np.frombuffer(b"".join(sample["features"]), np.float32).reshape(-1, DIMS)
     y = pd.Series(posterior, index=codes).reindex(sample["votes"]).to_numpy()
     weights, bias = fit_scorer(x.astype(np.float64), y)
-    weights = weights.astype(np.float32)
+    rates = {name: (float(c), float(j)) for (name, *_), c, j in zip(LABELLERS, *rate, strict=True)}
+    return QualityModel(weights.astype(np.float32), bias, rates, share)
 
+
+def classify_quality(
+    docs: DataFrame,
+    carry: Sequence[Column | str] = ("*",),
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    sample_rows: int = 8000,
+    threshold: float = 0.5,
+    model: QualityModel | None = None,
+) -> DataFrame:
+    """Score every document; reject junk. Fits a model on the documents themselves if none is given.
+
+    Returns one row per input row: ``row`` (a struct of the ``carry`` columns), ``junk_score``
+    (probability of junk by the scorer), ``votes`` and ``accepted`` (score below ``threshold``).
+
+    A null text counts as empty. A text without a word has the score ``EMPTY_SCORE``, any other the
+    scorer's; on texts of fewer than ``MIN_WORDS`` words labellers that compare words abstain. Repeated rows
+    are scored alike; an empty table gives an empty result. Other columns ride along inside ``row``,
+    whatever their names.
+    """
+    spark = docs.sparkSession
+    ship_package(spark)
+    model = model or fit_quality(docs, id_col, text_col, sample_rows)
+    if model is None:
+        empty = T.StructType([docs.select(F.struct(*carry).alias("row")).schema["row"]])
+        return spark.createDataFrame([], empty).select("row", F.lit(0.0).alias("junk_score"), F.lit(0).alias("votes"), F.lit(True).alias("accepted"))
+    weights, bias = model.weights, model.bias
     whole = list(carry) == ["*"]  # then the text travels inside the row, once
     source = docs.select(F.struct(*carry).alias("row"), *([] if whole else [text_of(text_col).alias("text")]))
     schema = T.StructType(
