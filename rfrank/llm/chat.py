@@ -7,8 +7,11 @@ Grammar of a formatted conversation::
 
 Role and text hold none of the three control strings. Reading a part back turns ``\\1``, ``\\2``, ``\\3``
 into the control strings and ``\\0`` into a backslash. Every conversation is first rendered as it is,
-parsed, and compared with its source; those that differ are rendered with their parts escaped, which the
-parser restores exactly, since an escaped part holds no control string and no backslash without a digit.
+parsed, and compared with its source. In one that differs, each part is rendered, read and compared on its
+own, and those that conflict are escaped; the whole is then parsed and compared again. Should it still
+differ, as it does if parts that are innocent alone make a control string together, all of its parts are
+escaped; an escaped part holds no control string and no backslash without a digit, so the third reading
+agrees, and a conversation whose reading does not raises an error rather than be written.
 """
 
 from __future__ import annotations
@@ -35,11 +38,22 @@ def unescape(part: Column) -> Column:
     return part
 
 
-def render(turns: Column, wrap=lambda c: c) -> Column:
+def render(turns: Column) -> Column:
     """Text of an array of (role, text)."""
-    return F.array_join(
-        F.transform(turns, lambda t: F.concat(F.lit(OPEN), wrap(t["role"]), F.lit(CLOSE), wrap(t["text"]), F.lit(END))), ""
-    )
+    return F.array_join(F.transform(turns, lambda t: F.concat(F.lit(OPEN), t["role"], F.lit(CLOSE), t["text"], F.lit(END))), "")
+
+
+def escaped_turns(turns: Column, wrap) -> Column:
+    """The turns with ``wrap`` applied to every part."""
+    return F.transform(turns, lambda t: F.struct(wrap(t["role"]).alias("role"), wrap(t["text"]).alias("text")))
+
+
+def escape_conflicting(part: Column) -> Column:
+    """A part that reads back as itself stays; one that holds a control string or reads back as another text is escaped."""
+    innocent = unescape(part) == part
+    for control in (OPEN, CLOSE, END):
+        innocent = innocent & ~F.contains(part, F.lit(control))
+    return F.when(innocent, part).otherwise(escape(part))
 
 
 def parse(formatted: Column) -> Column:
@@ -96,31 +110,43 @@ def format_chat(
         )
         .withColumn("turns", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))))
     )
-    plain = render(F.col("turns"))
-    checked = turns.withColumn("escaped", ~F.coalesce(parse(plain) == F.col("turns"), F.lit(False)))
+    turns_ = F.col("turns")
+
+    def reads_back(parts: str) -> Column:
+        return F.coalesce(parse(render(F.col(parts))) == turns_, F.lit(False))
 
-    def written(part: Column) -> Column:
-        return F.when(F.col("escaped"), escape(part)).otherwise(part)
+    # Rendered, read and compared up to three times; most conversations pass the first.
+    once = turns.withColumn("plain", reads_back("turns"))
+    once = once.withColumn("parts", F.when(F.col("plain"), turns_).otherwise(escaped_turns(turns_, escape_conflicting)))
+    again = once.withColumn("agrees", F.when(F.col("plain"), F.lit(True)).otherwise(reads_back("parts")))
+    again = again.withColumn("parts", F.when(F.col("agrees"), F.col("parts")).otherwise(escaped_turns(turns_, escape)))
+    last = again.withColumn("formatted", render(F.col("parts")))
+    agrees = F.col("agrees") | F.coalesce(parse(F.col("formatted")) == turns_, F.lit(False))
+    formatted = F.when(agrees, F.col("formatted")).otherwise(F.raise_error(F.lit("a conversation does not read back as it was")))
 
     def runs(t: Column) -> Column:
-        head = F.length(written(t["role"])) + len(OPEN) + len(CLOSE)
-        return F.array(
-            *[
-                F.struct(m.alias("masked"), n.cast("long").alias("n_chars"))
-                for m, n in (
-                    (F.lit(False), head),
-                    (t["role"].isin(*loss_roles), F.length(written(t["text"]))),
-                    (F.lit(False), F.lit(len(END))),
-                )
-            ]
-        )
+        head = F.length(t["role"]) + len(OPEN) + len(CLOSE)
+        lengths = ((F.lit(False), head), (unescape(t["role"]).isin(*loss_roles), F.length(t["text"])), (F.lit(False), F.lit(len(END))))
+        return F.array(*[F.struct(m.alias("masked"), n.cast("long").alias("n_chars")) for m, n in lengths])
 
-    return checked.select(
-        "conv_id",
-        F.when(F.col("escaped"), render(F.col("turns"), escape)).otherwise(plain).alias("formatted"),
-        "escaped",
-        F.flatten(F.transform("turns", runs)).alias("loss_mask"),
-    )
+    return last.select("conv_id", formatted.alias("formatted"), (~F.col("plain")).alias("escaped"), F.flatten(F.transform("parts", runs)).alias("loss_mask"))
+
+
+def masked_texts(formatted: Column, loss_mask: Column) -> Column:
+    """The pieces of a formatted text under its loss mask, read back: what its runs cut out, unescaped."""
+    none = F.array().cast("array<struct<at:bigint,n:bigint>>")
+
+    def step(acc: Column, run: Column) -> Column:
+        cut = F.array(F.struct(acc["at"].alias("at"), run["n_chars"].alias("n")))
+        return F.struct((acc["at"] + run["n_chars"]).alias("at"), F.when(run["masked"], F.concat(acc["cuts"], cut)).otherwise(acc["cuts"]).alias("cuts"))
+
+    cuts = F.aggregate(loss_mask, F.struct(F.lit(0).cast("long").alias("at"), none.alias("cuts")), step)["cuts"]
+    chars = F.split(formatted, "", -1)  # so that a cut costs its own length, not its distance from the start
+    both = F.struct(chars.alias("chars"), cuts.alias("cuts"))  # named, so that the split is made once
+    return F.transform(
+        F.array(both),
+        lambda w: F.transform(w["cuts"], lambda c: unescape(F.array_join(F.slice(w["chars"], (c["at"] + 1).cast("int"), c["n"].cast("int")), ""))),
+    )[0]
 
 
 def op9_chat(spark, sf_dir: str) -> DataFrame:
@@ -131,9 +157,7 @@ def op9_chat(spark, sf_dir: str) -> DataFrame:
     )
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(hard)
     back = format_chat(rows).withColumn("turns", parse(F.col("formatted")))
-    # Runs go head, text, end for each turn, so each turn's own run says whether its text is under the mask.
-    masked = F.transform(F.filter("loss_mask", lambda r, i: i % 3 == 1), lambda r: r["masked"])
-    loss = F.array_join(F.transform(F.filter(F.arrays_zip("turns", masked.alias("masked")), lambda x: x["masked"]), lambda x: x["turns"]["text"]), "")
+    loss = F.array_join(masked_texts(F.col("formatted"), F.col("loss_mask")), "")
     return (
         back.withColumn("loss", loss)
         .select(
@@ -153,14 +177,13 @@ WITH rows AS (
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
   UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), marked AS (
-  SELECT *, max((regexp_matches(role || ' ' || text, '</s>|\[/?INST\]|\\[0-3]'))::INT) OVER (PARTITION BY conv_id) AS hard
+  SELECT *, CASE WHEN regexp_matches(role, '</s>|\[/?INST\]|\\[0-3]') THEN role ELSE '' END
+            || ' ' || CASE WHEN regexp_matches(text, '</s>|\[/?INST\]|\\[0-3]') THEN text ELSE '' END AS hard
   FROM rows
 ), sized AS (
-  SELECT *, length(role) + length(text) + 17 + CASE WHEN hard = 1 THEN
-      (len(regexp_extract_all(role || ' ' || text, '\\'))
-       - 2 * len(regexp_extract_all(role || ' ' || text, '</s>'))
-       - 4 * len(regexp_extract_all(role || ' ' || text, '\[INST\]'))
-       - 5 * len(regexp_extract_all(role || ' ' || text, '\[/INST\]'))) ELSE 0 END AS n
+  SELECT *, length(role) + length(text) + 17
+      + len(regexp_extract_all(hard, '\\')) - 2 * len(regexp_extract_all(hard, '</s>'))
+      - 4 * len(regexp_extract_all(hard, '\[INST\]')) - 5 * len(regexp_extract_all(hard, '\[/INST\]')) AS n
   FROM marked
 )
 SELECT conv_id, count(*)::BIGINT AS n_turns,
