@@ -1,10 +1,18 @@
 """Personal data by weak supervision, in DataFrame functions only.
 
-Four base kinds are exact: a pattern, and a test that a match must pass. Beyond them, every code-like
-token (letters and digits with at least one digit) is a candidate for a fifth kind, ``secret``. A regex, a
-gazetteer, a context and a shape labeller vote on each candidate; expectation-maximisation over the
-counts of vote patterns estimates their reliabilities, and the posteriors train the final span
-classifier, a log-odds model over hashed features, which decides what is added.
+Four base kinds are exact: a pattern, and a test that a match must pass. Beyond them there are candidates
+of five more kinds:
+
+* ``secret``: what follows a field word such as ``password``, whatever its characters and length, and every
+  token of letters and digits with a digit in it;
+* ``id``: numbers in groups, and account numbers that begin with a country's letters;
+* ``name``: two to four capitalised words, or what follows a title or a word that asks for a name;
+* ``address``: a house number with a street, in the forms of four languages;
+* ``birth``: a date in figures.
+
+A regex, a gazetteer, a context and a shape labeller vote on each candidate; expectation-maximisation over
+the counts of vote patterns estimates their reliabilities for each kind, and the posteriors train the final
+span classifier, a log-odds model over hashed features, which decides what is added.
 
 One scan finds base spans and candidates; neither the texts nor anything else is shuffled but the counts
 of vote patterns and of feature buckets, both of bounded number and combined before the shuffle.
@@ -32,18 +40,39 @@ PATTERNS = {
 }
 #: A text without this character, or without a digit, has no match.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-CANDIDATE = r"(?<![A-Za-z0-9])[A-Za-z]*+[0-9][A-Za-z0-9]*+"
-MIN_CODE = 6
 
 # Words that name what follows them.
 PRIVATE_FIELDS = (
     "password", "passwd", "pwd", "passwort", "token", "secret", "key", "apikey", "api_key", "access_key", "auth",
-    "login", "pin", "ssn", "iban", "passport", "account", "konto", "contraseña", "clave",
+    "login", "pin", "ssn", "iban", "passport", "account", "konto", "contraseña", "clave", "user", "username", "passphrase",
+    "credential", "credentials", "bearer", "licence", "mot de passe", "kennwort", "apitoken", "private_key", "client_secret",
 )
 PUBLIC_FIELDS = (
     "page", "seite", "pagina", "página", "chapter", "kapitel", "chapitre", "volume", "vol", "figure", "fig", "table",
     "version", "v", "section", "article", "artikel", "year", "jahr", "año", "build", "model", "no",
 )
+FIRST_NAMES = (
+    "James", "John", "Robert", "Michael", "William", "David", "Mary", "Jennifer", "Linda", "Elizabeth", "Susan", "Sarah", "Anna", "Emma", "Maria",
+    "Thomas", "Peter", "Hans", "Klaus", "Jürgen", "Stefan", "Andreas", "Ursula", "Petra", "Sabine", "Jean", "Pierre", "Michel", "Marie", "Nathalie",
+    "Isabelle", "Sophie", "José", "Juan", "Carlos", "Antonio", "Manuel", "Carmen", "Ana", "Laura", "Alice", "Bob", "Daniel", "Paul", "Jane", "Kevin",
+)
+TITLES = ("Mr", "Mrs", "Ms", "Dr", "Prof", "Herr", "Frau", "Mme", "Sr", "Sra")
+ASKING = ("name", "nombre", "nom", "holder", "contact", "patient", "signed", "inhaber", "dear", "by", "called", "named")
+BIRTH = ("born", "birth", "birthday", "dob", "geboren", "geburtsdatum", "né", "née", "naissance", "nacido", "nacida", "nacimiento")
+STREETS = ("Street", "St", "Avenue", "Ave", "Road", "Rd", "Lane", "Ln", "Drive", "Boulevard", "Blvd", "Way", "Court", "Place", "Square")
+
+ADDED = ("secret", "id", "name", "address", "birth")
+_WORD = r"[\p{L}0-9_]"
+_SURNAME = r"\p{Lu}\p{Ll}++"
+#: Pattern by kind. Where a group is named, it is the candidate and ends the match; what is before it is context.
+CANDIDATES = (
+    ("id", r"(?<![A-Za-z0-9])(?:[A-Z]{2}[0-9]{2}(?:[\x20-]?[A-Z0-9]{4}){2,7}+(?:[\x20-]?[A-Z0-9]{1,3})?+|[0-9]{2,}+(?:[\x20-][0-9]{2,}+)++)(?![A-Za-z0-9])"),
+    ("birth", r"(?<![0-9./-])(?:[0-9]{1,2}([./-])[0-9]{1,2}\1[0-9]{2,4}|[0-9]{4}-[0-9]{2}-[0-9]{2})(?![0-9./-])"),
+    ("address", rf"(?<!{_WORD})(?:[0-9]{{1,5}}[A-Za-z]?\x20(?:{_SURNAME}\x20){{1,3}}(?:{'|'.join(STREETS)})(?!{_WORD})|\p{{Lu}}\p{{L}}*?(?:straße|strasse|weg|platz|allee|gasse)\x20[0-9]{{1,4}}[a-z]?(?!{_WORD})|(?:[0-9]{{1,4}},?\x20)?(?:rue|boulevard|chemin|calle|avenida|plaza)(?:\x20(?:de|du|des|la|le|del))*\x20{_SURNAME}(?:,?\x20[0-9]{{1,4}}(?!{_WORD}))?)"),
+    ("secret", rf"(?i)(?<!{_WORD})(?:{'|'.join(PRIVATE_FIELDS)})(?!{_WORD})[\"']?\s{{0,3}}+(?:[:=]|(?:is|ist|est|es)(?!{_WORD}))\s{{0,3}}+[\"']?([^\s\"'<>,;=:]++)"),
+    ("name", rf"(?<!{_WORD})(?:(?:{'|'.join(TITLES)})\.?+\x20)?+({_SURNAME}(?:[\x20-]{_SURNAME}){{1,3}}+)"),
+    ("secret", r"(?<![A-Za-z0-9])[A-Za-z]*+[0-9][A-Za-z0-9]*+"),
+)
 BUCKETS = 1024
 ABSTAIN, CLEAN, PRIVATE = 0, 1, 2
 
@@ -73,56 +102,108 @@ def passes(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def _placed(text: Column, pattern: str) -> Column:
-    """All matches as (start, end, value, left, right): code points, end exclusive, and the text around."""
+def _placed(text: Column, pattern: str, inner: bool = False) -> Column:
+    """All matches as (start, end, value, left, right): code points, end exclusive, and the text around.
+
+    With ``inner`` the pattern's first group, which ends the match, is the value; marks that end a sentence or a
+    bracket after it are left off.
+    """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
+    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)) if inner else found
 
     def step(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + F.length(pair["gap"])
-        end = start + F.length(pair["m"])
-        span = F.struct(start.alias("start"), end.alias("end"), pair["m"].alias("value"), F.substring(pair["gap"], -24, 24).alias("left"), F.substring(pair["next"], 1, 8).alias("right"))
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+        ends = acc["at"] + F.length(pair["gap"]) + F.length(pair["m"])
+        value = F.regexp_replace(pair["v"], r"[.!?)\]}]++$", "") if inner else pair["v"]
+        start = ends - F.length(pair["v"])
+        before = F.concat(F.substring(pair["gap"], -24, 24), F.substring(pair["m"], F.lit(1), F.length(pair["m"]) - F.length(pair["v"]))) if inner else pair["gap"]
+        span = F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"), F.substring(before, -24, 24).alias("left"), F.substring(pair["next"], 1, 8).alias("right"))
+        return F.struct(ends.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
 
     pairs = F.zip_with(
-        found, F.sequence(F.lit(0), F.size(found) - 1), lambda m, i: F.struct(m.alias("m"), F.get(gaps, i).alias("gap"), F.get(gaps, i + 1).alias("next"))
+        F.arrays_zip(found.alias("m"), values.alias("v")),
+        F.sequence(F.lit(0), F.size(found) - 1),
+        lambda x, i: F.struct(x["m"].alias("m"), x["v"].alias("v"), F.get(gaps, i).alias("gap"), F.get(gaps, i + 1).alias("next")),
     )
     none = F.array().cast("array<struct<start:int,end:int,value:string,left:string,right:string>>")
     placed = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("spans")), step)["spans"]
     return F.when(F.size(found) > 0, placed).otherwise(none)
 
 
-def _votes(c: Column) -> dict[str, Column]:
-    """The labellers' votes on a candidate (value, left, right)."""
-    value, left = c["value"], F.lower(c["left"])
-    field = F.regexp_extract(left, r"([\p{L}_]+)[\s=:\"']*$", 1)
+def _field(left: Column) -> Column:
+    """The word that what follows ``left`` belongs to, if only blanks, marks and a verb lie between."""
+    return F.regexp_extract(left, r"([\p{L}_]+)(?:[\s=:\"'.]*(?:(?:is|ist|est|es)\s)?[\s=:\"']*)$", 1)
+
+
+def _votes(kind: str, c: Column) -> dict[str, Column]:
+    """The labellers' votes on a candidate (value, left, right) of a kind."""
+    value, near, left = c["value"], c["left"], F.lower(c["left"])
+    field = _field(left)
     mixed = value.rlike("[A-Za-z]") & value.rlike("[0-9]")
+    digits = F.length(_digits(value))
+    named = F.when(field.isin(*PRIVATE_FIELDS), PRIVATE).when(field.isin(*PUBLIC_FIELDS), CLEAN)
+    assigned = F.when(left.rlike(r"[=:]\s*[\"']?$"), PRIVATE)
+    told = field.isin(*PRIVATE_FIELDS) & left.rlike(r"[=:]\s*[\"']?$")  # then shortness or plainness says nothing
+    if kind == "secret":
+        known = r"^(?:AKIA|ASIA)[A-Z0-9]{12,}$|^(?=[0-9]*[a-f])[0-9a-f]{16,}$|^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}$|^(?:sk|pk|ghp|gho|xox[bp])[-_][-_A-Za-z0-9]{8,}$|^eyJ[-_A-Za-z0-9.]{16,}$"
+        plain = r"^[0-9]{1,8}$|^[0-9]+(?:st|nd|rd|th|px|pt|em|km|kg|mm|cm|kb|mb|gb|k|m)$|^\p{L}+$"
+        return {
+            "regex": F.when(value.rlike(known), PRIVATE).when(value.rlike(plain) & ~told, CLEAN),
+            "gazetteer": named,
+            "context": assigned.when(left.rlike(r"[\p{L},;.]\s+$") & ~mixed, CLEAN),
+            "shape": F.when((mixed & (F.length(value) >= 16)) | value.rlike(r"^(?=.*[^\p{L}0-9])(?=.*[0-9])(?=.*\p{L}).{6,}$"), PRIVATE).when((F.length(value) < 9) & ~told, CLEAN),
+        }
+    if kind == "id":
+        return {
+            "regex": F.when(value.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$|^[A-Z]{2}[0-9]{2}[\x20-]?[A-Z0-9]{4}"), PRIVATE).when(value.rlike(r"^(?:1[0-9]|20)[0-9]{2}[\x20-](?:[0-9]{2}|(?:1[0-9]|20)[0-9]{2})$|^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), CLEAN),
+            "gazetteer": named,
+            "context": assigned.when(left.rlike(r"[\p{L},;.)]\s+$"), CLEAN),
+            "shape": F.when(digits >= 9, PRIVATE).when(digits < 8, CLEAN),
+        }
+    if kind == "name":
+        return {
+            "regex": F.when(near.rlike(rf"(?:^|[^\p{{L}}])(?:{'|'.join(TITLES)})\.?\s$"), PRIVATE),
+            "gazetteer": F.when(F.regexp_extract(value, r"^\p{L}+", 0).isin(*FIRST_NAMES), PRIVATE).otherwise(CLEAN),
+            "context": F.when(field.isin(*ASKING), PRIVATE).when(left.rlike(r"(?:^|[.!?\n]\s*)$"), CLEAN),
+            "shape": F.when(value.rlike(r"^\p{L}{2,12}(?:[\x20-]\p{L}{2,14}){1,2}$"), ABSTAIN).otherwise(CLEAN),
+        }
+    if kind == "address":
+        return {
+            "regex": F.when(value.rlike("[0-9]"), PRIVATE).otherwise(CLEAN),
+            "gazetteer": F.when(value.rlike(rf"(?:{'|'.join(STREETS)})$|(?i)straße|strasse|^[0-9]+,? rue|calle"), PRIVATE),
+            "context": F.when(left.rlike(r"(?:address|adresse|dirección|anschrift|lives? at|lived at|living at|wohnt|wohnhaft|habite|vive en)[^\p{L}]*(?:in der|à|au|en|at)?\s*$"), PRIVATE),
+            "shape": F.when(c["right"].rlike(r"^,?\s[0-9]{4,5}|^,\s\p{Lu}"), PRIVATE),
+        }
+    parts = F.split(value, "[./-]")
+    year = F.greatest(*[F.get(parts, F.lit(i)).try_cast("int") for i in (0, 2)])
+    born = left.rlike(rf"(?<!\p{{L}})(?:{'|'.join(BIRTH)})(?!\p{{L}})")
     return {
-        "regex": F.when(value.rlike(r"^(?:AKIA|ASIA)[A-Z0-9]{12,}$|^(?=[0-9]*[a-f])[0-9a-f]{16,}$|^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}$"), PRIVATE)
-        .when(value.rlike(r"^[0-9]{1,8}$|^[0-9]+(?:st|nd|rd|th|px|pt|em|km|kg|mm|cm|kb|mb|gb|k|m)$"), CLEAN)
-        .otherwise(ABSTAIN),
-        "gazetteer": F.when(field.isin(*PRIVATE_FIELDS), PRIVATE).when(field.isin(*PUBLIC_FIELDS), CLEAN).otherwise(ABSTAIN),
-        "context": F.when(left.rlike(r"[=:]\s*[\"']?$"), PRIVATE).when(left.rlike(r"[\p{L},;.]\s+$") & ~mixed, CLEAN).otherwise(ABSTAIN),
-        "shape": F.when(mixed & (F.length(value) >= 16), PRIVATE).when(F.length(value) < 9, CLEAN).otherwise(ABSTAIN),
+        "regex": F.when(F.get(parts, F.lit(1)).try_cast("int").between(1, 31), ABSTAIN).otherwise(CLEAN),
+        "gazetteer": F.when(field.isin(*BIRTH), PRIVATE),
+        "context": F.when(born, PRIVATE).otherwise(CLEAN),
+        "shape": F.when(~year.between(0, 99) & ~year.between(1900, 2025), CLEAN),
     }
 
 
 LABELLERS = ("regex", "gazetteer", "context", "shape")
 
 
-def _features(c: Column) -> Column:
-    """Hashed features of a candidate: its letter pattern, length, neighbours and field word."""
+def _features(kind: str, c: Column) -> Column:
+    """Hashed features of a candidate of a kind: its letter pattern, length, neighbours, field word, and what labellers look for."""
     value, left = c["value"], F.lower(c["left"])
-    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "[0-9]+", "9"), "[a-z]+", "a"), "[A-Z]+", "A")
+    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "[0-9]+", "9"), r"\p{Ll}+", "a"), r"\p{Lu}+", "A")
     made = [
         F.concat(F.lit("s"), F.substring(shape, 1, 4)),
         F.concat(F.lit("n"), F.least(F.floor(F.length(value) / 4), F.lit(10)).cast("string")),
         F.concat(F.lit("t"), F.least(F.length(shape), F.lit(12)).cast("string")),
         F.concat(F.lit("l"), F.substring(left, -1, 1)),
         F.concat(F.lit("r"), F.substring(c["right"], 1, 1)),
-        F.concat(F.lit("f"), F.regexp_extract(left, r"([\p{L}_]+)[\s=:\"']*$", 1)),
+        F.concat(F.lit("f"), _field(left)),
     ]
-    return F.array(*[F.pmod(F.xxhash64(m), F.lit(BUCKETS)).cast("int") for m in made])
+    if kind in ("name", "birth"):
+        votes = _votes(kind, c)
+        made += [F.concat(F.lit(k), F.coalesce(votes[k], F.lit(ABSTAIN)).cast("string")) for k in ("regex", "gazetteer", "context")]
+    return F.array(*[F.pmod(F.xxhash64(F.lit(kind), m), F.lit(BUCKETS)).cast("int") for m in made])
 
 
 def fit_reliabilities(patterns: dict[int, int], rounds: int = 100) -> tuple[dict[int, float], list[tuple[float, float]], float]:
@@ -164,11 +245,11 @@ def find_pii(docs: DataFrame, carry: Sequence[Column | str] = ("*",), text_col:
 
     Returns one row per input row: ``row`` (a struct of the ``carry`` columns), ``base`` and ``spans``,
     arrays of (start, kind_no, kind, end) in order of start, then kind; ``spans`` holds the base spans
-    and those that the classifier adds, of kind ``secret``. Positions are code points, ends exclusive.
+    and those that the classifier adds, of the kinds in ``ADDED``. Positions are code points, ends exclusive.
 
     A null text counts as empty and has no spans; repeated rows are treated alike; an empty table, or one
-    without candidates, adds nothing. Spans of different kinds may overlap, but an added span overlaps no
-    base span. Other columns ride along inside ``row``, whatever their names.
+    without candidates, adds nothing. Spans of different base kinds may overlap; an added span overlaps no
+    base span, and none of a kind before its own. Other columns ride along inside ``row``, whatever their names.
     """
     text = F.col("text")
     scan = docs.select(F.struct(*carry).alias("row"), text_of(text_col).alias("text"))
@@ -183,52 +264,79 @@ def find_pii(docs: DataFrame, carry: Sequence[Column | str] = ("*",), text_col:
         spans = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(no).alias("kind_no"), F.lit(kind).alias("kind"), s["end"].alias("end")))
         return F.when(there, spans).otherwise(none)
 
-    long = F.filter(_placed(text, CANDIDATE), lambda c: F.length(c["value"]) >= MIN_CODE)
-    judged = F.transform(
-        long,
-        lambda c: F.struct(
-            c["start"].alias("start"),
-            c["end"].alias("end"),
-            sum((v * 3 ** (len(LABELLERS) - 1 - LABELLERS.index(k)) for k, v in _votes(c).items()), F.lit(0)).alias("votes"),
-            _features(c).alias("features"),
-        ),
-    )
-    free = F.filter("candidates", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    found = materialize(
-        scan.select("row", F.array_sort(F.concat(*[base(i, k) for i, k in enumerate(KINDS)])).alias("base"), F.when(digit, judged).alias("candidates"))
-        .withColumn("candidates", free),
-        "pii",
-    )
-    candidates = found.select(F.explode("candidates").alias("c")).select("c.votes", "c.features")
-    patterns = {r["votes"]: r["count"] for r in candidates.groupBy("votes").count().collect()}
+    empty = F.array().cast("array<struct<start:int,end:int,kind_no:int,votes:int,features:array<int>>>")
+
+    def candidates(kind: str, pattern: str) -> Column:
+        inner = "(" in pattern and kind == "name" or pattern.startswith("(?i)")
+        judged = F.transform(
+            _placed(text, pattern, inner),
+            lambda c: F.struct(
+                c["start"].alias("start"),
+                c["end"].alias("end"),
+                F.lit(ADDED.index(kind)).alias("kind_no"),
+                sum((F.coalesce(v, F.lit(ABSTAIN)) * 3 ** (len(LABELLERS) - 1 - LABELLERS.index(k)) for k, v in _votes(kind, c).items()), F.lit(0)).alias("votes"),
+                _features(kind, c).alias("features"),
+            ),
+        )
+        judged = F.filter(judged, lambda c: c["start"] < c["end"])
+        there = text.rlike(pattern)  # most texts have no match, and need no further pass
+        return F.when(there if inner or kind == "address" else digit & there, judged).otherwise(empty)
+
+    def apart(c: Column, others: Column) -> Column:
+        return ~F.exists(others, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+
+    found = scan.select("row", F.array_sort(F.concat(*[base(i, k) for i, k in enumerate(KINDS)])).alias("base"), *[candidates(*c).alias(f"c{i}") for i, c in enumerate(CANDIDATES)])
+    # A candidate lies apart from base spans and from candidates of the patterns before.
+    def joined(before: Column, more: str) -> Column:
+        return F.concat(before, F.filter(more, lambda c: apart(c, F.col("base")) & apart(c, before)))
+
+    free = empty
+    for i in range(len(CANDIDATES)):
+        found = found.withColumn(f"free{i}", joined(free, f"c{i}"))
+        free = F.col(f"free{i}")
+    found = materialize(found.select("row", "base", free.alias("candidates")), "pii")
+
+    votes = found.select(F.explode("candidates").alias("c")).select("c.kind_no", "c.votes", "c.features")
+    patterns: dict[int, dict[int, int]] = {}
+    for r in votes.groupBy("kind_no", "votes").count().collect():
+        patterns.setdefault(r["kind_no"], {})[r["votes"]] = r["count"]
     if not patterns:
         return found.select("row", "base", F.col("base").alias("spans"))
-    posterior, _, _ = fit_reliabilities(patterns)
+    posterior = {kind: fit_reliabilities(counts)[0] for kind, counts in patterns.items()}
 
-    # The classifier: log odds of each feature bucket by posterior weight, at most BUCKETS of them.
-    weight = F.element_at(F.create_map(*[x for p, q in posterior.items() for x in (F.lit(p), F.lit(q))]), F.col("votes"))
+    # The classifier: log odds of each feature bucket by posterior weight, at most BUCKETS of them for each kind.
+    n_votes = 3 ** len(LABELLERS)
+    told = {kind * n_votes + v: q for kind, of in posterior.items() for v, q in of.items()}
+    weight = F.get(_numbers([told.get(i, 0.0) for i in range(len(ADDED) * n_votes)]), F.col("kind_no") * n_votes + F.col("votes"))
     sums = (
-        candidates.select(weight.alias("q"), F.explode("features").alias("bucket"))
-        .groupBy("bucket")
+        votes.select("kind_no", weight.alias("q"), F.explode("features").alias("bucket"))
+        .groupBy("kind_no", "bucket")
         .agg(F.sum("q").alias("private"), F.sum(1 - F.col("q")).alias("clean"))
         .collect()
     )
-    private = sum(n * posterior[p] for p, n in patterns.items())
-    clean = sum(patterns.values()) - private
-    weights = [0.0] * BUCKETS
+    private = {kind: sum(n * posterior[kind][v] for v, n in of.items()) for kind, of in patterns.items()}
+    clean = {kind: sum(of.values()) - private[kind] for kind, of in patterns.items()}
+    weights = [0.0] * (BUCKETS * len(ADDED))
     for r in sums:
-        weights[r["bucket"]] = math.log((r["private"] + 0.5) / (private + 1)) - math.log((r["clean"] + 0.5) / (clean + 1))
-    bias = math.log((private + 0.5) / (clean + 0.5))
-    table = F.array(*[F.lit(w) for w in weights])
+        k = r["kind_no"]
+        weights[k * BUCKETS + r["bucket"]] = math.log((r["private"] + 0.5) / (private[k] + 1)) - math.log((r["clean"] + 0.5) / (clean[k] + 1))
+    bias = _numbers([math.log((private.get(k, 0) + 0.5) / (clean.get(k, 0) + 0.5)) for k in range(len(ADDED))])
+    table = _numbers(weights)
 
     def added(c: Column) -> Column:
-        return F.aggregate(c["features"], F.lit(bias), lambda total, b: total + F.get(F.col("weights"), b)) > 0
+        return F.aggregate(c["features"], F.get(bias, c["kind_no"]), lambda total, b: total + F.get(table, c["kind_no"] * BUCKETS + b)) > 0
 
-    secret = F.transform(
-        F.filter("candidates", added), lambda c: F.struct(c["start"].alias("start"), F.lit(len(KINDS)).alias("kind_no"), F.lit("secret").alias("kind"), c["end"].alias("end"))
+    kinds = F.array(*map(F.lit, ADDED))
+    more = F.transform(
+        F.filter("candidates", added),
+        lambda c: F.struct(c["start"].alias("start"), (c["kind_no"] + len(KINDS)).alias("kind_no"), F.get(kinds, c["kind_no"]).alias("kind"), c["end"].alias("end")),
     )
-    more = F.when(F.size("candidates") > 0, F.array_sort(F.concat(F.col("base"), secret))).otherwise(F.col("base"))
-    return found.withColumn("weights", table).select("row", "base", more.alias("spans"))
+    return found.select("row", "base", F.when(F.size("candidates") > 0, F.array_sort(F.concat(F.col("base"), more))).otherwise(F.col("base")).alias("spans"))
+
+
+def _numbers(values: Sequence[float]) -> Column:
+    """A constant array, as one literal."""
+    return F.split(F.lit(",".join(f"{v:.9g}" for v in values)), ",").cast("array<double>")
 
 
 def written(spans: Column) -> Column:
@@ -237,10 +345,16 @@ def written(spans: Column) -> Column:
 
 
 def op5_pii(spark, sf_dir: str) -> DataFrame:
-    """Personal data in the whole of ``documents``."""
+    """Personal data in the whole of ``documents``; after the contract's columns ``n_spans``, how many spans there are of any kind."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
 
     def count(kind: str) -> Column:
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    return find_pii(docs, carry=["doc_id"]).select("row.doc_id", *map(count, KINDS), F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+    return find_pii(docs, carry=["doc_id"]).select(
+        "row.doc_id",
+        *map(count, KINDS),
+        F.sha2(written(F.col("base")), 256).alias("base_sha256"),
+        written(F.col("spans")).alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"),
+    )

@@ -108,10 +108,10 @@ def test_pii_base(spark):
     found = pii.find_pii(frame).select("row.doc_id", pii.written(F.col("base")).alias("base"), "spans")
     for r in found.collect():
         assert r.base == brute_base(texts[r.doc_id])
-        base = [s for s in r.spans if s.kind != "secret"]
+        base = [s for s in r.spans if s.kind not in pii.ADDED]
         assert ",".join(f"{s.kind}:{s.start}:{s.end}" for s in base) == r.base  # base spans stay
         for s in r.spans:
-            if s.kind == "secret":
+            if s.kind in pii.ADDED:
                 assert not any(b.start < s.end and s.start < b.end for b in base)
 
 
@@ -130,6 +130,50 @@ def test_pii_adds_secrets_and_leaves_prose_alone(spark):
     assert len(hits & set(range(1, 400, 2))) >= 195 and not hits & set(range(0, 400, 2))
 
 
+def planted_pii(rng, n):
+    """Texts with one value of a known kind, or none; as (text, kind, value)."""
+    words = "the of and river house walked over light morning then quiet paper green Some When under road people told water bridge".split()
+    prose = lambda k: " ".join(rng.choice(words) for _ in range(k))
+    digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    hexes = lambda k: "".join(rng.choice("0123456789abcdef") for _ in range(k))
+    first, last = rng.choice(pii.FIRST_NAMES[:30]), rng.choice(["Smith", "Miller", "Keller", "Dupont", "García", "Brown", "Lehmann"])
+    made = [
+        ("secret", f"password={{}}", rng.choice(["hunter", "p@ssw0rd", "letmein!x", "Tr0ub4dor&3"])),
+        ("secret", 'token = "{}"', hexes(40)), ("secret", "api_key=\"{}\"", "sk-abcdEFGH" + hexes(6) + "_mn9"), ("secret", "pin: {}", digits(4)), ("secret", "key: {}", "AKIA" + "IOSFODNNEXAMPLE7"),
+        ("id", "ssn: {}", f"{digits(3)}-{digits(2)}-{digits(4)}"), ("id", "IBAN: {}", f"DE89 {digits(4)} {digits(4)} {digits(4)} {digits(4)} {digits(2)}"),
+        ("name", "Mr. {}", f"{first} {last}"), ("name", "name: {}", f"{first} {last}"), ("name", "Frau {}", f"{first} {last}"),
+        ("address", "address: {}", f"{rng.randrange(1, 900)} {last} Street"), ("address", "wohnt in der {}", f"{last}straße {rng.randrange(1, 99)}"), ("address", "{}, 75001", f"{rng.randrange(1, 99)} rue de {last}"),
+        ("birth", "born on {}", f"{rng.randrange(1, 28)}.{rng.randrange(1, 12)}.{rng.randrange(1930, 2010)}"), ("birth", "date of birth: {}", f"19{digits(1)}4-0{rng.randrange(1, 9)}-1{digits(1)}"),
+    ]
+    plain = ["chapter 12 of 2024 has 300000 words", "on page {n} of volume 3", "The key is important here", "in the years 1990-1995", "version 2.10 of the text", "room 101 was empty", "the 21st of 40 pieces", "a total of 12 500 people", "Then New Things were found", "met on 12.5.2021 again", "St Mary was seen", "the token was lost"]
+    out = []
+    for i in range(n):
+        if i % 2:
+            kind, frame, value = made[i // 2 % len(made)]
+            out.append((f"{prose(6)} {frame.format(value)} {prose(5)}.", kind, value))
+        else:
+            out.append((f"{prose(6)} {plain[i // 2 % len(plain)].replace('{n}', str(i))} {prose(5)}.", None, None))
+    return out
+
+
+def test_pii_recall_and_precision(spark):
+    """Planted values of every added kind are found as they stand, and prose with numbers and names is left alone."""
+    rng = random.Random(11)
+    rows = [r for _ in range(60) for r in planted_pii(rng, 30)]
+    frame = spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(rows)], "doc_id long, text string")
+    found = {r.doc_id: r.spans for r in pii.find_pii(frame).select("row.doc_id", "spans").collect()}
+    caught, wrong = Counter(), 0
+    for i, (text, kind, value) in enumerate(rows):
+        here = [text[s.start : s.end] for s in found[i]]
+        if kind is None:
+            wrong += bool(here)
+        else:
+            caught[kind, any(value.startswith(h) and len(h) > 3 or h.startswith(value) for h in here)] += 1
+    for kind in pii.ADDED:
+        assert caught[kind, True] >= 0.85 * (caught[kind, True] + caught[kind, False]), caught
+    assert wrong <= 0.05 * len(rows) / 2
+
+
 def test_pii_plan_is_native_and_empty_tables(spark):
     frame = spark.createDataFrame([], "doc_id long, text string")
     assert pii.find_pii(frame).count() == 0
