@@ -22,6 +22,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,7 +70,7 @@ _SURNAME = r"\p{Lu}\p{Ll}++"
 CANDIDATES = (
     ("id", r"(?<![A-Za-z0-9])(?:[A-Z]{2}[0-9]{2}(?:[\x20-]?[A-Z0-9]{4}){2,7}+(?:[\x20-]?[A-Z0-9]{1,3})?+|[0-9]{2,}+(?:[\x20-][0-9]{2,}+)++)(?![A-Za-z0-9])"),
     ("birth", r"(?<![0-9./-])(?:[0-9]{1,2}([./-])[0-9]{1,2}\1[0-9]{2,4}|[0-9]{4}-[0-9]{2}-[0-9]{2})(?![0-9./-])"),
-    ("address", rf"(?<!{_WORD})(?:[0-9]{{1,5}}[A-Za-z]?\x20(?:{_SURNAME}\x20){{1,3}}(?:{'|'.join(STREETS)})(?!{_WORD})|\p{{Lu}}\p{{L}}*?(?:straße|strasse|weg|platz|allee|gasse)\x20[0-9]{{1,4}}[a-z]?(?!{_WORD})|(?:[0-9]{{1,4}},?\x20)?(?:rue|boulevard|chemin|calle|avenida|plaza)(?:\x20(?:de|du|des|la|le|del))*\x20{_SURNAME}(?:,?\x20[0-9]{{1,4}}(?!{_WORD}))?)"),
+    ("address", rf"(?=[0-9\p{{Lu}}rbcap])(?<!{_WORD})(?:[0-9]{{1,5}}[A-Za-z]?\x20(?:{_SURNAME}\x20){{1,3}}(?:{'|'.join(STREETS)})(?!{_WORD})|\p{{Lu}}\p{{L}}*?(?:straße|strasse|weg|platz|allee|gasse)\x20[0-9]{{1,4}}[a-z]?(?!{_WORD})|(?:[0-9]{{1,4}},?\x20)?(?:rue|boulevard|chemin|calle|avenida|plaza)(?:\x20(?:de|du|des|la|le|del))*\x20{_SURNAME}(?:,?\x20[0-9]{{1,4}}(?!{_WORD}))?)"),
     ("secret", rf"(?i)(?<!{_WORD})(?:{'|'.join(PRIVATE_FIELDS)})(?!{_WORD})[\"']?\s{{0,3}}+(?:[:=]|(?:is|ist|est|es)(?!{_WORD}))\s{{0,3}}+[\"']?([^\s\"'<>,;=:]++)"),
     ("name", rf"(?<!{_WORD})(?:(?:{'|'.join(TITLES)})\.?+\x20)?+({_SURNAME}(?:[\x20-]{_SURNAME}){{1,3}}+)"),
     ("secret", r"(?<![A-Za-z0-9])[A-Za-z]*+[0-9][A-Za-z0-9]*+"),
@@ -109,25 +111,43 @@ def _placed(text: Column, pattern: str, inner: bool = False) -> Column:
     bracket after it are left off.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)) if inner else found
+    split = F.struct(found.alias("m"), values.alias("v"), F.split(text, pattern, -1).alias("gaps"))
+
+    def span(x: Column) -> Column:
+        value = F.regexp_replace(x["v"], r"[.!?)\]}]++$", "") if inner else x["v"]
+        start = x["end"] - F.length(x["v"])
+        before = F.concat(F.substring(x["gap"], -24, 24), F.substring(x["m"], F.lit(1), F.length(x["m"]) - F.length(x["v"]))) if inner else x["gap"]
+        return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"), F.substring(before, -24, 24).alias("left"), F.substring(x["next"], 1, 8).alias("right"))
+
+    def spans(w: Column) -> Column:
+        n = F.size(w["m"])
+        gaps, after = F.slice(w["gaps"], F.lit(1), n), F.slice(w["gaps"], F.lit(2), n)
+        ends = _running(F.zip_with(w["m"], gaps, lambda m, g: F.length(m) + F.length(g)))
+        return F.transform(F.arrays_zip(w["m"].alias("m"), w["v"].alias("v"), gaps.alias("gap"), after.alias("next"), ends.alias("end")), span)
 
-    def step(acc: Column, pair: Column) -> Column:
-        ends = acc["at"] + F.length(pair["gap"]) + F.length(pair["m"])
-        value = F.regexp_replace(pair["v"], r"[.!?)\]}]++$", "") if inner else pair["v"]
-        start = ends - F.length(pair["v"])
-        before = F.concat(F.substring(pair["gap"], -24, 24), F.substring(pair["m"], F.lit(1), F.length(pair["m"]) - F.length(pair["v"]))) if inner else pair["gap"]
-        span = F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"), F.substring(before, -24, 24).alias("left"), F.substring(pair["next"], 1, 8).alias("right"))
-        return F.struct(ends.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
-
-    pairs = F.zip_with(
-        F.arrays_zip(found.alias("m"), values.alias("v")),
-        F.sequence(F.lit(0), F.size(found) - 1),
-        lambda x, i: F.struct(x["m"].alias("m"), x["v"].alias("v"), F.get(gaps, i).alias("gap"), F.get(gaps, i + 1).alias("next")),
-    )
     none = F.array().cast("array<struct<start:int,end:int,value:string,left:string,right:string>>")
-    placed = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("spans")), step)["spans"]
-    return F.when(F.size(found) > 0, placed).otherwise(none)
+    return _let(split, lambda w: F.when(F.size(w["m"]) > 0, spans(w)).otherwise(none))
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: Spark computes what a lambda refers to for every element anew."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _running(sizes: Column, block: int = 128) -> Column:
+    """Running sums of a list that is not empty, by blocks: a sum that is carried as a list is copied at every step."""
+
+    def sums(items: Column, size) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends"))
+        return F.aggregate(items, start, lambda acc, x: F.struct((acc["at"] + size(x)).alias("at"), F.concat(acc["ends"], F.array(acc["at"] + size(x))).alias("ends")))
+
+    def of(s: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(s) - 1) / block).cast("int"))
+        blocks = F.transform(numbers, lambda i: sums(F.slice(s, i * block + 1, F.lit(block)), lambda x: x))
+        return _let(blocks, lambda b: F.flatten(F.zip_with(b, sums(b, lambda x: x["at"])["ends"], lambda x, end: F.transform(x["ends"], lambda e: e + end - x["at"]))))
+
+    return _let(sizes, of)
 
 
 def _field(left: Column) -> Column:
@@ -265,6 +285,7 @@ def find_pii(docs: DataFrame, carry: Sequence[Column | str] = ("*",), text_col:
         return F.when(there, spans).otherwise(none)
 
     empty = F.array().cast("array<struct<start:int,end:int,kind_no:int,votes:int,features:array<int>>>")
+    lowered = F.lower(text)
 
     def candidates(kind: str, pattern: str) -> Column:
         inner = "(" in pattern and kind == "name" or pattern.startswith("(?i)")
@@ -279,8 +300,14 @@ def find_pii(docs: DataFrame, carry: Sequence[Column | str] = ("*",), text_col:
             ),
         )
         judged = F.filter(judged, lambda c: c["start"] < c["end"])
-        there = text.rlike(pattern)  # most texts have no match, and need no further pass
-        return F.when(there if inner or kind == "address" else digit & there, judged).otherwise(empty)
+        # Most texts have no match; a plain test that a match implies spares them the pattern's passes.
+        if kind == "name":
+            there = text.rlike(r"\p{Lu}\p{Ll}++[\x20-]\p{Lu}\p{Ll}")
+        elif inner:
+            there = reduce(or_, (F.contains(lowered, F.lit(w)) for w in _roots(PRIVATE_FIELDS)))
+        else:
+            there = digit
+        return F.when(there, F.when(text.rlike(pattern), judged)).otherwise(empty)
 
     def apart(c: Column, others: Column) -> Column:
         return ~F.exists(others, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
@@ -288,7 +315,7 @@ def find_pii(docs: DataFrame, carry: Sequence[Column | str] = ("*",), text_col:
     found = scan.select("row", F.array_sort(F.concat(*[base(i, k) for i, k in enumerate(KINDS)])).alias("base"), *[candidates(*c).alias(f"c{i}") for i, c in enumerate(CANDIDATES)])
     # A candidate lies apart from base spans and from candidates of the patterns before.
     def joined(before: Column, more: str) -> Column:
-        return F.concat(before, F.filter(more, lambda c: apart(c, F.col("base")) & apart(c, before)))
+        return F.concat(before, F.filter(F.coalesce(more, empty), lambda c: apart(c, F.col("base")) & apart(c, before)))
 
     free = empty
     for i in range(len(CANDIDATES)):
@@ -334,6 +361,11 @@ def find_pii(docs: DataFrame, carry: Sequence[Column | str] = ("*",), text_col:
     return found.select("row", "base", F.when(F.size("candidates") > 0, F.array_sort(F.concat(F.col("base"), more))).otherwise(F.col("base")).alias("spans"))
 
 
+def _roots(words: Sequence[str]) -> list[str]:
+    """The words in which no other one is found."""
+    return [w for w in words if not any(v != w and v in w for v in words)]
+
+
 def _numbers(values: Sequence[float]) -> Column:
     """A constant array, as one literal."""
     return F.split(F.lit(",".join(f"{v:.9g}" for v in values)), ",").cast("array<double>")
