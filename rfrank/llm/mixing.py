@@ -85,10 +85,9 @@ def mix_sources(
     )
     sized = base.withColumn("size", word_count(F.col("text")))
     of, order = ["no_source", "source"], [F.col("key"), F.col("id").asc_nulls_last(), F.col("size")]
-    ranged = materialize(
-        sized.select("id", *of, "key", "size").repartitionByRange(shuffle_partitions(docs.sparkSession), *of, *order).withColumn("part", F.spark_partition_id()), "mix-ranged"
-    )
-    targets = source_targets(ranged.groupBy(*of).agg(F.sum("size").alias("source_size")), weights, cap)
+    sizes = materialize(sized.select("id", *of, "key", "size"), "mix-sizes")  # written, so that the range sort's sampling counts no words
+    ranged = materialize(sizes.repartitionByRange(shuffle_partitions(docs.sparkSession), *of, *order).withColumn("part", F.spark_partition_id()), "mix-ranged")
+    targets = source_targets(sizes.groupBy(*of).agg(F.sum("size").alias("source_size")), weights, cap)
 
     parts = [*of, "part"]
     earlier = Window.partitionBy(*of).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -113,7 +112,7 @@ def mix_sources(
     )
     known = offsets.select(*of, "source_size", "target", "epochs").distinct()
     cuts = materialize(known.join(cuts, of, "left"), "mix-cuts")
-    discard(ranged)
+    discard(sizes, ranged)
 
     size, epochs = F.col("size"), F.col("epochs")
     out = ["row", "size", "source_size", "target"]
