@@ -57,11 +57,16 @@ def exact_dedup(
     # Level 1: lengths with company. Level 2: of those, prefixes with company.
     lengths = pairs.groupBy("n_norm").agg(F.sum("n").alias("rows")).filter("rows > 1").select("n_norm")
     prefixes = pairs.filter("n > 1").join(lengths, "n_norm", "left_semi")
-    bucket = F.pmod(F.xxhash64("n_norm", "prefix"), F.lit(sieve_buckets)).cast("int")
-    sieve = prefixes.select(bucket.alias("bucket")).distinct().withColumn("hit", F.lit(True))
+    # What is left is told by a sieve of at most ``sieve_buckets`` rows, in which a collision costs time only;
+    # where the sieve would be a quarter full, by the prefixes themselves.
+    if prefixes.count() <= sieve_buckets // 4:
+        bucket = F.pmod(F.xxhash64("n_norm", "prefix"), F.lit(sieve_buckets)).cast("int")
+        sieve = prefixes.select(bucket.alias("bucket")).distinct().withColumn("hit", F.lit(True))
+        sieved = scan.withColumn("bucket", bucket).join(F.broadcast(sieve), "bucket", "left")
+    else:
+        sieved = scan.join(prefixes.select("n_norm", "prefix", F.lit(True).alias("hit")), ["n_norm", "prefix"], "left")
 
     # Level 3: the full hash of what is left; its rows are numbered once, by the write. The rest is done.
-    sieved = scan.withColumn("bucket", bucket).join(F.broadcast(sieve), "bucket", "left")
     alone = sieved.filter("hit is null").select(
         "row",
         F.lit(None).cast("string").alias("full_hash"),

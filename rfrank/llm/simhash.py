@@ -166,10 +166,14 @@ def grouped(printed: DataFrame, fps: DataFrame, roots: DataFrame, sieve_buckets:
     groups = materialize(rooted.groupBy("root").agg(F.min("best").alias("best"), F.sum("n").alias("n")), "simhash-groups")
     of_print = materialize(rooted.select("fp", "root").join(groups.filter("n > 1"), "root").select("fp", "best"), "simhash-shared")
     # Rows with company are told from the others by a sieve of at most ``sieve_buckets`` rows; a collision
-    # only sends a row to the join that finds nothing there.
-    bucket = F.pmod(F.xxhash64("fp"), F.lit(sieve_buckets)).cast("int").alias("bucket")
-    sieve = of_print.select(bucket).distinct().withColumn("hit", F.lit(True))
-    sieved = printed.withColumnRenamed("fingerprint", "fp").withColumn("bucket", bucket).join(F.broadcast(sieve), "bucket", "left")
+    # only sends a row to the join that finds nothing there. A sieve that would be a quarter full is not made.
+    named = printed.withColumnRenamed("fingerprint", "fp")
+    if of_print.count() <= sieve_buckets // 4:
+        bucket = F.pmod(F.xxhash64("fp"), F.lit(sieve_buckets)).cast("int").alias("bucket")
+        sieve = of_print.select(bucket).distinct().withColumn("hit", F.lit(True))
+        sieved = named.withColumn("bucket", bucket).join(F.broadcast(sieve), "bucket", "left")
+    else:
+        sieved = named.withColumn("hit", F.lit(True))
     alone = sieved.filter("hit is null").select("row", "fp", F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     shared = sieved.filter("hit").join(of_print, "fp", "left")
     grouped = shared.select(
@@ -189,9 +193,14 @@ def simhash_dedup(
     shingle_words: int = 4,
     max_bits: int = 4,
     sieve_buckets: int = 1 << 20,
+    similarity: float | None = None,
 ) -> DataFrame:
     """Near-duplicate groups: documents linked by fingerprints at most ``max_bits`` apart, transitively.
 
+    With ``similarity``, documents whose sets of five-word shingles are at least so much alike are linked too, which
+    is checked on the sets themselves. Four bits do not reach 0.8 (see the README), so candidates for that come
+    from bands of min-hashes; see ``minhash``.
+
     Returns one row per input row: ``row`` (a struct of the ``carry`` columns), ``fingerprint`` (long),
     ``component_id`` (the smallest id in the group) and ``kept`` (true for one row of each group: that
     with the smallest id, null ids last).
@@ -200,7 +209,10 @@ def simhash_dedup(
     never become a component's id unless it has no other. Repeated rows share a group. An empty table
     gives an empty result. Other columns ride along inside ``row``, whatever their names.
     """
+    if similarity is not None:
+        from .minhash import jaccard_dedup
 
+        return jaccard_dedup(docs, carry, id_col, text_col, similarity=similarity, max_bits=max_bits, sieve_buckets=sieve_buckets)
     whole = list(carry) == ["*"]  # then the text travels inside the row, once
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
