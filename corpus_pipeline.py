@@ -1,7 +1,8 @@
 """A training-data pipeline over ``documents``: five stages, each one operator of ``rfrank.llm``.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
-again as the next one's ``docs``. All but the last return the columns of ``docs`` as they were given.
+again as the next one's ``docs``. All but the last return the columns of ``docs`` as they were given,
+whatever further columns these have and whatever their names; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -11,51 +12,50 @@ from pyspark.sql import functions as F
 
 from rfrank.llm.common import materialize
 from rfrank.llm.exact_dedup import exact_dedup
-from rfrank.llm.minhash import jaccard_dedup
 from rfrank.llm.mixing import mix_sources
 from rfrank.llm.packing import pack
 from rfrank.llm.quality import classify_quality
+from rfrank.llm.simhash import simhash_dedup
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go.
+
+    Null and empty texts stay: there is nothing to reject. Repeated rows share their lot.
+    """
     return classify_quality(docs).filter("accepted").select("row.*")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts equal but for white space one stays."""
+    """Of texts equal but for white space one stays: the longest as written, then the smallest id, null ids last.
+
+    Null and empty texts equal each other; of repeated rows one stays.
+    """
     return exact_dedup(docs).filter("kept").select("row.*")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (5-word shingles 0.8 alike, or SimHash as op8) that with the smallest id stays."""
-    return jaccard_dedup(docs, max_bits=4).filter("kept").select("row.*")
+    """Of each group of near-duplicates (5-word shingles 0.8 alike, or four bits of SimHash) that with the smallest id stays.
 
-
-def mixed_text(text, size, taken):
-    """One text for each time the mix takes a document: whole ones, and the first words of it for the cut."""
-    whole = F.when(size > 0, F.floor(taken / size)).otherwise(0).cast("int")
-    left = F.when(size > 0, taken % size).otherwise(0)
-    words = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    cut = F.when(left > 0, F.array(F.array_join(F.slice(words, F.lit(1), left.cast("int")), " "))).otherwise(F.array().cast("array<string>"))
-    return F.concat(F.array_repeat(text, whole), cut)
+    Texts without a word, null ones too, are alike among themselves; null ids come last; of repeated rows one stays.
+    """
+    return simhash_dedup(docs, similarity=0.8).filter("kept").select("row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's budget asks; the one at the cut keeps its first words only."""
-    taken = mix_sources(docs).filter("taken > 0")
-    text = F.coalesce(F.col("row")["text"], F.lit(""))
-    copies = taken.select("row", F.explode(mixed_text(text, F.col("size"), F.col("taken"))).alias("mixed"))
-    return copies.select(
-        *[
-            F.col("mixed").alias(c) if c == "text" else F.length("mixed").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("row")[c].alias(c)
-            for c in docs.columns
-        ]
-    )
+    """Documents as often as their source's budget asks, as whole texts: that at the cut is taken if half of it is within.
+
+    A document without a word takes no part of a budget and goes. Repeated rows each count; a null source is
+    a source of its own.
+    """
+    size, taken = F.col("size"), F.col("taken")
+    times = F.floor(taken / size) + F.when(2 * (taken % size) >= size, 1).otherwise(0)
+    wanted = mix_sources(docs).filter("taken > 0").withColumn("times", times.cast("int"))
+    return wanted.select("row", F.explode(F.array_repeat(F.lit(0), F.col("times")))).select("row.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of at most 4096, piece by piece."""
+    """Token sequences of at most 4096, piece by piece; a null text counts as empty, and repeated rows are packed each."""
     import public_tokenizers
 
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
