@@ -27,21 +27,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
-    _written[id(out)] = path
+    out.written_to = path
     return out
 
 
-_written: dict[int, str] = {}
-
-
 def discard(*tables: DataFrame) -> None:
     """Delete tables that ``materialize`` wrote, once all that was made of them is written itself."""
     for table in tables:
-        path = _written.pop(id(table), None)
-        if path is not None:
-            jvm, session = table.sparkSession._jvm, table.sparkSession._jsparkSession
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(session.sessionState().newHadoopConf()).delete(at, True)
+        at = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.written_to)
+        at.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 _shipped: set[str] = set()

@@ -7,7 +7,9 @@ links from which components are built.
 
 Fingerprints are made distinct first, so copies, however many, count once. Inside a run no pair list is
 built: short runs are compared by shifts and a pair is emitted only in the first variant it shares; long
-runs emit the edges of a spanning forest of the verified links, which keeps every component.
+runs emit the edges of a spanning forest of the verified links, which keeps every component. Very long ones
+are split first: of five parts of the bits outside the segment, two fingerprints with four differing bits
+agree in one, so equal parts make sub-runs that hold every link.
 """
 
 from __future__ import annotations
@@ -24,7 +26,8 @@ from .common import materialize, ship_package, text_of
 from .components import components
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit, bits
-SHORT_RUN = 48
+#: Runs up to the first length are compared by shifts; those beyond the second are split. The links are the same.
+SHORT_RUN, LONG_RUN = 48, 4096
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -88,6 +91,24 @@ def _forest(fps: np.ndarray, max_bits: int) -> tuple[list, list]:
     return a, b
 
 
+def _split(fps: np.ndarray, segment: int, max_bits: int) -> tuple[list, list]:
+    """The edges of spanning forests of the sub-runs of a long run."""
+    first, bits = SEGMENTS[segment]
+    outside = [b for b in range(64) if not first <= b < first + bits]
+    a, b = [], []
+    for part in np.array_split(np.array(outside, np.uint64), max_bits + 1):
+        mask = np.bitwise_or.reduce(np.uint64(1) << part)
+        order = np.argsort(fps & mask, kind="stable")
+        some = fps[order]
+        ends = np.flatnonzero(np.diff(some & mask)) + 1
+        for run in np.split(some, ends):
+            if len(run) > 1:
+                x, y = _forest(run, max_bits)
+                a += x
+                b += y
+    return a, b
+
+
 def _links(keys: np.ndarray, fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Links inside runs of equal keys."""
     a, b = [], []
@@ -95,7 +116,8 @@ def _links(keys: np.ndarray, fps: np.ndarray, max_bits: int) -> tuple[np.ndarray
     starts = np.concatenate(([0], edges))
     lengths = np.diff(np.concatenate((starts, [len(keys)])))
     for s in np.flatnonzero(lengths > SHORT_RUN):
-        x, y = _forest(fps[starts[s] : starts[s] + lengths[s]], max_bits)
+        run = fps[starts[s] : starts[s] + lengths[s]]
+        x, y = _split(run, int(keys[starts[s]] >> 27), max_bits) if len(run) > LONG_RUN else _forest(run, max_bits)
         a += x
         b += y
     keep = np.repeat((lengths > 1) & (lengths <= SHORT_RUN), lengths)

@@ -162,6 +162,38 @@ def test_dense_and_sparse_fingerprints(spark, spread):
     assert sorted(map(sorted, want.values())) == sorted(map(sorted, got.values()))
 
 
+@pytest.mark.parametrize("segment", [0, 1, 2])
+def test_split_runs_keep_every_component(segment):
+    """A very long run, dealt into sub-runs, has the components of all of its pairs."""
+    from rfrank.llm.simhash import SEGMENTS, _split
+
+    rng = random.Random(segment)
+    first, bits = SEGMENTS[segment]
+    mask = ((1 << bits) - 1) << first
+    prints = set()
+    for _ in range(60):
+        x = rng.getrandbits(64) & ~mask
+        for _ in range(8):
+            for b in rng.sample([b for b in range(64) if not mask >> b & 1], rng.randrange(6)):
+                x ^= 1 << b
+            prints.add(x)
+    fps = np.array(sorted(prints), np.uint64)
+    edges = [(int(v), int(w)) for a, b in zip(*_split(fps, segment, 4)) for v, w in zip(a, b)]
+    assert all((v ^ w).bit_count() <= 4 for v, w in edges)
+    root = {p: p for p in prints}
+
+    def find(p):
+        while root[p] != p:
+            p = root[p]
+        return p
+
+    for v, w in edges:
+        root[find(v)] = find(w)
+    want = classes(prints)
+    together = {(p, q) for p in prints for q in prints if p < q and want[p] == want[q]}
+    assert {(p, q) for p in prints for q in prints if p < q and find(p) == find(q)} == together and together
+
+
 # Mixing
 
 
