@@ -6,6 +6,7 @@ from .chat import OP9_SQL, op9_chat
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .html_text import op6_html_text
 from .knn import OP3_SQL, op3_top_k
+from .merkle import OP13_SQL, op13_merkle
 from .mixing import OP1_SQL, op1_mix_sources
 from .packing import op10_pack
 from .pii import op5_pii
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_chat": op9_chat,
     "op10_pack": op10_pack,
+    "op13_merkle": op13_merkle,
 }
-ORACLE_SQL = {"op1_mix_sources": OP1_SQL, "op3_top_k": OP3_SQL, "op7_exact_dedup": OP7_SQL, "op9_chat": OP9_SQL}
+ORACLE_SQL = {"op1_mix_sources": OP1_SQL, "op3_top_k": OP3_SQL, "op7_exact_dedup": OP7_SQL, "op9_chat": OP9_SQL, "op13_merkle": OP13_SQL}
