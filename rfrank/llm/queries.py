@@ -11,6 +11,7 @@ from .mixing import OP1_SQL, op1_mix_sources
 from .packing import op10_pack
 from .pii import op5_pii
 from .quality import op2_quality
+from .secret_scan import op12_secrets
 from .simhash import op8_simhash
 from .substrings import op4_substring_dedup
 
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_chat": op9_chat,
     "op10_pack": op10_pack,
+    "op12_secrets": op12_secrets,
     "op13_merkle": op13_merkle,
 }
 ORACLE_SQL = {"op1_mix_sources": OP1_SQL, "op3_top_k": OP3_SQL, "op7_exact_dedup": OP7_SQL, "op9_chat": OP9_SQL, "op13_merkle": OP13_SQL}
