@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op11_alignment
 from .chat import OP9_SQL, op9_chat
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .html_text import op6_html_text
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_chat": op9_chat,
     "op10_pack": op10_pack,
+    "op11_alignment": op11_alignment,
     "op12_secrets": op12_secrets,
     "op13_merkle": op13_merkle,
 }
