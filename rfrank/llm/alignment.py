@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -35,16 +36,36 @@ _CUT = re.compile(r"(?<! )(?= \S)")
 _BYTES = {**{chr(b): b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174}}
 _BYTES |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if chr(b) not in _BYTES)}
 
-STRETCHES, WINDOWS = 250_000, 250_000
+#: Most stretches and windows that a worker keeps of the latest use; it holds up to twice as many.
+STRETCHES, WINDOWS = 150_000, 150_000
 #: Pairs that are broadcast are fewer than this.
 FREQUENT = 1 << 18
 
 
+class Kept(dict):
+    """A store that forgets: when it is full, what was not used since the last time goes."""
+
+    def __init__(self, most: int):
+        self.most, self.older = most, {}
+
+    def __missing__(self, key):
+        found = self.older[key]  # KeyError: not known
+        self.keep(key, found)
+        return found
+
+    def keep(self, key, value) -> None:
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+
+
 class _Tokens:
     """Length and mark of every token, from its bytes."""
 
     def __init__(self, of: list[bytes]):
-        self.size = np.array([len(t) for t in of], np.int64)
+        self.sizes = [len(t) for t in of]
+        self.size = np.array(self.sizes, np.int64)
         self.marked = np.array([t[:1] == b" " for t in of])
         if not self.size.all():
             raise ValueError("a vocabulary with tokens of no bytes")
@@ -81,63 +102,114 @@ class Aligner:
         self.b = _Tokens([bytes([int(t[3:5], 16)]) if p.is_byte(i) else t.replace("▁", " ").encode() for i, t in enumerate(texts)])
         if any(b" " in t.lstrip(b" ") for t in self.b.bytes):  # of A, the pattern sees to it
             raise ValueError("a vocabulary whose tokens go on past a space")
-        self.stretches: dict[str, tuple[bytes, bytes] | None] = {}
-        self.windows: dict[tuple[bytes, bytes], tuple[str, bytes, int]] = {}
-
-    def learn(self, stretches: set[str]) -> None:
-        """Tokenise stretches, all beginning with a space; None for one whose tokens have other bytes."""
-        new = [s for s in stretches if s not in self.stretches]
-        for s, b_ids in zip(new, self.pieces.encode([s[1:] for s in new], num_threads=1) if new else (), strict=True):
-            # Both give the same ids; one is faster, the other sound on words of any length.
-            a_ids = self.short.encode_ordinary(s) if len(s) <= 400 else self.long.encode(s, add_special_tokens=False).ids
-            raw = s.encode()
-            same = b"".join([self.a.bytes[i] for i in a_ids]) == raw and b"".join([self.b.bytes[i] for i in b_ids]) == raw
-            self.stretches[s] = (np.array(a_ids, "<u4").tobytes(), np.array(b_ids, "<u4").tobytes()) if same else None
-
-    def window(self, a: bytes, b: bytes) -> tuple[str, bytes, int]:
-        """A window's groups in writing, its linked pairs (A's id in the upper half of 64 bits), and how many they are."""
-        ids_a, ids_b = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
-        ends_a, ends_b = np.cumsum(self.a.size[ids_a]), np.cumsum(self.b.size[ids_b])
-        _, at_a, at_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
-        words_a, words_b, out, i, j = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist())), [], 0, 0
-        for k, n in zip((at_a + 1).tolist(), (at_b + 1).tolist(), strict=True):
-            out.append(f"{','.join(words_a[i:k])}|{','.join(words_b[j:n])}")
-            i, j = k, n
-        pairs = ids_a[at_a].astype(np.int64) << 32 | ids_b[at_b]
-        return ";".join(out), pairs.tobytes(), len(out)
-
-    def align(self, known: list[tuple[bytes, bytes] | None]) -> tuple[int, int, int, str, np.ndarray]:
-        """(tokens of A, of B, groups, groups in writing, linked pairs) of a text's stretches."""
-        nothing = 0, 0, 0, "", np.empty(0, np.int64)
-        if not known or None in known:
-            return nothing
-        a, b = b"".join([k[0] for k in known]), b"".join([k[1] for k in known])
-        ids_a, ids_b = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+        #: A token in writing, with what follows it: of A within a group and at its end, of B likewise, and at a window's end.
+        self.written = [f"{i}{mark}" for of, marks in ((self.a, ",|"), (self.b, ",;\n")) for mark in marks for i in range(len(of.sizes))]
+        self.stretches, self.windows = Kept(STRETCHES), Kept(WINDOWS)
+
+    def _tokenise(self, stretches: list[str]) -> tuple[list[str], list[tuple[np.ndarray, np.ndarray]]]:
+        """Stretches whose tokens have their bytes, in an order of their own, and arrays of both vocabularies' ids that make them up.
+
+        Most are tokenised in one go, end to end: no token goes from one into the next. The rest, and all of them should
+        any not have its bytes, one by one; of A by the tokenizer that is sound on words of any length, with the same ids.
+        """
+        plain = [s for s in stretches if len(s) <= 400 and s[1] != " " and not s[-1].isspace()]
+        kept, parts = [], []
+        if plain:
+            text = "".join(plain)
+            a, b = self.short.encode_ordinary(text), self.pieces.encode(text[1:])
+            if self._same(text, a, b):
+                kept, parts = plain, [(np.array(a, "<u4"), np.array(b, "<u4"))]
+        done = set(kept)
+        for s in stretches:
+            if s not in done:
+                a, b = self.long.encode(s, add_special_tokens=False).ids, self.pieces.encode(s[1:])
+                if self._same(s, a, b):
+                    kept.append(s)
+                    parts.append((np.array(a, "<u4"), np.array(b, "<u4")))
+        return kept, parts
+
+    def _same(self, text: str, a: list[int], b: list[int]) -> bool:
+        raw = text.encode()
+        return b"".join([self.a.bytes[i] for i in a]) == raw and b"".join([self.b.bytes[i] for i in b]) == raw
+
+    def learn(self, stretches: set[str]) -> dict[str, tuple[int, int, str, bytes]]:
+        """(tokens of A, of B, groups in writing, linked pairs) of stretches; a stretch whose tokens have other bytes is left out."""
+        known, new = {}, []
+        for s in stretches:
+            try:
+                known[s] = self.stretches[s]
+            except KeyError:
+                new.append(s)
+        new, parts = self._tokenise(new)
+        if not new:
+            return known
+        ids_a, ids_b = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+        a, b = ids_a.tobytes(), ids_b.tobytes()
+        # Anchors: shared ends before tokens of both that begin with a space. Every stretch begins with one.
         starts_a, starts_b = (np.cumsum(t.size[i]) - t.size[i] for t, i in ((self.a, ids_a), (self.b, ids_b)))
         anchors = np.intersect1d(starts_a[self.a.marked[ids_a]], starts_b[self.b.marked[ids_b]], assume_unique=True)
-        cuts_a, cuts_b = ([0, *(4 * np.searchsorted(s, anchors[anchors > 0])).tolist(), len(of)] for s, of in ((starts_a, a), (starts_b, b)))
-        written, pairs, n, kept = [], [], 0, self.windows
-        for i, k, j, m in zip(cuts_a, cuts_a[1:], cuts_b, cuts_b[1:], strict=False):
-            key = a[i:k], b[j:m]
-            found = kept.get(key)
-            if found is None:
-                found = self.window(*key)
-                if k - i <= 256:
-                    if len(kept) >= WINDOWS:
-                        kept.clear()
-                    kept[key] = found
-            written.append(found[0])
-            pairs.append(found[1])
-            n += found[2]
-        return len(ids_a), len(ids_b), n, ";".join(written), np.frombuffer(b"".join(pairs), np.int64)
-
-    def texts(self, texts: list[str]) -> Iterator[tuple[int, int, int, str, np.ndarray]]:
+        cuts_a, cuts_b = (np.append(np.searchsorted(s, anchors), len(s)) for s in (starts_a, starts_b))
+        at, bt = (4 * cuts_a).tolist(), (4 * cuts_b).tolist()
+        windows = [(a[i:k], b[j:m]) for i, k, j, m in zip(at, at[1:], bt, bt[1:], strict=False)]
+        found = self.aligned(windows)
+        # Which windows a stretch has: its ends are anchors, too.
+        ends = np.cumsum([0, *[len(s.encode()) for s in new]])
+        firsts = np.append(np.searchsorted(anchors, ends[:-1]), len(anchors))
+        n_a, n_b = (np.diff(c[firsts]).tolist() for c in (cuts_a, cuts_b))
+        for s, na, nb, i, k in zip(new, n_a, n_b, firsts.tolist(), firsts[1:].tolist(), strict=False):
+            known[s] = (na, nb, *found[i]) if k - i == 1 else (na, nb, ";".join([f[0] for f in found[i:k]]), b"".join([f[1] for f in found[i:k]]))
+            if len(s) <= 64:
+                self.stretches.keep(s, known[s])
+        return known
+
+    def aligned(self, windows: list[tuple[bytes, bytes]]) -> list[tuple[str, bytes]]:
+        """What ``align`` gives for windows, from what is kept by their ids as far as it is known."""
+        found, new = {}, []
+        for w in set(windows):
+            try:
+                found[w] = self.windows[w]
+            except KeyError:
+                new.append(w)
+        if new:
+            for w, x in zip(new, self.align(new), strict=True):
+                found[w] = x
+                if len(w[0]) <= 256:
+                    self.windows.keep(w, x)
+        return [found[w] for w in windows]
+
+    def align(self, windows: list[tuple[bytes, bytes]]) -> list[tuple[str, bytes]]:
+        """The groups of windows in writing, and their linked pairs (A's id in the upper half of 64 bits), all at once."""
+        ids_a, ids_b = (np.frombuffer(b"".join([w[k] for w in windows]), "<u4").astype(np.int64) for k in (0, 1))
+        ends_a, ends_b = np.cumsum(self.a.size[ids_a]), np.cumsum(self.b.size[ids_b])
+        shared, at_a, at_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
+        last = np.cumsum([len(w[1]) // 4 for w in windows]) - 1  # of each window, B's last token
+        group_a, group_b = np.searchsorted(at_a, np.arange(len(ids_a))), np.searchsorted(at_b, np.arange(len(ids_b)))
+        # Where a token stands in writing: behind the other side's tokens of the groups before, B's behind A's of its own.
+        n_a, n_b = len(self.a.sizes), len(self.b.sizes)
+        codes = np.empty(len(ids_a) + len(ids_b), np.int64)
+        kind_a, kind_b = np.zeros(len(ids_a), np.int64), np.full(len(ids_b), 2 * n_a)
+        kind_a[at_a], kind_b[at_b] = n_a, 2 * n_a + n_b
+        kind_b[last] = 2 * n_a + 2 * n_b
+        codes[np.arange(len(ids_a)) + np.concatenate([[0], at_b + 1])[group_a]] = ids_a + kind_a
+        codes[np.arange(len(ids_b)) + (at_a + 1)[group_b]] = ids_b + kind_b
+        written = "".join(map(self.written.__getitem__, codes.tolist())).split("\n")
+        pairs = (ids_a[at_a] << 32 | ids_b[at_b]).tobytes()
+        ends = (8 * (np.searchsorted(at_b, last) + 1)).tolist()
+        return [(w, pairs[i:k]) for w, i, k in zip(written, [0, *ends], ends, strict=False)]
+
+    def texts(self, texts: list[str]) -> list[tuple[int, int, str, np.ndarray]]:
+        """(tokens of A, of B, groups in writing, linked pairs) of each text."""
         split = [[s for s in _CUT.split(" " + t) if s] if t else [] for t in texts]
-        if len(self.stretches) > STRETCHES:
-            self.stretches.clear()
-        self.learn({s for of in split for s in of})
-        for of in split:
-            yield self.align([self.stretches[s] for s in of])
+        known = self.learn({s for of in split for s in of})
+        out = []
+        for stretches in split:
+            of = list(map(known.get, stretches))
+            if not of or None in of:
+                out.append((0, 0, "", np.empty(0, np.int64)))
+                continue
+            n_a, n_b, written, pairs = zip(*of, strict=True)
+            out.append((sum(n_a), sum(n_b), ";".join(written), np.frombuffer(b"".join(pairs), np.int64)))
+        return out
 
 
 _aligners: dict[tuple[str, str], Aligner] = {}
@@ -150,7 +222,7 @@ def _aligner(a_path: str, b_path: str) -> Aligner:
     return _aligners[a_path, b_path]
 
 
-def _some_at_a_time(texts: list[str], chars: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def _some_at_a_time(texts: list[str], chars: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about so many characters."""
     start = size = 0
     for i, t in enumerate(texts):
@@ -187,16 +259,16 @@ def align_tokenizers(docs: DataFrame, a_path: str, b_path: str, carry: Sequence[
         for b in batches:
             texts = b.column(2).to_pylist()
             for start, end in _some_at_a_time(texts):
-                found = list(aligner.texts(texts[start:end]))
-                distinct = [np.unique(f[4], return_counts=True) for f in found]
+                found = aligner.texts(texts[start:end])
+                distinct = [np.unique(f[3], return_counts=True) for f in found]
                 ends = np.cumsum([0, *[len(d[0]) for d in distinct]])
                 values = [pa.array(np.concatenate([d[k] for d in distinct]), pa.int64()) for k in (0, 1)]
-                digests = [hashlib.sha256(f[3].encode()).hexdigest() if f[0] else "" for f in found]
+                digests = [hashlib.sha256(f[2].encode()).hexdigest() if f[0] else "" for f in found]
                 part = b.slice(start, end - start)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(0), part.column(1), *[pa.array([f[k] for f in found], pa.int64()) for k in range(3)], pa.array(digests, pa.string()),
-                        pa.array([f[3] if with_groups else None for f in found], pa.string()),
+                        part.column(0), part.column(1), *[pa.array(of, pa.int64()) for of in ([f[0] for f in found], [f[1] for f in found], [len(f[3]) for f in found])], pa.array(digests, pa.string()),
+                        pa.array([f[2] if with_groups else None for f in found], pa.string()),
                         pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(values, ["pair", "n"])),
                     ],
                     schema.names,
