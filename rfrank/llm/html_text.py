@@ -71,6 +71,13 @@ BAD_NAMES = {
     "copyright", "legal", "disclaimer", "tags", "byline", "hidden", "skip", "navigationbar", "complementary", "contentinfo",
 }
 
+#: Words that leave a name's meaning to the others in it.
+FILLERS = {
+    "site", "main", "top", "bottom", "left", "right", "primary", "secondary", "global", "list", "box", "wrapper", "wrap", "container", "block", "item", "items", "section", "area",
+    "links", "link", "bar", "button", "buttons", "form", "posts", "articles", "stories", "inner", "outer", "mobile", "desktop", "sticky", "user", "post", "article", "entry", "icons", "widgets",
+    "message", "row", "col", "column", "group", "panel", "title", "heading", "text", "body", "count", "thread", "author", "reader", "media", "js", "el", "module", "component", "slot", "unit", "space",
+}
+
 _OPEN = re.compile(r"<(?=[a-zA-Z/!?])")
 # Possessive, so that a tag without an end is given up at once. A quote that does not end is plain.
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
@@ -84,7 +91,7 @@ _NAME = re.compile(r"[a-z]+")
 STRONG, MIDDLE, WEAK = 6.0, 3.0, 1.5  # most that one feature may weigh
 STAY = 0.995  # most that a parent may say for its child
 FEATURES = (
-    "good_tag", "bad_tag", "good_name", "bad_name", "form", "links_none", "links_some", "links_most", "short", "middle", "long", "stop", "no_stop",
+    "good_tag", "bad_tag", "good_name", "bad_name", "hint_bad", "form", "links_none", "links_some", "links_most", "short", "middle", "long", "stop", "no_stop",
     "is_paragraph", "is_heading", "is_other", "alone", "in_company",
 )
 #: What kind of block holds a text; any tag else, a division among them, is another.
@@ -123,10 +130,13 @@ def _kind(tag: str, attrs: str) -> tuple:
                 out.add("bad_name")
             elif name in ("class", "id", "role") and tag not in ("html", "body"):
                 names = [set(_NAME.findall(n)) for n in value.split()]
+                # Only a whole name says that its element is not content; a word in a longer name is a hint.
                 if any(n <= GOOD_NAMES for n in names if n):
                     out.add("good_name")
-                elif any(n & BAD_NAMES for n in names):
+                elif any(n & BAD_NAMES and n <= BAD_NAMES | FILLERS for n in names):
                     out.add("bad_name")
+                elif any(n & BAD_NAMES for n in names):
+                    out.add("hint_bad")
                 elif any(n & GOOD_NAMES for n in names):
                     out.add("good_name")
         if "bad_name" in out:
@@ -276,9 +286,28 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     for n in nodes[1:]:
         if n.chars:
             nodes[n.parent].company += 1
+    _free(nodes)
     return nodes, blocks
 
 
+def _free(nodes: list[Node]) -> None:
+    """Names tell nothing of elements that hold the page: its one article, what is around it, or without one most of the text."""
+    held = [n.chars for n in nodes]
+    for i in range(len(nodes) - 1, 0, -1):
+        held[nodes[i].parent] += held[i]
+    articles = [i for i, n in enumerate(nodes) if n.tag in GOOD_TAGS]
+    if len(articles) == 1:
+        free, at = [], articles[0]
+        while at > 0:
+            free.append(at)
+            at = nodes[at].parent
+    else:
+        free = [i for i in range(1, len(nodes)) if 2 * held[i] > held[0] and nodes[i].tag not in BAD_TAGS] if not articles else []
+    for i in free:
+        if _AT["bad_name"] in nodes[i].kind:
+            nodes[i].kind = tuple(f for f in nodes[i].kind if f != _AT["bad_name"])
+
+
 _BAD, _GOOD = {_AT["bad_tag"], _AT["bad_name"]}, {_AT["good_tag"], _AT["good_name"]}
 
 
