@@ -59,7 +59,17 @@ FIRST_NAMES = (
     "Isabelle", "Sophie", "José", "Juan", "Carlos", "Antonio", "Manuel", "Carmen", "Ana", "Laura", "Alice", "Bob", "Daniel", "Paul", "Jane", "Kevin",
 )
 TITLES = ("Mr", "Mrs", "Ms", "Dr", "Prof", "Herr", "Frau", "Mme", "Sr", "Sra")
-ASKING = ("name", "nombre", "nom", "holder", "contact", "patient", "signed", "inhaber", "dear", "by", "called", "named")
+ASKING = ("name", "nombre", "nom", "holder", "contact", "patient", "signed", "inhaber", "dear", "called", "named", "hello", "hi", "liebe", "lieber", "cher", "chère", "estimado", "estimada", "querido", "querida", "llamo", "heiße", "appelle", "heisst", "llama")
+#: Words that begin a letter or stand before a name and are themselves written large.
+GREETINGS = ("Dear", "Hello", "Hi", "Contact", "Liebe", "Lieber", "Cher", "Chère", "Estimado", "Estimada", "Querido", "Querida", "Patient", "Signed", "Name")
+#: Words of institutions, works and places that stand in capitals like a name.
+NO_NAMES = (
+    "General", "Public", "License", "Licence", "University", "Institute", "Department", "Ministry", "Committee", "Company", "Corporation", "Foundation", "Association", "Society",
+    "Museum", "Library", "School", "College", "Church", "Street", "Road", "Avenue", "River", "Lake", "Mount", "Island", "Ocean", "Sea", "City", "County", "State", "States", "United",
+    "National", "International", "Central", "North", "South", "East", "West", "New", "Old", "Great", "Saint", "World", "War", "Party", "Act", "Bill", "Law", "Rights", "Reserved", "Terms",
+    "Privacy", "Policy", "Copyright", "Creative", "Commons", "Open", "Source", "Software", "Free", "The", "This", "That", "These", "Chapter", "Section", "Figure", "Table", "Volume",
+    "January", "February", "March", "April", "June", "July", "August", "September", "October", "November", "December", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday",
+)
 BIRTH = ("born", "birth", "birthday", "dob", "geboren", "geburtsdatum", "né", "née", "naissance", "nacido", "nacida", "nacimiento")
 STREETS = ("Street", "St", "Avenue", "Ave", "Road", "Rd", "Lane", "Ln", "Drive", "Boulevard", "Blvd", "Way", "Court", "Place", "Square")
 
@@ -68,15 +78,21 @@ _WORD = r"[\p{L}0-9_]"
 _SURNAME = r"\p{Lu}\p{Ll}++"
 #: Pattern by kind. Where a group is named, it is the candidate and ends the match; what is before it is context.
 CANDIDATES = (
-    ("id", r"(?<![A-Za-z0-9])(?:[A-Z]{2}[0-9]{2}(?:[\x20-]?[A-Z0-9]{4}){2,7}+(?:[\x20-]?[A-Z0-9]{1,3})?+|[0-9]{2,}+(?:[\x20-][0-9]{2,}+)++)(?![A-Za-z0-9])"),
+    ("id", r"(?<![A-Za-z0-9])(?<![0-9]{4}-)(?![0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-]))(?:[A-Z]{2}[0-9]{2}(?:[\x20-]?[A-Z0-9]{4}){2,7}+(?:[\x20-]?[A-Z0-9]{1,3})?+|[0-9]{2,}+(?:[\x20-][0-9]{2,}+)++)(?![A-Za-z0-9])"),
     ("birth", r"(?<![0-9./-])(?:[0-9]{1,2}([./-])[0-9]{1,2}\1[0-9]{2,4}|[0-9]{4}-[0-9]{2}-[0-9]{2})(?![0-9./-])"),
-    ("address", rf"(?=[0-9\p{{Lu}}rbcap])(?<!{_WORD})(?:[0-9]{{1,5}}[A-Za-z]?\x20(?:{_SURNAME}\x20){{1,3}}(?:{'|'.join(STREETS)})(?!{_WORD})|\p{{Lu}}\p{{L}}*?(?:straße|strasse|weg|platz|allee|gasse)\x20[0-9]{{1,4}}[a-z]?(?!{_WORD})|(?:[0-9]{{1,4}},?\x20)?(?:rue|boulevard|chemin|calle|avenida|plaza)(?:\x20(?:de|du|des|la|le|del))*\x20{_SURNAME}(?:,?\x20[0-9]{{1,4}}(?!{_WORD}))?)"),
+    ("address", rf"(?=[0-9\p{{Lu}}rbcap])(?<!{_WORD})(?:[0-9]{{1,5}}[A-Za-z]?\x20(?:{_SURNAME}\x20){{1,3}}(?:{'|'.join(STREETS)})(?!{_WORD})|\p{{Lu}}\p{{L}}*?(?:straße|strasse|weg|platz|allee|gasse)\x20[0-9]{{1,4}}[a-z]?(?!{_WORD})|(?:[0-9]{{1,4}},?\x20)?(?:rue|boulevard|chemin|calle|avenida|plaza)(?:\x20(?:des?|du|la|le|del)(?=\x20))*+\x20{_SURNAME}(?:,?\x20[0-9]{{1,4}}(?!{_WORD}))?)"),
     ("secret", rf"(?i)(?<!{_WORD})(?:{'|'.join(PRIVATE_FIELDS)})(?!{_WORD})[\"']?\s{{0,3}}+(?:[:=]|(?:is|ist|est|es)(?!{_WORD}))\s{{0,3}}+[\"']?([^\s\"'<>,;=:]++)"),
-    ("name", rf"(?<!{_WORD})(?:(?:{'|'.join(TITLES)})\.?+\x20)?+({_SURNAME}(?:[\x20-]{_SURNAME}){{1,3}}+)"),
-    ("secret", r"(?<![A-Za-z0-9])[A-Za-z]*+[0-9][A-Za-z0-9]*+"),
+    ("name", rf"(?<!{_WORD})(?:(?:{'|'.join(GREETINGS)})\x20)?+(?:(?:{'|'.join(TITLES)})\.?+\x20)?+({_SURNAME}(?:[\x20-]{_SURNAME}){{1,3}}+)"),
+    ("secret", r"(?<![A-Za-z0-9])(?:[A-Za-z]*+[0-9][A-Za-z0-9]*+|A[KS]IA[A-Z]{12,}+)"),
 )
 BUCKETS = 1024
+#: Candidates that a bucket's usual share counts for.
+PRIOR = 5.0
+#: Code points of a candidate's surroundings that labellers and features see.
+LEFT, RIGHT = 24, 12
 ABSTAIN, CLEAN, PRIVATE = 0, 1, 2
+#: Of a labeller's votes on clean candidates, at most this share is for private; on private ones, at least that.
+MOST_FALSE, LEAST_TRUE = 0.15, 0.6
 
 
 def _digits(m: Column) -> Column:
@@ -117,8 +133,8 @@ def _placed(text: Column, pattern: str, inner: bool = False) -> Column:
     def span(x: Column) -> Column:
         value = F.regexp_replace(x["v"], r"[.!?)\]}]++$", "") if inner else x["v"]
         start = x["end"] - F.length(x["v"])
-        before = F.concat(F.substring(x["gap"], -24, 24), F.substring(x["m"], F.lit(1), F.length(x["m"]) - F.length(x["v"]))) if inner else x["gap"]
-        return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"), F.substring(before, -24, 24).alias("left"), F.substring(x["next"], 1, 8).alias("right"))
+        before = F.concat(F.substring(x["gap"], -LEFT, LEFT), F.substring(x["m"], F.lit(1), F.length(x["m"]) - F.length(x["v"]))) if inner else x["gap"]
+        return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"), F.substring(before, -LEFT, LEFT).alias("left"), F.substring(x["next"], 1, RIGHT).alias("right"))
 
     def spans(w: Column) -> Column:
         n = F.size(w["m"])
@@ -163,7 +179,7 @@ def _votes(kind: str, c: Column) -> dict[str, Column]:
     digits = F.length(_digits(value))
     named = F.when(field.isin(*PRIVATE_FIELDS), PRIVATE).when(field.isin(*PUBLIC_FIELDS), CLEAN)
     assigned = F.when(left.rlike(r"[=:]\s*[\"']?$"), PRIVATE)
-    told = field.isin(*PRIVATE_FIELDS) & left.rlike(r"[=:]\s*[\"']?$")  # then shortness or plainness says nothing
+    told = field.isin(*PRIVATE_FIELDS) & left.rlike(r"(?:[=:]|\b(?:is|ist|est|es))\s*[\"']?$")  # then shortness or plainness says nothing
     if kind == "secret":
         known = r"^(?:AKIA|ASIA)[A-Z0-9]{12,}$|^(?=[0-9]*[a-f])[0-9a-f]{16,}$|^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}$|^(?:sk|pk|ghp|gho|xox[bp])[-_][-_A-Za-z0-9]{8,}$|^eyJ[-_A-Za-z0-9.]{16,}$"
         plain = r"^[0-9]{1,8}$|^[0-9]+(?:st|nd|rd|th|px|pt|em|km|kg|mm|cm|kb|mb|gb|k|m)$|^\p{L}+$"
@@ -181,10 +197,11 @@ def _votes(kind: str, c: Column) -> dict[str, Column]:
             "shape": F.when(digits >= 9, PRIVATE).when(digits < 8, CLEAN),
         }
     if kind == "name":
+        titled = near.rlike(rf"(?:^|[^\p{{L}}])(?:{'|'.join(TITLES)})\.?\s$")
         return {
-            "regex": F.when(near.rlike(rf"(?:^|[^\p{{L}}])(?:{'|'.join(TITLES)})\.?\s$"), PRIVATE),
-            "gazetteer": F.when(F.regexp_extract(value, r"^\p{L}+", 0).isin(*FIRST_NAMES), PRIVATE).otherwise(CLEAN),
-            "context": F.when(field.isin(*ASKING), PRIVATE).when(left.rlike(r"(?:^|[.!?\n]\s*)$"), CLEAN),
+            "regex": F.when(titled, PRIVATE),
+            "gazetteer": F.when(F.arrays_overlap(F.split(value, r"[\x20-]"), F.array(*map(F.lit, NO_NAMES))), CLEAN).when(F.regexp_extract(value, r"^\p{L}+", 0).isin(*FIRST_NAMES), PRIVATE),
+            "context": F.when(field.isin(*ASKING) | left.rlike(r"(?:signed|written|sent|approved|prepared) by\s$"), PRIVATE).when(~titled & left.rlike(r"(?:^|[.!?\n]\s*)$"), CLEAN),
             "shape": F.when(value.rlike(r"^\p{L}{2,12}(?:[\x20-]\p{L}{2,14}){1,2}$"), ABSTAIN).otherwise(CLEAN),
         }
     if kind == "address":
@@ -196,12 +213,13 @@ def _votes(kind: str, c: Column) -> dict[str, Column]:
         }
     parts = F.split(value, "[./-]")
     year = F.greatest(*[F.get(parts, F.lit(i)).try_cast("int") for i in (0, 2)])
-    born = left.rlike(rf"(?<!\p{{L}})(?:{'|'.join(BIRTH)})(?!\p{{L}})")
+    word = rf"(?<!\p{{L}})(?:{'|'.join(BIRTH)})(?!\p{{L}})"
+    born = left.rlike(word) | F.lower(c["right"]).rlike(rf"^\s{word}")
     return {
         "regex": F.when(F.get(parts, F.lit(1)).try_cast("int").between(1, 31), ABSTAIN).otherwise(CLEAN),
         "gazetteer": F.when(field.isin(*BIRTH), PRIVATE),
         "context": F.when(born, PRIVATE).otherwise(CLEAN),
-        "shape": F.when(~year.between(0, 99) & ~year.between(1900, 2025), CLEAN),
+        "shape": F.when(~year.between(0, 99) & ~year.between(1850, 2100), CLEAN),
     }
 
 
@@ -246,13 +264,13 @@ def fit_reliabilities(patterns: dict[int, int], rounds: int = 100) -> tuple[dict
         share = min(0.95, max(0.001, (sum(n * post[p] for p, n in patterns.items()) + 1) / (total + 5)))
         new = []
         for k in range(m):
-            # Two kinds of pseudo-votes keep a labeller better than chance.
+            # Pseudo-votes keep a labeller better than chance, and bounds one that only ever votes one way.
             counts = [[1.0, 9.0], [8.0, 2.0]]
             for p, n in patterns.items():
                 if votes[p][k]:
                     counts[0][votes[p][k] == CLEAN] += n * (1 - post[p])
                     counts[1][votes[p][k] == CLEAN] += n * post[p]
-            new.append((min(0.45, counts[0][0] / sum(counts[0])), max(0.55, counts[1][0] / sum(counts[1]))))
+            new.append((min(MOST_FALSE, counts[0][0] / sum(counts[0])), max(LEAST_TRUE, counts[1][0] / sum(counts[1]))))
         done = max(abs(a - b) for x, y in zip(rate, new, strict=True) for a, b in zip(x, y, strict=True)) < 1e-9
         rate = [(min(max(c, 1e-4), 0.9999), min(max(q, 1e-4), 0.9999)) for c, q in new]
         if done:
@@ -268,7 +286,8 @@ def find_pii(docs: DataFrame, carry: Sequence[Column | str] = ("*",), text_col:
     and those that the classifier adds, of the kinds in ``ADDED``. Positions are code points, ends exclusive.
 
     A null text counts as empty and has no spans; repeated rows are treated alike; an empty table, or one
-    without candidates, adds nothing. Spans of different base kinds may overlap; an added span overlaps no
+    without candidates, adds nothing; a text of any length is searched whole. What is added depends on ``LEFT`` code points
+    before a candidate and ``RIGHT`` after it; dates of birth have a year of two figures or one from 1850 to 2100. Spans of different base kinds may overlap; an added span overlaps no
     base span, and none of a kind before its own. Other columns ride along inside ``row``, whatever their names.
     """
     text = F.col("text")
@@ -306,7 +325,7 @@ def find_pii(docs: DataFrame, carry: Sequence[Column | str] = ("*",), text_col:
         elif inner:
             there = reduce(or_, (F.contains(lowered, F.lit(w)) for w in _roots(PRIVATE_FIELDS)))
         else:
-            there = digit
+            there = digit | (F.contains(text, F.lit("AKIA")) | F.contains(text, F.lit("ASIA")) if kind == "secret" else F.lit(False))
         return F.when(there, F.when(text.rlike(pattern), judged)).otherwise(empty)
 
     def apart(c: Column, others: Column) -> Column:
@@ -343,10 +362,12 @@ def find_pii(docs: DataFrame, carry: Sequence[Column | str] = ("*",), text_col:
     )
     private = {kind: sum(n * posterior[kind][v] for v, n in of.items()) for kind, of in patterns.items()}
     clean = {kind: sum(of.values()) - private[kind] for kind, of in patterns.items()}
+    # Shares are drawn towards the bucket's share among all of the kind's candidates: one seen seldom says little.
     weights = [0.0] * (BUCKETS * len(ADDED))
     for r in sums:
         k = r["kind_no"]
-        weights[k * BUCKETS + r["bucket"]] = math.log((r["private"] + 0.5) / (private[k] + 1)) - math.log((r["clean"] + 0.5) / (clean[k] + 1))
+        usual = PRIOR * (r["private"] + r["clean"]) / (private[k] + clean[k])
+        weights[k * BUCKETS + r["bucket"]] = math.log((r["private"] + usual) / (private[k] + PRIOR)) - math.log((r["clean"] + usual) / (clean[k] + PRIOR))
     bias = _numbers([math.log((private.get(k, 0) + 0.5) / (clean.get(k, 0) + 0.5)) for k in range(len(ADDED))])
     table = _numbers(weights)
 

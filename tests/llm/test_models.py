@@ -174,6 +174,64 @@ def test_pii_recall_and_precision(spark):
     assert wrong <= 0.05 * len(rows) / 2
 
 
+def held_out_pii(rng, n):
+    """Texts with one value each in words that no list of the module has, or prose that looks like it; as (text, kind, value)."""
+    words = "the of and river house walked over light morning then quiet paper green under people told water bridge".split()
+    prose = lambda k: " ".join(rng.choice(words) for _ in range(k))
+    digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    letters = lambda k: "".join(rng.choice("bcdfghjklmnpqrstvwxyz") for _ in range(k))
+    person = f"{rng.choice(['Wei', 'Olga', 'Kwame', 'Priya', 'Yusuf', 'Ingrid', 'Tomasz', 'Aroha', 'Nkechi', 'Björn'])} {rng.choice(['Zhang', 'Ivanova', 'Mensah', 'Raman', 'Okafor', 'Lindqvist', 'Nowak', 'Haddad'])}"
+    place = rng.choice(["Maple", "Harbour", "Cedar", "Wellington", "Orchard"])
+    made = [
+        ("name", "please contact {} about it", person), ("name", "My name is {} and", person), ("name", "Dear {}, thanks", person), ("name", "Dr. {} was", person), ("name", "the holder {} has", person), ("name", "approved by {} on", person),
+        ("secret", "mi contraseña es {} desde", letters(6) + digits(2)), ("secret", "server key {} rotated", "AKIA" + letters(16).upper()), ("secret", "passwort: {}", letters(5) + "!" + digits(3)), ("secret", "login = '{}'", letters(9) + "#" + digits(1)), ("secret", "auth token {} sent", letters(8) + digits(10)),
+        ("birth", "am {} geboren", f"{rng.randrange(1, 28)}.{rng.randrange(1, 12)}.19{digits(2)}"), ("birth", "nacida el {}", f"{rng.randrange(1, 28)}/{rng.randrange(1, 12)}/19{digits(2)}"), ("birth", "DOB {}", f"19{digits(2)}-0{rng.randrange(1, 9)}-1{digits(1)}"),
+        ("address", "lives at {}, with", f"{rng.randrange(1, 900)} {place} Lane"), ("address", "habite {} depuis", f"{rng.randrange(1, 99)} rue des {place}"), ("address", "send it to {}.", f"{rng.randrange(1, 900)} {place} Road"),
+        ("id", "passport {} issued", f"{digits(3)} {digits(3)} {digits(4)}"), ("id", "konto: {}", f"{digits(4)}-{digits(4)}-{digits(4)}"),
+    ]
+    plain = ["under the General Public License of", "see Chapter Twelve again", "at Oxford University then", "on 12.5.2021 it rained", "the New World Order", "a key idea was", "room 101 and 102", "the United Nations met", "on Monday Morning we"]
+    for i in range(n):
+        kind, frame, value = made[i // 2 % len(made)] if i % 2 else (None, plain[i // 2 % len(plain)], None)
+        yield f"{prose(6)} {frame.format(value)} {prose(5)}.", kind, value
+
+
+def test_pii_recall_on_held_out_words(spark):
+    rng = random.Random(12)
+    rows = [r for _ in range(40) for r in held_out_pii(rng, 38)]
+    frame = spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(rows)], "doc_id long, text string")
+    found = {r.doc_id: r.spans for r in pii.find_pii(frame).select("row.doc_id", "spans").collect()}
+    caught, wrong = Counter(), Counter()
+    for i, (text, kind, value) in enumerate(rows):
+        here = [text[s.start : s.end] for s in found[i]]
+        if kind is None:
+            wrong[text.split()[6:9][0]] += bool(here)
+        else:
+            caught[kind, any(value in h or h in value and len(h) > 3 for h in here)] += 1
+    print({k: caught[k, True] / (caught[k, True] + caught[k, False]) for k in pii.ADDED}, wrong)
+    for kind in pii.ADDED:
+        assert caught[kind, True] >= 0.8 * (caught[kind, True] + caught[kind, False]), caught
+    assert wrong.total() <= 0.02 * len(rows)
+
+
+def test_no_license_is_a_name(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("text LIKE '%General Public%'")
+    every = pii.find_pii(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    assert docs.count() > 0
+    named = every.select(F.explode("spans").alias("s"), "row.text").filter("s.kind = 'name'").select(F.expr("substring(text, s.start + 1, s.end - s.start)").alias("name"))
+    assert named.filter("name LIKE '%General Public%'").count() == 0
+
+
+def test_patterns_survive_long_chains(spark):
+    """Every pattern over long runs of what its loops take: a stack that overflows would end the session."""
+    n = 60_000
+    chains = ["1 rue" + " de" * n, "1 rue" + " des" * n + " Paix", "1 " + "Ab " * n + "Street", "A" * n + "straße 1", "DE89" + " ABCD" * n, "12" + "-34" * n, "1.1" * n, "1-" * n, "4111 " * n, "+1" + " 2" * n, "+" * n + "1",
+              "a." * n + "@b" + ".c" * n, "@" * n, "a@" * n, "password" * n, "password: " * n, "password =" + " " * n + "x", "key" + ":" * n, "Mr. " * n + "Jo Do", "Dr Ab" + " Cd" * n, "Ab-" * n, "Dear " * n, "a1" * n, "A" * n + "1", "AKIA" * n, "1" * n,
+              "1/1/" * n, "2001-01-01" * n, "mot de " * n, "é" * n + "@x.y", "né " * n + "1.1.1999", "calle" + " la" * n + " Sol", "\n" * n, "'" * n, "1 " * n]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(chains)], "doc_id long, text string").repartition(4)
+    assert pii.find_pii(frame).count() == len(chains)
+    assert spark.range(3).count() == 3
+
+
 def test_pii_plan_is_native_and_empty_tables(spark):
     frame = spark.createDataFrame([], "doc_id long, text string")
     assert pii.find_pii(frame).count() == 0
@@ -251,6 +309,35 @@ def test_pages(spark, sf_dir):
     assert len(found) > 50 and all(r.text == reference_text(r.html) for r in found)
 
 
+@pytest.mark.parametrize("wrap", [
+    '<div class="has-sidebar">', '<div class="no-sidebar">', '<div class="layout-with-nav">', '<div class="page-header-fixed">', '<div id="content" class="with-comments sidebar-left-open">', '<div class="sidebar">',
+    '<article class="hentry category-social-science">', '<article id="how-to-search-the-sky">', '<article class="post comments">',
+])
+def test_names_of_wrappers_empty_no_page(spark, sf_dir, wrap):
+    """All pages within such an element, or with such an article, keep their texts."""
+    pages = [r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
+    model = html_text.fit(html_text.count_labelled(iter(pages)))
+    for h in pages:
+        tag = wrap[1:].split()[0]
+        changed = h.replace("<article>", wrap) if tag == "article" else re.sub(r"<body[^>]*>|(?<=</head>)(?!<body)", lambda m: m[0] + wrap, h, count=1)
+        assert changed != h
+        assert model.text(changed) == reference_text(h)
+
+
+@pytest.mark.parametrize("open_, close, stays", [
+    ('<p class="legal-history">', "</p>", True), ('<section id="comments-on-plato"><p>', "</p></section>", True), ('<p class="no-ads">', "</p>", True), ('<div class="search-for-meaning"><p>', "</p></div>", True),
+    ('<div class="comments"><p>', "</p></div>", False), ('<div id="related-posts"><p>', "</p></div>", False), ('<div class="newsletter-signup-form"><p>', "</p></div>", False), ('<ul class="social-share-buttons"><li>', "</li></ul>", False),
+    ('<div class="comment-list"><p>', "</p></div>", False), ('<div class="cookie-notice"><p>', "</p></div>", False), ('<div class="ad-unit"><p>', "</p></div>", False),
+])
+def test_names_within_an_article(spark, sf_dir, open_, close, stays):
+    pages = [r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").limit(60).collect()]
+    model = html_text.fit(html_text.count_labelled(iter(pages)))
+    told = "What is said here is long enough to be a paragraph of its own. It has two sentences."
+    for h in pages:
+        text = model.text(h.replace("</article>", f"{open_}{told}{close}</article>"))
+        assert text == reference_text(h) + ("\n" + told if stays else "")
+
+
 def without_names(page):
     """The page with no tag or attribute left that tells what a block is for."""
     page = re.sub(r"<(/?)(article|nav|footer|header|aside|main|section)\b[^>]*>", r"<\1div>", page)
