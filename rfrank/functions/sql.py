@@ -37,9 +37,21 @@ def definitions(config: RankingConfig) -> dict[str, str]:
     }
 
 
+def table_definitions() -> dict[str, str]:
+    """Name: signature and body of functions that give tables, to be used with LATERAL."""
+    from ..operators.region import MOST_STATES, STATE_REACH_DEGREES, STATES
+
+    near = ", ".join(f"struct(sqrt(pow(lat - ({la!r}D), 2) + pow(lon - ({lo!r}D), 2)) AS d, '{c}' AS state)" for c, (la, lo) in STATES.items())
+    kept = f"filter(slice(array_sort(array({near})), 1, {MOST_STATES}), (s, i) -> i = 0 OR s.d < {STATE_REACH_DEGREES!r}D)"
+    return {
+        "rf_nearby_states": "(lat DOUBLE, lon DOUBLE) RETURNS TABLE (state_no INT, state STRING) RETURN"
+        f" SELECT n.state_no, n.state FROM inline(transform({kept}, (s, i) -> struct(i + 1 AS state_no, s.state AS state))) AS n",
+    }
+
+
 def register(spark: SparkSession, config: RankingConfig | None = None) -> list[str]:
     """Create the functions in the session; returns their names."""
-    made = definitions(config or RankingConfig.default())
+    made = definitions(config or RankingConfig.default()) | table_definitions()
     for name, body in made.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}{body}")
     return list(made)

@@ -40,6 +40,21 @@ def strongest_by_band(measurements: DataFrame) -> DataFrame:
     )
 
 
+def band_cube(towers: DataFrame) -> DataFrame:
+    """(band, distance_class, n_towers, strongest_dbm) of every band, every class, both and all: ``all`` where a column is summed over.
+
+    One pass over the towers; every one of them counts in four groups, combined before the shuffle.
+    """
+
+    def label(name: str) -> Column:
+        return F.when(F.grouping(name) == 1, "all").otherwise(F.col(name)).alias(name)
+
+    cubed = towers.cube("band", "distance_class").agg(
+        label("band").alias("b"), label("distance_class").alias("c"), F.count(F.lit(1)).alias("n_towers"), F.max("received_power_dbm").alias("strongest_dbm")
+    )
+    return cubed.select(F.col("b").alias("band"), F.col("c").alias("distance_class"), "n_towers", "strongest_dbm")
+
+
 def result_documents(towers: DataFrame, receivers: DataFrame, source: Column | str = "us") -> DataFrame:
     """(receiver_id, document): for each receiver a JSON answer of its towers by rank, the query, and the count.
 

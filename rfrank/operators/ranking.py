@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import geo, rf
 from ..plans.config import RankingConfig
 from .match import match_values, nearest
+from .numbering import numbered
+
+#: Up to so many rows of a receiver, its ranking is one window, cut before the shuffle.
+WINDOW_ROWS = 10_000
 
 
 def in_broadcast_band(devices: DataFrame, config: RankingConfig) -> DataFrame:
@@ -112,13 +116,17 @@ def sort_columns(config: RankingConfig, towers: DataFrame) -> list[Column]:
 def rank(towers: DataFrame, config: RankingConfig, most_rows: int | None = None) -> DataFrame:
     """The first ``max_rows`` of each receiver, numbered from 1.
 
-    ``most_rows``, where the caller knows that no ``max_rows`` exceeds it, lets Spark rank before the shuffle.
+    ``most_rows``, where the caller knows that no ``max_rows`` exceeds it, lets Spark rank before the shuffle; a receiver
+    that asks for more fails the query. Without it, or if it is large, a receiver's towers are numbered by many tasks.
     """
-    order = Window.partitionBy("receiver_id").orderBy(*sort_columns(config, towers))
-    numbered = towers.withColumn("rank", F.row_number().over(order))
-    if most_rows is not None:
-        numbered = numbered.filter(F.col("rank") <= most_rows)
-    return numbered.filter(F.col("rank") <= F.col("max_rows")).drop("max_rows", "ord", "first_ord")
+    order = sort_columns(config, towers)
+    if most_rows is None or most_rows > WINDOW_ROWS:
+        ranked = numbered(towers, ["receiver_id"], order).filter(F.col("rank") <= F.col("max_rows"))
+    else:
+        ranked = towers.withColumn("rank", F.row_number().over(Window.partitionBy("receiver_id").orderBy(*order))).filter(F.col("rank") <= most_rows)
+        asked = F.when(F.col("max_rows") > most_rows, F.raise_error(F.lit(f"a receiver asks for more rows than most_rows = {most_rows}"))).otherwise(F.col("max_rows"))
+        ranked = ranked.filter(F.col("rank") <= asked.cast("int"))
+    return ranked.drop("max_rows", "ord", "first_ord")
 
 
 def with_defaults(receivers: DataFrame, config: RankingConfig) -> DataFrame:

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from .functions import geo, rf, text
 from .functions.sql import register
 from .operators import enrich, match, ranking, region
+from .plans import answer
 from .plans.config import RankingConfig
 from .shared import shared_dir
-from .sources import derived, regions, stations, sweep, systems
+from .sources import derived, elevations, paged, regions, stations, sweep, systems
 from .streaming import sweep as stream
 
 CONFIG = RankingConfig.default()
@@ -163,7 +164,7 @@ def rank_receivers(spark, sf_dir):
 @query("top_k", ranked_sql(columns="callsign, frequency_mhz, rank").replace("rank <= max_rows", "rank <= 10"))
 def top_k(spark, sf_dir):
     few = derived.receiver(spark).withColumn("max_rows", F.lit(10))
-    return ranking.rank_towers(derived.devices(spark, sf_dir), few, CONFIG).select("callsign", "frequency_mhz", "rank")
+    return ranking.rank_towers(derived.devices(spark, sf_dir), few, CONFIG, most_rows=10).select("callsign", "frequency_mhz", "rank")
 
 
 @query("dedup_strongest", f"WITH {towers_sql()} SELECT callsign, frequency_mhz, received_power_dbm, k AS kept_k, first_k FROM u")
@@ -579,6 +580,112 @@ def source_scan(spark, sf_dir):
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
+STATE_CODES = "[" + ", ".join(f"'{c}'" for c in region.STATES) + f"][k % {len(region.STATES)} + 1]"
+NEAR_SQL = f"""near AS (
+  SELECT state, row_number() OVER (ORDER BY dd, state)::INT AS state_no, dd FROM (
+    SELECT state, sqrt(pow({derived.RECEIVER[0]}::DOUBLE - la, 2) + pow({derived.RECEIVER[1]}::DOUBLE - lo, 2)) AS dd FROM (VALUES {_STATES}) st(state, la, lo))
+)"""
+
+
+@query(
+    "scan_near_states",
+    f"WITH {TV}, {NEAR_SQL}, t AS (SELECT *, {STATE_CODES} AS state FROM tvs WHERE mhz IS NOT NULL)"
+    " SELECT t.state, ordinal, callsign, mhz, 'Winston-Salem, ' || t.state AS name FROM t JOIN near USING (state) WHERE state_no <= 5 AND (state_no = 1 OR dd < 4)",
+)
+def scan_near_states(spark, sf_dir):
+    """Stations of the states around a receiver: lines lie in a folder for each state, and the others are not read."""
+    folder = f"{shared_dir(spark)}/states-{uuid.uuid4().hex}"
+    stations.write_states(derived.state_lines(spark, sf_dir), folder)
+    wanted = region.nearby_states(derived.receiver(spark), "receiver_id", "rx_lat", "rx_lon")
+    found = stations.tv_stations(stations.near_states(stations.read_states(spark, folder), wanted).drop("state"))
+    return found.select("state", "ordinal", "callsign", "mhz", "name")
+
+
+ANSWERS = f"""{D}, e AS (
+  SELECT *, (k % 8)::INT AS request_no, (k // 8 % 3)::INT AS subtype_no, row_number() OVER (PARTITION BY k % 8, k // 8 % 3 ORDER BY k) - 1 AS i FROM d
+), f AS (
+  SELECT request_no, subtype_no, (i // 20)::INT AS page_no, (i % 20)::INT AS edge_no, callsign, freq, lat, lon, eirp_w, ['Commercial Television', 'National Broadcasting', 'Commercial Radio'][subtype_no + 1] AS licence_subtype FROM e
+)"""
+
+
+def _paged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/answers-{uuid.uuid4().hex}"
+    derived.write_answers(spark, sf_dir, folder)
+    return paged.read_paged(spark, derived.paged_requests(), "captures", path=folder, max_pages=1_000_000, page_size=20)
+
+
+def _paged_columns(rows: DataFrame) -> DataFrame:
+    return paged.as_devices(rows).select(*[f"ord.system_no.{c}" for c in ("request_no", "subtype_no", "page_no", "edge_no")], "callsign", "freq", "lat", "lon", "eirp_w", "licence_subtype")
+
+
+@query("paged_scan", f"WITH {ANSWERS} SELECT * FROM f")
+def paged_scan(spark, sf_dir):
+    """Devices from recorded answers, page after page by cursor: a task for each request and subtype."""
+    return _paged_columns(_paged(spark, sf_dir))
+
+
+@query("paged_pushdown", f"WITH {ANSWERS} SELECT * FROM f WHERE licence_subtype = 'Commercial Radio' AND freq BETWEEN 88 AND 200 AND request_no IN (1, 2, 5)")
+def paged_pushdown(spark, sf_dir):
+    """The same with filters, which become part of the requests: three are sent in place of twenty-four."""
+    rows = _paged(spark, sf_dir).filter("licence_subtype = 'Commercial Radio' AND mhz BETWEEN 88 AND 200 AND request_no IN (1, 2, 5)")
+    return _paged_columns(rows)
+
+
+@query(
+    "lookup_elevations",
+    f"WITH {D}, q AS (SELECT DISTINCT round_even(lat, 6) AS lat6, round_even(lon, 6) AS lon6 FROM d), n AS (SELECT *, round_even(lat6 * 10000, 0)::BIGINT + round_even(lon6 * 10000, 0)::BIGINT AS m FROM q)"
+    " SELECT lat6, lon6, ((m % 1000 + 1000) % 1000)::DOUBLE / 8 AS elevation_m FROM n WHERE m % 7 <> 0",
+)
+def lookup_elevations(spark, sf_dir):
+    """The ground of every transmitter's place, asked for in batches."""
+    places = derived.devices(spark, sf_dir).select(F.col("lat").alias("latitude"), F.col("lon").alias("longitude"))
+    return elevations.lookup_elevations(places, "rfrank.sources.derived:elevation_service")
+
+
+BORDERS_SQL = "CASE WHEN rx_lat <= 40 AND rx_lon BETWEEN -170 AND -110 THEN 'au' WHEN rx_lat <= 40 AND rx_lon BETWEEN -100 AND -40 THEN 'ca' ELSE 'us' END"
+ASKED_SQL = MANY.replace("r AS (", "r0 AS (") + f", r AS (SELECT *, CASE receiver_id % 4 WHEN 1 THEN 'us' WHEN 2 THEN 'au' ELSE {BORDERS_SQL} END AS source FROM r0)"
+
+
+@query(
+    "answers",
+    f"WITH z AS ({ranked_sql(ASKED_SQL, order=BY_POWER_SQL).replace('FROM b, r WHERE band IS NOT NULL', 'FROM b, r WHERE band IS NOT NULL AND source = CASE k % 3 WHEN 0 THEN chr(117) || chr(115) WHEN 1 THEN chr(97) || chr(117) ELSE chr(99) || chr(97) END')}),"
+    f" {ASKED_SQL}, {D}, {ELEVATION}, g AS (SELECT receiver_id, count(*)::BIGINT AS n, string_agg(rank || ':' || callsign || ':' || coalesce(round_even(elevation_m, 1)::VARCHAR, '-'), ',' ORDER BY rank) AS listed"
+    " FROM z LEFT JOIN ev ON lat6 = latitude AND lon6 = longitude GROUP BY receiver_id)"
+    " SELECT receiver_id, source, coalesce(n, 0)::BIGINT AS n_towers, coalesce(listed, '') AS listed, radius_km, coalesce(elevation_m, 0)::DOUBLE AS altitude_m"
+    " FROM r LEFT JOIN g USING (receiver_id) LEFT JOIN ev ON ev.lat6 = round_even(rx_lat, 6) AND ev.lon6 = round_even(rx_lon, 6)",
+)
+def answers(spark, sf_dir):
+    """Every receiver's answer, from its request: source by its place unless it names one, towers of that source, elevations, document."""
+    asked = derived.receivers(spark, sf_dir).withColumn("source", F.expr("CASE receiver_id % 4 WHEN 0 THEN 'auto' WHEN 1 THEN 'US' WHEN 2 THEN 'au' END"))
+    code = F.expr("CASE region_no WHEN 0 THEN 'au' WHEN 1 THEN 'ca' END")
+    edges = regions.edges(derived.regions(spark, sf_dir).withColumn("region", code).filter("region is not null"))
+    devices = derived.devices(spark, sf_dir)
+    by_source = {s: devices.filter(F.col("ord.system_no") % 3 == i) for i, s in enumerate(answer.SOURCES)}
+    made = answer.find_towers(asked, edges, by_source, BY_POWER, elevation_dim(spark, sf_dir), most_rows=11)
+    document = "struct<towers:array<struct<rank:int,callsign:string,elevation_m:double>>,query:struct<altitude_m:double,radius_km:double,source:string>,count:bigint>"
+    told = made.select("receiver_id", "source", F.from_json("document", document).alias("d"))
+    listed = F.transform("d.towers", lambda t: F.concat_ws(":", t["rank"], t["callsign"], F.coalesce(t["elevation_m"].cast("string"), F.lit("-"))))
+    return told.select("receiver_id", F.col("d.query.source").alias("source"), F.col("d.count").alias("n_towers"), F.array_join(listed, ",").alias("listed"), "d.query.radius_km", "d.query.altitude_m")
+
+
+@query(
+    "band_cube",
+    f"WITH {towers_sql(matched=True)} SELECT CASE WHEN grouping(band) = 1 THEN 'all' ELSE band END AS band, CASE WHEN grouping(distance_class) = 1 THEN 'all' ELSE distance_class END AS distance_class,"
+    " count(*)::BIGINT AS n_towers, max(received_power_dbm) AS strongest_dbm FROM u WHERE frequency_matched GROUP BY CUBE (band, distance_class)",
+)
+def band_cube(spark, sf_dir):
+    """An extension: the measured towers by band and distance class, with all subtotals."""
+    matched = match.match_nearest(_candidates(spark, sf_dir), derived.measurements(spark, sf_dir))
+    return enrich.band_cube(ranking.keep_strongest(ranking.project(matched, CONFIG)).filter("frequency_matched"))
+
+
+@query("fn_nearby_states", SQL["nearby_states"])
+def fn_nearby_states(spark, sf_dir):
+    """The states around each point by the registered table function, by way of SQL."""
+    register(spark, CONFIG)
+    return spark.sql("SELECT p.point_id, n.state_no, n.state FROM {points} AS p, LATERAL rf_nearby_states(p.lat, p.lon) AS n", points=derived.points(spark, sf_dir))
+
+
 WIDE = "r AS (SELECT 1 AS receiver_id, 34.8526::DOUBLE AS rx_lat, -82.394::DOUBLE AS rx_lon, 300.0::DOUBLE AS radius_km)"
 UNION_SQL = f"""{D}, {TV}, {FM}, a AS (
   SELECT 0 AS source_no, k, callsign, 'Winston-Salem, NC' AS name, mhz AS freq, lat, lon, eirp_w, NULL::DOUBLE AS transmit_w FROM tvs WHERE mhz IS NOT NULL

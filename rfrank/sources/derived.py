@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .systems import explode_devices
+from ..operators.region import STATES
+from .systems import SUBTYPES, explode_devices
 
 RECEIVER = (34.8526, -82.394)
 
@@ -99,6 +100,40 @@ def tv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def state_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The television lines, dealt over all states."""
+    codes = ", ".join(f"'{c}'" for c in STATES)
+    return tv_lines(spark, sf_dir).selectExpr(f"replace(line, '|WINSTON-SALEM|NC|', concat('|WINSTON-SALEM|', array({codes})[ordinal % {len(STATES)}], '|')) AS line", "ordinal")
+
+
+def write_answers(spark: SparkSession, sf_dir: str, folder: str, per_page: int = 20) -> None:
+    """The systems as recorded answers of a paged service, to eight requests with three subtypes each: pages follow each other by cursor."""
+    subtypes = ", ".join(f"'{s}'" for s in SUBTYPES)
+    rows = systems(spark, sf_dir).selectExpr(
+        "CAST(system_no % 8 AS INT) AS request_no", "CAST(system_no div 8 % 3 AS INT) AS subtype_no", "system_no",
+        f"named_struct('cursor', CAST(system_no AS STRING), 'node', named_struct('id', id, 'devices', devices, 'licence', named_struct('type', 'Broadcasting', 'subtype', array({subtypes})[system_no div 8 % 3]))) AS edge",
+    )
+    numbered = rows.selectExpr("*", "row_number() OVER (PARTITION BY request_no, subtype_no ORDER BY system_no) - 1 AS i", "count(*) OVER (PARTITION BY request_no, subtype_no) AS n")
+    paged = numbered.groupBy("request_no", "subtype_no", "n", F.expr(f"CAST(i div {per_page} AS INT)").alias("page_no")).agg(F.array_sort(F.collect_list(F.struct("system_no", "edge"))).alias("e"))
+    paged = paged.selectExpr(
+        "request_no", "subtype_no", "page_no",
+        "coalesce(lag(element_at(e, -1).edge.cursor) OVER (PARTITION BY request_no, subtype_no ORDER BY page_no), '') AS after",
+        f"to_json(named_struct('data', named_struct('systems', named_struct('edges', transform(e, x -> x.edge), 'pageInfo', named_struct('hasNextPage', (page_no + 1) * {per_page} < n))))) AS body",
+    )
+    paged.repartition("request_no", "subtype_no").sortWithinPartitions("request_no", "subtype_no", "page_no").drop("page_no").write.partitionBy("request_no", "subtype_no").json(folder)
+
+
+def paged_requests() -> list[dict]:
+    """What ``write_answers`` recorded the answers to."""
+    return [{"source": "au", "lat": RECEIVER[0] + i, "lon": RECEIVER[1], "radius_km": 80} for i in range(8)]
+
+
+def elevation_service(lats, lons) -> list:
+    """A service that knows the ground of most places, by a rule: for tests and queries, in place of one on the network."""
+    metres = (round(la * 10_000) + round(lo * 10_000) for la, lo in zip(lats, lons, strict=True))
+    return [None if m % 7 == 0 else m % 1000 / 8 for m in metres]
+
+
 def fm_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An FM line for each supplier."""
     return _read(spark, sf_dir, "supplier").selectExpr(

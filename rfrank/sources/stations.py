@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rf, text
+from ..operators.region import MOST_STATES
 
 MIN_FIELDS = 35
 
@@ -93,3 +94,35 @@ def as_devices(stations: DataFrame) -> DataFrame:
         "licence_type",
         "licence_subtype",
     )
+
+
+# By state: the service answers a state at a time, and a receiver needs the few around it.
+
+
+def write_states(lines: DataFrame, folder: str) -> None:
+    """Keep lines (line, ordinal) in a folder for each state that they name, in order of ordinal. Lines without one are no stations'."""
+    state = F.trim(F.get(F.split("line", r"\|", -1), F.lit(11)))
+    kept = lines.filter(F.col("line").startswith("|")).select("line", "ordinal", state.alias("state")).filter("state != ''")
+    # Salted, so that a state with a third of all lines is written by several tasks; each of its files is in order.
+    kept.repartition("state", F.pmod(F.xxhash64("ordinal"), F.lit(8))).sortWithinPartitions("state", "ordinal").write.partitionBy("state").parquet(folder)
+
+
+def read_states(spark: SparkSession, folder: str) -> DataFrame:
+    """(line, ordinal, state) of what ``write_states`` wrote. A file that cannot be read is skipped; ``unanswered`` tells of it."""
+    return spark.read.schema("line string, ordinal long, state string").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").parquet(folder)
+
+
+def near_states(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Lines of the states that ``wanted`` (state, state_no, ...) names, such as ``nearby_states`` gives.
+
+    There are at most as many different states as are known, some fifty, so they are broadcast; other states' folders
+    are pruned at run time and never listed for reading.
+    """
+    states = wanted.filter(F.col("state_no") <= MOST_STATES).select("state").distinct()
+    return lines.join(F.broadcast(states), "state", "left_semi")
+
+
+def unanswered(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(state): wanted states of which no line was read, failed ones and empty ones."""
+    states = wanted.select("state").distinct()
+    return states.join(near_states(lines, wanted).select("state").distinct(), "state", "left_anti")
