@@ -21,19 +21,65 @@ STATES = {
 STATE_REACH_DEGREES, MOST_STATES = 4.0, 5
 
 
-def classify(points: DataFrame, edges: DataFrame, x: str = "lon", y: str = "lat", rows_per_degree: int = 4) -> DataFrame:
-    """Adds ``region``, the first (by region_no) whose polygon covers the point, boundary included; else null.
+#: Cells start this much off round coordinates, so that their sides go through no vertex.
+OFF_X, OFF_Y = 0.000123456789, 0.000098765432
+#: Edges to a cell that the grid is made for, and the bounds of its fineness.
+EDGES_PER_CELL, COARSEST, FINEST = 8, 1, 256
+
+
+def _cell(at: Column, off: float, n: int) -> Column:
+    return F.floor((at + off) * n)
+
+
+def _x_at(e: Column, y: Column) -> Column:
+    return e["x1"] + (y - e["y1"]) / F.when(e["y2"] != e["y1"], e["y2"] - e["y1"]) * (e["x2"] - e["x1"])
+
+
+def fineness(edges: DataFrame) -> int:
+    """Cells per degree that leave a cell of the border about ``EDGES_PER_CELL`` edges."""
+    n, length = edges.agg(F.count(F.lit(1)), F.sum(F.sqrt(F.pow(F.col("x2") - F.col("x1"), 2) + F.pow(F.col("y2") - F.col("y1"), 2)))).first()
+    return int(min(FINEST, max(COARSEST, -(-n // (EDGES_PER_CELL * max(length or 0, 1e-9))))))
 
-    Ray casting over all rings (so holes count), and a test of lying on an edge. A ray to the east meets
-    only edges that reach its own latitude, so edges are gathered by rows of latitude, and each point is
-    joined to the edges of its row: an equi-join that keeps points single.
+
+def cover(edges: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """A grid over regions: what a row of cells and what a cell of the border knows.
+
+    Rows (_row, far): of each region the columns in whose cells the row's lower side crosses its border an odd number of
+    times. So many of them as lie further east tell whether a cell without edges is inside.
+    Cells (_row, _col, near): of each region with edges in the cell these, and whether its lower right corner is inside.
     """
     side = F.struct("x1", "y1", "x2", "y2")
-    row_of = lambda y: F.floor(y * rows_per_degree)
+    rows = edges.select("region_no", "region", side.alias("e"), F.explode(F.sequence(_cell(F.least("y1", "y2") - 1e-9, OFF_Y, n), _cell(F.greatest("y1", "y2") + 1e-9, OFF_Y, n))).alias("_row"))
+    low, e = F.col("_row") / n - OFF_Y, F.col("e")
+    crossing = rows.filter((e["y1"] > low) != (e["y2"] > low)).select("region_no", "region", "_row", _cell(_x_at(e, low), OFF_X, n).alias("c"))
+    odd = crossing.groupBy("_row", "region_no", "region", "c").agg(F.count(F.lit(1)).alias("k")).filter("k % 2 = 1")
+    columns = odd.groupBy("_row", "region_no", "region").agg(F.array_sort(F.collect_list("c")).alias("columns"))
+    far = columns.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("region_no", "region", "columns"))).alias("far"))
+
+    ends = [F.coalesce(_x_at(e, F.greatest(low, F.least(e["y1"], e["y2"]))), e["x1"]), F.coalesce(_x_at(e, F.least(low + 1 / n, F.greatest(e["y1"], e["y2"]))), e["x2"])]
+    spread = F.sequence(_cell(F.least(*ends) - 1e-9, OFF_X, n), _cell(F.greatest(*ends) + 1e-9, OFF_X, n))
+    held = rows.withColumn("_col", F.explode(spread)).groupBy("_row", "_col", "region_no", "region").agg(F.collect_list("e").alias("edges"))
+    based = held.join(columns, ["_row", "region_no", "region"], "left")
+    corner = F.size(F.filter(F.coalesce("columns", F.array().cast("array<bigint>")), lambda c: c > F.col("_col"))) % 2
+    cells = based.groupBy("_row", "_col").agg(F.array_sort(F.collect_list(F.struct("region_no", "region", corner.alias("corner"), "edges"))).alias("near"))
+    return far, cells
+
+
+def classify(points: DataFrame, edges: DataFrame, x: str = "lon", y: str = "lat", cells_per_degree: int | None = None) -> DataFrame:
+    """Adds ``region``, the first (by region_no) whose polygon covers the point, boundary included; else null.
+
+    Ray casting over all rings (so holes count), and a test of lying on an edge, by way of a grid. A cell without edges is
+    inside or outside as a whole. Of a point in a cell of the border only the cell's own edges are tested: those between
+    it and the cell's right side, and those that the right side meets below it, down to a corner that is known. Both are
+    equi-joins, on rows of cells and on cells, and keep points single. ``cells_per_degree`` is fitted to the
+    edges unless it is given; any gives the same regions. Points without coordinates have no region.
+    """
+    n = cells_per_degree or fineness(edges)
+    far, cells = cover(edges, n)
     px, py = F.col(x), F.col(y)
-    spread = edges.withColumn("_row", F.explode(F.sequence(row_of(F.least("y1", "y2")), row_of(F.greatest("y1", "y2")))))
-    regions = spread.groupBy("_row", "region_no", "region").agg(F.collect_list(side).alias("edges"))
-    all_of = regions.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("region_no", "region", "edges"))).alias("_regions"))
+    known = F.when(~F.isnan(px) & ~F.isnan(py), F.lit(True))
+    at = points.withColumns({"_row": F.when(known, _cell(py, OFF_Y, n)), "_col": F.when(known, _cell(px, OFF_X, n))})
+    right, low = (F.col("_col") + 1) / n - OFF_X, F.col("_row") / n - OFF_Y
 
     def on(e: Column) -> Column:
         cross = (e["x2"] - e["x1"]) * (py - e["y1"]) - (e["y2"] - e["y1"]) * (px - e["x1"])
@@ -41,15 +87,27 @@ def classify(points: DataFrame, edges: DataFrame, x: str = "lon", y: str = "lat"
         return (cross == 0) & within
 
     def crossed(e: Column) -> Column:
-        at = e["x1"] + (py - e["y1"]) / F.when(e["y2"] != e["y1"], e["y2"] - e["y1"]) * (e["x2"] - e["x1"])
-        return ((e["y1"] > py) != (e["y2"] > py)) & F.coalesce(px < at, F.lit(False))
+        """Once if the way goes through the edge: east to the cell's right side, then down it; twice counts as none."""
+        meets = _x_at(e, py)
+        east = ((e["y1"] > py) != (e["y2"] > py)) & F.coalesce((px < meets) & (meets < right), F.lit(False))
+        height = e["y1"] + (right - e["x1"]) / F.when(e["x2"] != e["x1"], e["x2"] - e["x1"]) * (e["y2"] - e["y1"])
+        down = ((e["x1"] >= right) != (e["x2"] >= right)) & F.coalesce((low < height) & (height <= py), F.lit(False))
+        return east != down
 
     def covers(r: Column) -> Column:
-        return F.exists(r["edges"], on) | (F.size(F.filter(r["edges"], crossed)) % 2 == 1)
+        return F.exists(r["edges"], on) | ((r["corner"] + F.size(F.filter(r["edges"], crossed))) % 2 == 1)
+
+    def within(r: Column) -> Column:
+        beside = ~F.coalesce(F.exists("near", lambda c: c["region_no"] == r["region_no"]), F.lit(False))
+        return beside & (F.size(F.filter(r["columns"], lambda c: c > F.col("_col"))) % 2 == 1)
+
+    def named(found: Column) -> Column:
+        return F.transform(found, lambda r: F.struct(r["region_no"].alias("region_no"), r["region"].alias("region")))
 
-    joined = points.withColumn("_row", row_of(py)).join(all_of, "_row", "left")
-    found = F.get(F.filter("_regions", covers), F.lit(0))["region"]
-    return joined.withColumn("region", found).drop("_row", "_regions")
+    none = F.array().cast("array<struct<region_no:int,region:string>>")
+    joined = at.join(far, "_row", "left").join(cells, ["_row", "_col"], "left")
+    every = F.concat(F.coalesce(named(F.filter("near", covers)), none), F.coalesce(named(F.filter("far", within)), none))
+    return joined.withColumn("region", F.array_min(every)["region"]).drop("_row", "_col", "far", "near")
 
 
 def source_of(region: Column) -> Column:
