@@ -15,6 +15,7 @@ from .plans import answer
 from .plans.config import RankingConfig
 from .shared import shared_dir
 from .sources import derived, elevations, paged, regions, stations, sweep, systems
+from .streaming import feed
 from .streaming import sweep as stream
 
 CONFIG = RankingConfig.default()
@@ -338,13 +339,13 @@ def sweep_dedup(spark, sf_dir):
     return sweep.best_of(sweep.measurements(derived.sweep_lines(spark, sf_dir))).drop("first_ordinal", "first_channel")
 
 
-@query("sweep_stream", f"WITH {S} SELECT freq_mhz, band, score FROM ({BEST})")
+@query("sweep_stream", f"WITH {S} {BEST}")
 def sweep_stream(spark, sf_dir):
-    """The same through a stream: events are written as files, which the stream then finds."""
+    """The same through a stream: events are written as files in their order, which the stream then finds; of equals the first stays."""
     folder = f"{shared_dir(spark)}/sweep-{uuid.uuid4().hex}"
-    derived.sweep_lines(spark, sf_dir).select("line").write.text(f"{folder}/in")
-    stream.start(stream.running_best(stream.read_stream(spark, f"{folder}/in")), f"{folder}/out", f"{folder}/state").awaitTermination()
-    return stream.read_best(spark, f"{folder}/out").select("freq_mhz", "band", "score")
+    derived.sweep_lines(spark, sf_dir).repartitionByRange("ordinal").sortWithinPartitions("ordinal").select("line").write.text(f"{folder}/in")
+    stream.start(stream.running_best(feed.read_feed(spark, f"{folder}/in")), f"{folder}/out", f"{folder}/state").awaitTermination()
+    return stream.read_best(spark, f"{folder}/out").select("freq_mhz", "band", "snr_db", "obw_fraction", "score", "power_db")
 
 
 # Station lines ---------------------------------------------------------------------------------------

@@ -13,6 +13,7 @@ from rfrank.plans.config import RankingConfig
 from rfrank.sources import regions, stations, systems
 from rfrank.sources.schema import SYSTEM
 from rfrank.sources.stations import as_devices, tv_stations
+from rfrank.streaming import feed
 from rfrank.streaming import sweep as stream
 
 CONFIG = RankingConfig.default()
@@ -138,6 +139,53 @@ def test_stream(spark, tmp_path):
     assert run() == [(89.3, 0.95, 3.0), (90.1, 0.1, None)]
 
 
+def test_feed_keeps_the_first_of_equals(spark, tmp_path):
+    """Ties within a file, over files, over batches and after a restart, against a plain account."""
+    rng = random.Random(3)
+    folder, rows = tmp_path / "in", []
+    folder.mkdir()
+
+    def line(i):
+        return json.dumps({"type": "step", "channels": [{"band": "fm", "fc_mhz": rng.choice([89.3, 90.1, 90.5]), "score": rng.choice([0.5, 0.7]), "snr_db": i + c / 2} for c in range(2)]})
+
+    def run(n_files, first):
+        for k in range(first, first + n_files):
+            lines = [line(len(rows) + i) for i in range(40)]
+            rows.extend(lines)
+            (tmp_path / "new").write_text("".join(f"data: {x}\n" for x in lines))
+            (tmp_path / "new").rename(folder / f"{k:03}.txt")
+        best = stream.running_best(feed.read_feed(spark, str(folder)))
+        stream.start(best, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+        return {r.freq_mhz: (r.score, r.snr_db) for r in stream.read_best(spark, str(tmp_path / "out")).collect()}
+
+    def plain():
+        kept = {}
+        for x in rows:
+            for c in json.loads(x)["channels"]:
+                if c["fc_mhz"] not in kept or c["score"] > kept[c["fc_mhz"]][0]:
+                    kept[c["fc_mhz"]] = (c["score"], c["snr_db"])
+        return kept
+
+    assert run(3, 0) == plain()
+    assert run(2, 3) == plain()
+    assert run(0, 5) == plain()
+
+
+def test_feed_numbers_lines(tmp_path):
+    reader = feed.FeedReader({"path": str(tmp_path)})
+    assert reader.latestOffset() == reader.initialOffset()
+    (tmp_path / "a").write_text("x\ny\n")
+    (tmp_path / "_hidden").write_text("no\n")
+    first = reader.latestOffset()
+    (tmp_path / "b").write_text("z")
+    last = reader.latestOffset()
+    assert [list(reader.read(p)) for p in reader.partitions(reader.initialOffset(), first)] == [[("x", 0), ("y", 1)]]
+    assert [list(reader.read(p)) for p in reader.partitions(first, last)] == [[("z", feed.LINES)]]
+    assert reader.partitions(last, last) == []
+    timed = feed.FeedReader({"path": str(tmp_path), "order": "time"})
+    assert [p.value[1] for p in timed.partitions(timed.initialOffset(), timed.latestOffset())] == [0, 1]
+
+
 def test_row_limits_beyond_two_hundred(spark):
     rows = [((0, i, 0), f"W{i}", "n", "s", 89.3, 34.9, -82.4, None, 100.0, None, None, "", "") for i in range(450)]
     here = spark.createDataFrame([(1, 34.85, -82.4, 400), (2, 34.85, -82.4, 3)], "receiver_id int, rx_lat double, rx_lon double, max_rows int")
