@@ -36,6 +36,32 @@ def match_values(towers: DataFrame, measurements: Sequence[dict], freq: str = "f
     return towers.withColumn("m", best["m"])
 
 
+LIST = "array<struct<ordinal:bigint,freq_mhz:double,snr_db:double,score:double,power_db:double,obw_fraction:double>>"
+
+
+def as_lists(measurements: DataFrame, key: str = "receiver_id") -> DataFrame:
+    """(key, measurements): each request's own measurements (key, ordinal, freq_mhz, ...) as a list, as requests carry them.
+
+    A request of more than ``MAX_LITERAL`` measurements fails the query: it belongs into a table that all requests share.
+    """
+    listed = measurements.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.collect_list(F.struct("ordinal", "freq_mhz", *FIELDS)).alias("l"))
+    too_many = F.raise_error(F.lit(f"a request sends more than {MAX_LITERAL} measurements"))
+    return listed.select(key, F.when(F.col("n") > MAX_LITERAL, too_many).otherwise(F.array_sort("l").cast(LIST)).alias("measurements"))
+
+
+def match_listed(towers: DataFrame, listed: str = "measurements", freq: str = "freq", band: str = "band") -> DataFrame:
+    """Adds ``m``, the nearest within the band's tolerance of the measurements that the row itself carries; no shuffle.
+
+    Ties go to the smaller ordinal. A null or empty list matches nothing.
+    """
+
+    def away(m: Column) -> Column:
+        return F.struct(F.abs(m["freq_mhz"] - F.col(freq)).alias("diff"), m["ordinal"].alias("ordinal"), m.alias("m"))
+
+    near = F.filter(listed, lambda m: F.abs(m["freq_mhz"] - F.col(freq)) <= rf.tolerance_mhz(F.col(band)))
+    return towers.withColumn("m", F.array_min(F.transform(near, away))["m"])
+
+
 def _bin(mhz: Column, width: Column) -> Column:
     return F.floor(mhz / (width * 1.001))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, rf
 from ..plans.config import RankingConfig
-from .match import match_values, nearest
+from .match import match_listed, match_values, nearest
 from .numbering import numbered
 
 #: Up to so many rows of a receiver, its ranking is one window, cut before the shuffle.
@@ -76,6 +76,7 @@ def project(pairs: DataFrame, config: RankingConfig) -> DataFrame:
         "m.score",
         "m.power_db",
         "m.obw_fraction",
+        *[c for c in ("sent",) if c in pairs.columns],
     )
 
 
@@ -177,3 +178,16 @@ def rank_towers(
     if given:
         towers = towers.filter("frequency_matched")
     return rank(towers, config, config.default_limit if "max_rows" not in receivers.columns else most_rows)
+
+
+def rank_requests(devices: DataFrame, requests: DataFrame, config: RankingConfig, typical_km: float | None = None, most_rows: int | None = None) -> DataFrame:
+    """Rank the towers around each of many requests that carry their own measurements.
+
+    ``requests`` are receivers with a column ``measurements`` (``match.as_lists``). One that sends some has only the towers
+    ranked that one of its own matches; one with a null or empty list has all of them. Lists ride with the receivers into
+    the join by cells and end in it: each pair keeps its nearest measurement only.
+    """
+    sent = F.coalesce(F.size("measurements") > 0, F.lit(False))
+    found = match_listed(candidates(devices, requests.withColumn("sent", sent), config, typical_km)).drop("measurements")
+    towers = keep_strongest(project(found, config)).filter("frequency_matched or not sent").drop("sent")
+    return rank(towers, config, config.default_limit if "max_rows" not in requests.columns else most_rows)

@@ -162,6 +162,26 @@ def rank_receivers(spark, sf_dir):
     return ranking.rank_towers(derived.devices(spark, sf_dir), derived.receivers(spark, sf_dir), BY_POWER, derived.measurements(spark, sf_dir), typical_km=35.0, most_rows=11)
 
 
+OWN = """mo AS (SELECT m.*, m.ordinal % (SELECT count(*) FROM supplier) + 1 AS sender FROM m), n AS (
+  SELECT f.receiver_id AS rid, f.freq, f.tol, mo.snr_db, mo.score, mo.power_db, mo.obw_fraction,
+         row_number() OVER (PARTITION BY f.receiver_id, f.freq, f.tol ORDER BY abs(mo.freq_mhz - f.freq), mo.ordinal) AS nth
+  FROM (SELECT DISTINCT receiver_id, freq, tol FROM p WHERE receiver_id % 5 <> 0) f JOIN mo ON mo.sender = f.receiver_id AND abs(mo.freq_mhz - f.freq) <= f.tol
+), x AS (
+  SELECT p.*, n.freq IS NOT NULL AS hit, n.snr_db, n.score, n.power_db, n.obw_fraction
+  FROM p LEFT JOIN n ON n.rid = p.receiver_id AND n.freq = p.freq AND n.tol = p.tol AND n.nth = 1
+)"""
+
+
+@query("rank_requests", ranked_sql(MANY, matched=True, order=BY_POWER_SQL).replace(MATCH, OWN).replace("WHERE frequency_matched", "WHERE frequency_matched OR receiver_id % 5 = 0"))
+def rank_requests(spark, sf_dir):
+    """Every receiver at once, each with the measurements that it sent itself, some with none."""
+    receivers = derived.receivers(spark, sf_dir)
+    sender = F.col("ordinal") % F.lit(spark.read.parquet(f"{sf_dir}/supplier.parquet").count()) + 1
+    lists = match.as_lists(derived.measurements(spark, sf_dir).withColumn("receiver_id", sender))
+    requests = receivers.join(lists.filter("receiver_id % 5 <> 0"), "receiver_id", "left")
+    return ranking.rank_requests(derived.devices(spark, sf_dir), requests, BY_POWER, typical_km=35.0, most_rows=11)
+
+
 @query("top_k", ranked_sql(columns="callsign, frequency_mhz, rank").replace("rank <= max_rows", "rank <= 10"))
 def top_k(spark, sf_dir):
     few = derived.receiver(spark).withColumn("max_rows", F.lit(10))

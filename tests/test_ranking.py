@@ -87,6 +87,24 @@ def test_one_receiver_of_many_is_ranked_alike(spark):
         assert sorted(map(tuple, alone.collect()), key=str) == sorted(map(tuple, together.filter(F.col("receiver_id") == i).collect()), key=str)
 
 
+def test_requests_with_their_own_measurements(spark):
+    """Each request among others is answered as it is alone; null and empty lists mean none were sent."""
+    rng = random.Random(6)
+    devices = spark.createDataFrame(made_up(6, 300), SCHEMA)
+    sent = {i: [(j, rng.choice([89.2, 89.4, 177.5, 475.0, 300.0]), 1.0, rng.random(), None, 0.5) for j in range(rng.randrange(1, 6))] for i in range(4)} | {4: [], 5: None}
+    schema = "receiver_id int, rx_lat double, rx_lon double, measurements array<struct<ordinal:bigint,freq_mhz:double,snr_db:double,score:double,power_db:double,obw_fraction:double>>"
+    asked = spark.createDataFrame([(i, 34.6 + i / 10, -82.4, m) for i, m in sent.items()], schema)
+    together = ranking.rank_requests(devices, asked, CONFIG).collect()
+    for i, m in sent.items():
+        values = [dict(zip(("ordinal", "freq_mhz", "snr_db", "score", "power_db", "obw_fraction"), x, strict=True)) for x in m or ()]
+        alone = ranking.rank_towers(devices, asked.filter(F.col("receiver_id") == i).drop("measurements"), CONFIG, values)
+        assert sorted((tuple(r) for r in together if r.receiver_id == i), key=str) == sorted(map(tuple, alone.collect()), key=str)
+    many = spark.range(match.MAX_LITERAL + 1).selectExpr("1 AS receiver_id", "id AS ordinal", "89.3D AS freq_mhz", "1D AS snr_db", "1D AS score", "1D AS power_db", "1D AS obw_fraction")
+    assert match.as_lists(many.limit(match.MAX_LITERAL)).selectExpr("size(measurements) AS n").first().n == match.MAX_LITERAL
+    with pytest.raises(Exception, match="more than"):
+        match.as_lists(many).collect()
+
+
 def test_recall_without_signals(spark):
     towers = spark.createDataFrame([(True,)], "frequency_matched boolean")
     assert match.recall(towers, spark.createDataFrame([], "ordinal long")).first().recall == 0
