@@ -36,27 +36,27 @@ def _at(i: int) -> Column:
 
 
 def _stations(lines: DataFrame, mhz: Column, subtype: str, ident: Column) -> DataFrame:
+    """Stations of lines. They are parsed inside a list of one, since a filter would repeat the parsers below what it tests."""
     kw = rf.erp_kw(_at(14))
+    parsed = F.struct(
+        _at(1).alias("callsign"),
+        _at(3).alias("service"),
+        mhz.alias("mhz"),
+        ident.alias("id"),
+        F.when(kw > 0, rf.watts(rf.erp_to_eirp_dbm(kw))).alias("eirp_w"),
+        text.number(_at(16)).alias("height_m"),
+        text.degrees_of(_at(20), _at(21), _at(22), _at(19), "S").alias("lat"),
+        text.degrees_of(_at(24), _at(25), _at(26), _at(23), "W").alias("lon"),
+        F.concat(text.title(_at(10)), F.lit(", "), _at(11)).alias("name"),
+        _at(11).alias("state"),
+    )
     return (
         fields(lines)
-        .select(
-            *[c for c in lines.columns if c != "line"],
-            _at(1).alias("callsign"),
-            _at(3).alias("service"),
-            mhz.alias("mhz"),
-            ident.alias("ident"),
-            F.when(kw > 0, rf.watts(rf.erp_to_eirp_dbm(kw))).alias("eirp_w"),
-            text.number(_at(16)).alias("height_m"),
-            text.degrees_of(_at(20), _at(21), _at(22), _at(19), "S").alias("lat"),
-            text.degrees_of(_at(24), _at(25), _at(26), _at(23), "W").alias("lon"),
-            F.concat(text.title(_at(10)), F.lit(", "), _at(11)).alias("name"),
-            _at(11).alias("state"),
-        )
+        .select(*[c for c in lines.columns if c != "line"], F.explode(F.array(parsed)).alias("s"))
+        .select(*[c for c in lines.columns if c != "line"], "s.*")
         .filter("mhz is not null and lat is not null and lon is not null")
-        .withColumn("id", F.concat("ident"))
         .withColumn("licence_type", F.lit("Broadcasting"))
         .withColumn("licence_subtype", F.lit(subtype))
-        .drop("ident")
     )
 
 
