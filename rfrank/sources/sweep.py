@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -19,27 +19,30 @@ def measurements(lines: DataFrame, min_score: float = 0.0) -> DataFrame:
     obw_fraction, television channels their power.
     """
     line = F.trim("line")
-    band = F.lit(None).cast("string")
-    for raw, name in BANDS.items():
-        band = F.when(F.col("c.band") == raw, F.lit(name)).otherwise(band)
-    fm = F.col("band") == "FM"
+
+    def parsed(c: Column) -> Column:
+        band = F.lit(None).cast("string")
+        for raw, name in BANDS.items():
+            band = F.when(c["band"] == raw, F.lit(name)).otherwise(band)
+        fm = c["band"] == "fm"
+        return F.struct(
+            text.number(c["fc_mhz"]).alias("freq_mhz"),
+            band.alias("band"),
+            F.when(fm, c["snr_db"]).alias("snr_db"),
+            F.when(fm, c["obw_fraction"]).alias("obw_fraction"),
+            F.coalesce(text.number(c["score"]), F.lit(0.0)).alias("score"),
+            F.when(~fm, c["channel_power_db"]).alias("power_db"),
+        )
+
+    # Both parsers stand in lists that are exploded: a filter on their results would repeat them below itself.
+    event = F.from_json(F.substring(line, F.lit(7), F.length(line)), SWEEP_EVENT)
     return (
         lines.filter(line.startswith("data: "))
-        .withColumn("event", F.from_json(F.substring(line, F.lit(7), F.length(line)), SWEEP_EVENT))
+        .select("ordinal", F.explode(F.array(event)).alias("event"))
         .filter("event.type = 'step'")
-        .select("ordinal", F.posexplode("event.channels").alias("channel_no", "c"))
-        .withColumns({"band": band, "score": F.coalesce(text.number(F.col("c.score")), F.lit(0.0)), "freq_mhz": text.number(F.col("c.fc_mhz"))})
+        .select("ordinal", F.posexplode(F.transform("event.channels", parsed)).alias("channel_no", "c"))
+        .select("ordinal", "channel_no", "c.*")
         .filter(F.col("band").isNotNull() & F.col("freq_mhz").isNotNull() & (F.col("score") > min_score))
-        .select(
-            "ordinal",
-            "channel_no",
-            "freq_mhz",
-            "band",
-            F.when(fm, F.col("c.snr_db")).alias("snr_db"),
-            F.when(fm, F.col("c.obw_fraction")).alias("obw_fraction"),
-            "score",
-            F.when(~fm, F.col("c.channel_power_db")).alias("power_db"),
-        )
     )
 
 
