@@ -52,7 +52,7 @@ _PLAIN = re.compile(r"(?i)^(?:true|false|null|none|nil|undefined|yes|no|on|off|s
 
 _NAME = r"[^\W\d][\w$]*+(?:(?:\.|->|::|-)[^\W\d][\w$]*+){0,8}+"
 _HEAD = re.compile(
-    rf"""(?<![\w$])(?:(?P<name>{_NAME})(?:\[[ \t]*+["'](?P<key>[^"'\n]++)["'][ \t]*+\])?+|["'](?P<quoted>[^"'\n]++)["'])[ \t]*+(?P<op>:=|=>|={{1,3}}+(?!>)|:(?![:/])|,(?=[ \t]*+["'])|\((?=[ \t]*+["']))[ \t]*+"""
+    rf"""(?<![\w$])(?:(?P<name>{_NAME})(?:\[[ \t]*+["'](?P<key>[^"'\n]++)["'][ \t]*+\])?+|["'](?P<quoted>[^"'\n]++)["'])[ \t]*+(?P<op>:=|=>|={{1,3}}+(?!>)|:(?![:/])|,(?=[ \t]*+["'])|\((?=[ \t]*+(?:["']|{_NAME}[ \t]*+[,)])))[ \t]*+"""
 )
 _TYPED = re.compile(r"[^\W\d][\w.\[\]|?]*+[ \t]*+=(?!=)[ \t]*+")
 _STRING = re.compile(r"""[rRbBuUfF]{0,2}+(?:\"\"\"((?:[^"\\]|\\.|"(?!""))*+)\"\"\"|'''((?:[^'\\]|\\.|'(?!''))*+)'''|"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'|`((?:[^`\\\n]|\\.)*+)`)""", re.S)
@@ -110,7 +110,7 @@ def literal_score(value: str, quoted: bool) -> float:
     other = any(not c.isalnum() and not c.isspace() for c in value)
     score = 0.5 * (digit + other) + (n >= 8) * 0.5 + (n >= 16 and entropy >= 3 and digit and letter) * 1.5
     if any(c.isspace() for c in value):
-        score -= 2
+        score -= 1 if any(not w.isalpha() and any(c.isalpha() for c in w) for w in value.split()) else 2
     return score if quoted or digit and letter or other and n >= 8 and letter else score - 3
 
 
@@ -160,6 +160,8 @@ def assignments(text: str) -> Iterator[Assignment]:
         if m["op"] == ":" and (typed := _TYPED.match(text, at)):
             at = typed.end()
         literals, names, quoted, end, call = _value(text, at)
+        if m["op"] == "(" and not quoted:  # in brackets a word is a name, or prose
+            literals = []
         if call:  # each argument by itself
             yield from (Assignment(name, (span,), ()) for span in literals)
         elif literals or names:
@@ -185,11 +187,9 @@ def scored_literals(text: str) -> list[tuple[int, int, float]]:
     visited from the most telling one backwards, each once.
     """
     found = list(assignments(text))
-    sources, best, held = defaultdict(list), {}, set()
+    sources, best = defaultdict(list), {}
     for a in found:
         best[_last(a.name)] = max(best.get(_last(a.name), -9.0), name_score(a.name))
-        if a.literals and (a.quoted or not a.names):
-            held.add(_last(a.name))
         for n in a.names:
             sources[_last(a.name)].append(_last(n))
     reach: dict[str, float] = {}
@@ -202,8 +202,8 @@ def scored_literals(text: str) -> list[tuple[int, int, float]]:
                 todo += sources[n]
     out: dict[tuple[int, int], float] = {}
     for a in found:
-        if not a.quoted and a.names and _last(a.names[0]) in held:
-            continue  # the word is a constant's name
+        if not a.quoted and a.names and _last(a.names[0]) in best:
+            continue  # the word is the name of something assigned
         value = "".join(text[s:e] for s, e in a.literals)
         name = max(reach.get(_last(a.name), 0.0), name_score(a.name))
         score = name + literal_score(value, a.quoted) if name > 0 else -9.0
