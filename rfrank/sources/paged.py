@@ -12,6 +12,7 @@ replays recorded answers; ``module:name`` names another, called with the reader'
 from __future__ import annotations
 
 import importlib
+import io
 import json
 import logging
 import math
@@ -96,8 +97,6 @@ class CapturedTransport:
         folder = fs.FileSelector(f"{at}/request_no={part.request_no}/subtype_no={part.subtype_no}")
         for found in sorted(f.path for f in store.get_file_info(folder) if f.is_file and not f.base_name.startswith(("_", "."))):
             with store.open_input_stream(found) as stream:
-                import io
-
                 for line in io.TextIOWrapper(stream, encoding="utf-8"):
                     if line.strip():
                         yield json.loads(line)
