@@ -3,9 +3,14 @@
 Min-hash bands find candidates: two sets of similarity s share one of ``BANDS`` band keys with probability
 1 - (1 - s ** ROWS) ** BANDS, 0.9996 at 0.8. Every candidate pair is then checked on the sets themselves.
 
-Equal sets are made one first, so copies count once. Short buckets give all their pairs, which a join
-checks; a long bucket is not paired but solved as a whole, to a spanning forest of its similar pairs,
-which keeps every component.
+Equal sets are made one first, so copies count once. Candidates hang together in clusters, most of them
+small: the texts of a cluster of at most ``LOCAL_SETS`` sets meet in one task, each once, however many bands
+they share, and are solved to a spanning forest of their similar pairs, which keeps every component. Of
+larger clusters, short buckets give all their pairs, which a join checks, and a long bucket is solved as a
+whole.
+
+Rows are not copied: what is written of a row are its set's hash, its band keys and two hashes of its text
+and id, by which its fate is joined back to it where it lies.
 """
 
 from __future__ import annotations
@@ -18,13 +23,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, ship_package, text_of
+from .common import discard, materialize, ship_package, text_of
 from .components import components
-from .simhash import _LOWER, fingerprint, grouped, near_links
+from .simhash import _LOWER, fingerprint, near_links
 
 BANDS, ROWS = 20, 5
 #: Buckets of more sets than this are solved as a whole.
 SHORT_RUN = 16
+#: Clusters of at most so many sets, with so many shingles in all, are solved in one task.
+LOCAL_SETS, LOCAL_SHINGLES = 1024, 1 << 20
+#: Sets that a task remembers, so that copies give their band keys once.
+SEEN = 1 << 18
 
 _draw = np.random.Generator(np.random.PCG64(42))
 _SALTS = _draw.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
@@ -83,9 +92,14 @@ def _forest(nodes: np.ndarray, sets: list[np.ndarray], similarity: float) -> tup
 
 
 def candidates(members: DataFrame) -> DataFrame:
-    """From (key, fp): pairs (a, b) of short buckets, key null, and members (a, key) of long ones, b null."""
+    """From (key, fp): pairs (a, b) of short buckets, key null, and members (a, key) of long ones, b null.
+
+    Members may be repeated.
+    """
 
     def split(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+        new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (fps[1:] != fps[:-1])))
+        keys, fps = keys[new], fps[new]
         edges = np.flatnonzero(np.diff(keys)) + 1
         starts = np.concatenate(([0], edges))
         lengths = np.repeat(np.diff(np.concatenate((starts, [len(keys)]))), np.diff(np.concatenate((starts, [len(keys)]))))
@@ -126,7 +140,7 @@ def candidates(members: DataFrame) -> DataFrame:
         if held:
             yield split(np.concatenate(held_keys), np.concatenate(held))
 
-    return members.repartition("key").sortWithinPartitions("key").mapInArrow(runs, "a bigint, b bigint, key bigint")
+    return members.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(runs, "a bigint, b bigint, key bigint")
 
 
 def jaccard_dedup(
@@ -142,26 +156,32 @@ def jaccard_dedup(
     """Near-duplicate groups: documents linked by shingle sets at least ``similarity`` alike, transitively.
 
     Returns one row per input row: ``row`` (a struct of the ``carry`` columns), ``fingerprint`` (of the
-    set), ``component_id`` and ``kept``, as ``simhash_dedup`` does. Texts without a word, null ones too,
-    have the empty set, and are alike only among themselves. With ``max_bits``, SimHash fingerprints (of
-    four-word shingles) at most so many bits apart link documents too.
+    set; null where a row is known to be alone without it), ``component_id`` and ``kept``, as ``simhash_dedup``
+    does. Texts without a word, null ones too, have the empty set, and are alike only among themselves. With
+    ``max_bits``, SimHash fingerprints (of four-word shingles) at most so many bits apart link documents too.
     """
-    spark = docs.sparkSession
-    ship_package(spark)
+    ship_package(docs.sparkSession)
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        seen: set[int] = set()
         for batch in batches:
-            prints_, keys, bits = [], [], []
-            for t in batch.column(2):
-                found = shingles(t.as_py() or "", shingle_words)
-                prints_.append(xxhash.xxh64_intdigest(found.tobytes(), 7))
-                keys.append(band_keys(found).view(np.int64) if len(found) else [])
-                bits.append(0 if max_bits is None else fingerprint(t.as_py() or ""))
+            prints_, sizes, keys, bits = [], [], [], []
+            for t in batch.column(3):
+                text = t.as_py()
+                found = shingles(text, shingle_words)
+                of = xxhash.xxh64_intdigest(found.tobytes(), 7)
+                prints_.append(of)
+                sizes.append(len(found))
+                keys.append(band_keys(found).view(np.int64) if len(found) and of not in seen else [])
+                bits.append(0 if max_bits is None else fingerprint(text))
+                seen.add(of)
+                if len(seen) > SEEN:
+                    seen.clear()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(np.array(prints_, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(np.array(bits, np.uint64).view(np.int64)), batch.column(2)],
-                ["row", "id", "fingerprint", "bands", "simhash", "text"],
+                [*batch.columns[:3], pa.array(np.array(prints_, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(np.array(bits, np.uint64).view(np.int64))],
+                ["k1", "k2", "id", "fingerprint", "size", "bands", "simhash"],
             )
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,54 +189,85 @@ def jaccard_dedup(
             sets = [shingles(t.as_py(), shingle_words).view(np.int64) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["fp", "words"])
 
-    def forest(group: pa.Table) -> pa.Table:
-        sets = [np.asarray(w.values.to_numpy(zero_copy_only=False)) for w in group.column("words").combine_chunks()]
-        a, b = _forest(group.column("fp").to_numpy(), sets, similarity)
+    def links_of(fps: pa.ChunkedArray, sets: list[np.ndarray]) -> pa.Table:
+        a, b = _forest(fps.to_numpy(), sets, similarity)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    source = docs.select(F.struct(*carry).alias("row"), F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    schema = T.StructType(
-        [
-            source.schema["row"],
-            source.schema["id"],
-            T.StructField("fingerprint", T.LongType()),
-            T.StructField("bands", T.ArrayType(T.LongType())),
-            T.StructField("simhash", T.LongType()),
-            T.StructField("text", T.StringType()),
-        ]
-    )
-    whole = list(carry) == ["*"]
-    made = source.mapInArrow(prints, schema).withColumn("uid", F.monotonically_increasing_id())
-    written = materialize(made.drop("text") if whole else made, "minhash")
-    text = text_of(f"row.{text_col}") if whole else F.col("text")
-    printed = written.select("row", "id", "fingerprint", "uid")
-    best = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "uid")).alias("best")
-    fps = materialize(printed.groupBy(F.col("fingerprint").alias("fp")).agg(best, F.count(F.lit(1)).alias("n")), "minhash-distinct")
-
-    members = written.select(F.explode("bands").alias("key"), F.col("fingerprint").alias("fp")).distinct()
-    found = materialize(candidates(members), "minhash-candidates")
+    def cluster(group: pa.Table) -> pa.Table:
+        return links_of(group.column("fp"), [shingles(t.as_py(), shingle_words).view(np.int64) for t in group.column("text")])
+
+    def bucket(group: pa.Table) -> pa.Table:
+        return links_of(group.column("fp"), [np.asarray(w.values.to_numpy(zero_copy_only=False)) for w in group.column("words").combine_chunks()])
+
+    # Rows that agree in these two are told apart only where one of them stays.
+    text, own = text_of(text_col), ["k1", "k2"]
+    keys = [F.xxhash64(text).alias("k1"), F.xxhash64(F.col(id_col)).alias("k2")]
+    told = F.pmod(F.xxhash64(*own), F.lit(sieve_buckets)).cast("int").alias("bucket")
+    source = docs.select(*keys, F.col(id_col).alias("id"), text.alias("text"))
+    long_ = lambda c: T.StructField(c, T.LongType())
+    schema = T.StructType([long_("k1"), long_("k2"), source.schema["id"], long_("fingerprint"), long_("size"), T.StructField("bands", T.ArrayType(T.LongType())), long_("simhash")])
+    printed = materialize(source.mapInArrow(prints, schema), "minhash")
+    best = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", *own)).alias("best")
+    fps = materialize(printed.groupBy(F.col("fingerprint").alias("fp")).agg(best, F.max("size").alias("size"), F.count(F.lit(1)).alias("n")), "minhash-distinct")
+
+    found = materialize(candidates(printed.select(F.explode("bands").alias("key"), F.col("fingerprint").alias("fp"))), "minhash-candidates")
     pairs = materialize(found.filter("b is not null").select("a", "b").distinct(), "minhash-pairs")
     long = found.filter("b is null").select("key", F.col("a").alias("fp"))
-
-    # The sets of candidates only: a sieve drops most other texts before the join that drops the rest.
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).unionByName(long.select("fp")).distinct()
-    wanted = materialize(wanted.join(fps, "fp").select("fp", F.col("best.uid").alias("uid")), "minhash-wanted")
-    bucket = F.pmod(F.xxhash64("uid"), F.lit(sieve_buckets)).cast("int").alias("bucket")
-    sieve = wanted.select(bucket).distinct()
-    texts = written.select("uid", text.alias("text")).withColumn("bucket", bucket).join(F.broadcast(sieve), "bucket", "left_semi")
-    sets = materialize(texts.join(wanted, "uid").select("fp", "text").mapInArrow(hashed, "fp bigint, words array<bigint>"), "minhash-sets")
-
-    left, right = (sets.select(F.col("fp").alias(x), F.col("words").alias(f"words_{x}")) for x in "ab")
-    common = F.size(F.array_intersect("words_a", "words_b"))
-    alike = common / (F.size("words_a") + F.size("words_b") - common) >= similarity
-    linked = pairs.join(left, "a").join(right, "b").filter(alike).select("a", "b")
-    solved = long.join(sets, "fp").groupBy("key").applyInArrow(forest, "a bigint, b bigint")
-    links = linked.unionByName(solved)
+    stars = long.join(materialize(long.groupBy("key").agg(F.min("fp").alias("b")), "minhash-stars"), "key").select(F.col("fp").alias("a"), "b")
+    of_cluster = materialize(components(pairs.unionByName(stars)).join(fps, F.col("node") == F.col("fp")).select("fp", "root", "size", "best.k1", "best.k2"), "minhash-clusters")
+    here = (F.count(F.lit(1)) <= LOCAL_SETS) & (F.sum("size") <= LOCAL_SHINGLES)
+    wanted = materialize(of_cluster.join(materialize(of_cluster.groupBy("root").agg(here.alias("here")), "minhash-sizes"), "root"), "minhash-wanted")
+
+    def texts(some: DataFrame) -> DataFrame:
+        """The texts of some sets, one each: a sieve drops most others before the join that drops the rest."""
+        sieve = some.select(told).distinct()
+        near = source.select(*own, "text").withColumn("bucket", told).join(F.broadcast(sieve), "bucket", "left_semi")
+        return near.select(*own, "text").dropDuplicates(own).join(some.select("fp", "root", *own), own)
+
+    done = [printed, fps, found, pairs, of_cluster, wanted]
+    links = texts(wanted.filter("here")).select("root", "fp", "text").groupBy("root").applyInArrow(cluster, "a bigint, b bigint")
+    large = wanted.filter("not here")
+    if not large.isEmpty():
+        sets = materialize(texts(large).select("fp", "text").mapInArrow(hashed, "fp bigint, words array<bigint>"), "minhash-sets")
+        done.append(sets)
+        left, right = (sets.select(F.col("fp").alias(x), F.col("words").alias(f"words_{x}")) for x in "ab")
+        common = F.size(F.array_intersect("words_a", "words_b"))
+        alike = common / (F.size("words_a") + F.size("words_b") - common) >= similarity
+        links = links.unionByName(pairs.join(left, "a").join(right, "b").filter(alike).select("a", "b"))
+        links = links.unionByName(long.join(sets, "fp").groupBy("key").applyInArrow(bucket, "a bigint, b bigint"))
     if max_bits is not None:  # each SimHash group as a star around its smallest set
-        seen = materialize(written.select("simhash", F.col("fingerprint").alias("a")).distinct(), "minhash-simhash")
+        seen = materialize(printed.select("simhash", F.col("fingerprint").alias("a")).distinct(), "minhash-simhash")
         roots = components(near_links(seen.select(F.col("simhash").alias("fp")).distinct(), max_bits))
         rooted = seen.join(roots, seen["simhash"] == roots["node"], "left").select("a", F.coalesce("root", "simhash").alias("root"))
         rooted = materialize(rooted, "minhash-rooted")
+        done += [seen, rooted]
         least = rooted.groupBy("root").agg(F.min("a").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("root", "b")
         links = links.unionByName(rooted.join(materialize(least, "minhash-least"), "root").filter("a != b").select("a", "b"))
-    return grouped(printed, fps, components(links), sieve_buckets)
+
+    # Groups of more than one row, and of each row in them whose it is; written, so that the joins read both sides afresh.
+    roots = components(links)
+    joined = materialize(fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "best", "n", F.coalesce("root", "fp").alias("root")), "minhash-joined")
+    groups = materialize(joined.groupBy("root").agg(F.min("best").alias("best"), F.sum("n").alias("n")).filter("n > 1").select("root", "best"), "minhash-groups")
+    shared = materialize(joined.select("fp", "root").join(groups, "root").select("fp", "best"), "minhash-shared")
+    fates = printed.select(*own, F.col("fingerprint").alias("fp")).join(shared, "fp").groupBy(*own).agg(F.first("fp").alias("fp"), F.first("best").alias("best"), F.count(F.lit(1)).alias("times"))
+    fates = materialize(fates.withColumn("first", (F.col("k1") == F.col("best.k1")) & (F.col("k2") == F.col("best.k2"))), "minhash-fates")
+    discard(*done, joined, groups, shared)
+
+    # Rows with company are told from the others by a sieve of at most ``sieve_buckets`` rows; a collision
+    # only sends a row to the join that finds nothing there. A sieve that would be a quarter full is not made.
+    rows = docs.select(F.struct(*carry).alias("row"), F.col(id_col).alias("id"), *keys)
+    if fates.count() <= sieve_buckets // 4:
+        sieve = fates.select(told).distinct().withColumn("hit", F.lit(True))
+        rows = rows.withColumn("bucket", told).join(F.broadcast(sieve), "bucket", "left")
+    else:
+        rows = rows.withColumn("hit", F.lit(True))
+    alone = rows.filter("hit is null").select("row", F.lit(None).cast("long").alias("fingerprint"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    met = rows.filter("hit").join(fates, own, "left")
+    again = F.coalesce(F.col("first") & (F.col("times") > 1), F.lit(False))  # rows of one text and id, one of which stays
+    out = ["row", F.col("fp").alias("fingerprint"), F.when(F.col("best").isNull(), F.col("id")).otherwise(F.col("best.id")).alias("component_id")]
+    result = alone.unionByName(met.filter(~again).select(*out, F.coalesce("first", F.lit(True)).alias("kept")))
+    if not fates.filter(again).isEmpty():
+        repeated = materialize(met.filter(again).select("row", *own, "fp", "id", "best", F.monotonically_increasing_id().alias("uid")), "minhash-repeated")
+        one = materialize(repeated.groupBy(*own).agg(F.min("uid").alias("least")), "minhash-one")
+        result = result.unionByName(repeated.join(one, own).select(*out, (F.col("uid") == F.col("least")).alias("kept")))
+    return result
