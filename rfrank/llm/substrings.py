@@ -40,6 +40,8 @@ _POSITION = np.uint64((1 << 20) - 1)
 _powers: dict[int, np.ndarray] = {}
 #: The least length of passages that documents share, in bytes, and the most words of one that is no passage.
 PASSAGE, PASSAGE_WORDS = 200, 50
+#: Rows that go back from a Python worker at once: what is under way is in the memory of both sides.
+ROWS = 1000
 
 
 def _power(base: int, n: int) -> np.ndarray:
@@ -407,9 +409,9 @@ def _contexts(keyed: DataFrame, segments: DataFrame, sizes: DataFrame, lengths:
                     # Of a frequent gram hash only windows are looked at.
                     start, p, end = _ends(row[5], lengths[row[1]], None if row[6] else reach)
                     rows.append((*row, raw[start:p][::-1], raw[p:end]))
-                if len(rows) > 10_000:
-                    yield _batch(rows, _CONTEXT_TYPES, _CONTEXT)
-                    rows = []
+                    if len(rows) >= ROWS:
+                        yield _batch(rows, _CONTEXT_TYPES, _CONTEXT)
+                        rows = []
             if rows:
                 yield _batch(rows, _CONTEXT_TYPES, _CONTEXT)
 
@@ -472,6 +474,7 @@ def remove_repeats(
     passage: int | None = None,
     gram: int = 48,
     most_local: int = 16_384,
+    sieve_buckets: int = 1 << 20,
 ) -> DataFrame:
     """Remove every byte that a ``length``-byte string covers which starts anywhere else as well.
 
@@ -548,7 +551,7 @@ def remove_repeats(
     arrow_passages = pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32()), ("words", pa.int32())]))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             sizes_, removed, kept, told = [], [], [], []
             for t, some in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
                 raw = t.as_py().encode("utf-8", "surrogatepass")
@@ -571,7 +574,20 @@ def remove_repeats(
                 columns.append(pa.array(told, arrow_passages))
             yield pa.RecordBatch.from_arrays(columns, [f.name for f in out])
 
-    return source.join(spans.hint("shuffle_hash"), ["k1", "k2"], "left").select("row", "text", "spans").mapInArrow(apply, T.StructType(out))
+    # Rows with spans are told from the others, whose texts stay where they lie, by a sieve of at most ``sieve_buckets``
+    # rows; a collision only sends a row to the join that finds nothing there. One that would be a quarter full is not made.
+    none = F.lit(None).cast(spans.schema["spans"].dataType).alias("spans")
+    if spans.count() <= sieve_buckets // 4:
+        bucket = F.pmod(F.xxhash64("k1", "k2"), F.lit(sieve_buckets)).cast("int").alias("bucket")
+        sieve = spans.select(bucket).distinct().withColumn("hit", F.lit(True))
+        sieved = source.withColumn("bucket", bucket).join(F.broadcast(sieve), "bucket", "left")
+        source, whole = sieved.filter("hit"), [sieved.filter("hit is null").select("row", "text", none)]
+    else:
+        whole = []
+    joined = source.join(spans.hint("shuffle_hash"), ["k1", "k2"], "left").select("row", "text", "spans")
+    for more in whole:
+        joined = joined.unionByName(more)
+    return joined.mapInArrow(apply, T.StructType(out))
 
 
 def repeat_groups(
