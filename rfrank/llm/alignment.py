@@ -19,7 +19,7 @@ import hashlib
 import json
 import re
 from array import array
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +45,7 @@ FREQUENT = 1 << 18
 class Kept(dict):
     """A store that forgets: when it is full, what was not used since the last time goes."""
 
-    def __init__(self, most: int):
+    def __init__(self, most: Callable[[], int]):
         self.most, self.older = most, {}
 
     def __missing__(self, key):
@@ -54,7 +54,7 @@ class Kept(dict):
         return found
 
     def keep(self, key, value) -> None:
-        if len(self) >= self.most:
+        if len(self) >= self.most():
             self.older = dict(self)
             self.clear()
         self[key] = value
@@ -104,7 +104,7 @@ class Aligner:
             raise ValueError("a vocabulary whose tokens go on past a space")
         #: A token in writing, with what follows it: of A within a group and at its end, of B likewise, and at a window's end.
         self.written = [f"{i}{mark}" for of, marks in ((self.a, ",|"), (self.b, ",;\n")) for mark in marks for i in range(len(of.sizes))]
-        self.stretches, self.windows = Kept(STRETCHES), Kept(WINDOWS)
+        self.stretches, self.windows = Kept(lambda: STRETCHES), Kept(lambda: WINDOWS)
 
     def _tokenise(self, stretches: list[str]) -> tuple[list[str], list[tuple[np.ndarray, np.ndarray]]]:
         """Stretches whose tokens have their bytes, in an order of their own, and arrays of both vocabularies' ids that make them up.
