@@ -12,10 +12,11 @@ CARDINALS = ("N", "NNE", "NE", "ENE", "E", "ESE", "SE", "SSE", "S", "SSW", "SW",
 KM_PER_DEGREE = 111.0
 
 
-def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Great-circle distance."""
+def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column, cos1: Column | None = None, cos2: Column | None = None) -> Column:
+    """Great-circle distance; ``cos1`` and ``cos2``, where they are at hand, are the cosines of the latitudes."""
     p1, p2 = F.radians(lat1), F.radians(lat2)
-    h = F.pow(F.sin((p2 - p1) / 2), F.lit(2)) + F.cos(p1) * F.cos(p2) * F.pow(F.sin((F.radians(lon2) - F.radians(lon1)) / 2), F.lit(2))
+    c1, c2 = F.cos(p1) if cos1 is None else cos1, F.cos(p2) if cos2 is None else cos2
+    h = F.pow(F.sin((p2 - p1) / 2), F.lit(2)) + c1 * c2 * F.pow(F.sin((F.radians(lon2) - F.radians(lon1)) / 2), F.lit(2))
     return F.lit(EARTH_RADIUS_KM * 2) * F.atan2(F.sqrt(h), F.sqrt(F.greatest(1 - h, F.lit(0.0))))
 
 
@@ -46,17 +47,28 @@ def grid_cell(lat: Column, lon: Column, per_degree: int = 1) -> Column:
     return row * (360 * n) + F.pmod(F.floor(lon * n), F.lit(360 * n))
 
 
-def cells_in_reach(lat: Column, lon: Column, km: Column, per_degree: int = 1) -> Column:
-    """The cells that a circle may touch, across the date line and over the poles."""
-    n = per_degree
+def latitude_reach(lat: Column, km: Column) -> tuple[Column, Column]:
+    """The lowest and the highest latitude that a circle may touch."""
     reach = km / KM_PER_DEGREE
-    low, high = F.greatest(lat - reach, F.lit(-90.0)), F.least(lat + reach, F.lit(90.0))
-    rows = F.sequence(F.least(F.floor((low + 90) * n), F.lit(180 * n - 1)), F.least(F.floor((high + 90) * n), F.lit(180 * n - 1)))
+    return F.greatest(lat - reach, F.lit(-90.0)), F.least(lat + reach, F.lit(90.0))
+
+
+def longitude_reach(lat: Column, km: Column) -> Column:
+    """Degrees of longitude that a circle may extend to either side; 180 if it may touch every one."""
+    low, high = latitude_reach(lat, km)
     # The widest parallel that the circle touches is the one nearest to a pole.
     steep = F.greatest(F.abs(low), F.abs(high))
-    wide = F.when(steep >= 89.0, F.lit(180.0)).otherwise(
+    return F.when(steep >= 89.0, F.lit(180.0)).otherwise(
         F.degrees(F.asin(F.least(F.sin(F.least(km / EARTH_RADIUS_KM, F.lit(1.5))) / F.cos(F.radians(steep)), F.lit(1.0)))) + 0.01
     )
+
+
+def cells_in_reach(lat: Column, lon: Column, km: Column, per_degree: int = 1) -> Column:
+    """The cells that a circle may touch, across the date line and over the poles."""
+    n = per_degree
+    low, high = latitude_reach(lat, km)
+    rows = F.sequence(F.least(F.floor((low + 90) * n), F.lit(180 * n - 1)), F.least(F.floor((high + 90) * n), F.lit(180 * n - 1)))
+    wide = longitude_reach(lat, km)
     columns = F.when(wide >= 90.0, F.sequence(F.lit(0).cast("long"), F.lit(360 * n - 1).cast("long"))).otherwise(
         F.transform(F.sequence(F.floor((lon - wide) * n), F.floor((lon + wide) * n)), lambda c: F.pmod(c, F.lit(360 * n)))
     )

@@ -101,6 +101,18 @@ def nearest(tuned: DataFrame, measurements: DataFrame, freq: str = "freq", band:
     )
 
 
+def nearest_listed(tuned: DataFrame, requests: DataFrame, key: str = "receiver_id") -> DataFrame:
+    """(key, freq, band, m): for each request and different (freq, band) the nearest of its own ``measurements``, where there is one.
+
+    Ties go to the smaller ordinal. Lists are laid out and meet the frequencies by bins.
+    """
+    sent = requests.select(key, F.inline("measurements")).select(key, "freq_mhz", F.struct("ordinal", "freq_mhz", *FIELDS).alias("sent"))
+    first = sent.groupBy(key, "freq_mhz").agg(F.min("sent").alias("sent"))
+    t, m, on = _pairs(tuned.select("freq", "band"), first, "freq", "band", False)
+    away = F.struct(F.abs(F.col("m.freq_mhz") - F.col("t.freq")).alias("diff"), F.col("m.sent").alias("m"))
+    return t.join(m, on).groupBy(F.col(f"m.{key}").alias(key), F.col("t.freq").alias("freq"), F.col("t.band").alias("band")).agg(F.min(away).alias("best")).select(key, "freq", "band", "best.m")
+
+
 def match_nearest(towers: DataFrame, measurements: DataFrame, freq: str = "freq", band: str = "band") -> DataFrame:
     """Adds ``m``, the nearest measurement within the band's tolerance; null if there is none.
 

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from ..shared import shared_dir
 
 
-def numbered(rows: DataFrame, group: Sequence[str], order: Sequence[Column], name: str = "rank") -> DataFrame:
-    """Adds ``name``, a row's number from 1 within its group by ``order`` (columns with a direction).
+def numbered(rows: DataFrame, group: Sequence[str], order: Sequence[Column], name: str = "rank", kind: str = "int") -> DataFrame:
+    """Adds ``name``, a row's number of type ``kind`` from 1 within its group by ``order`` (columns with a direction).
 
     Rows are sorted by range over all tasks, so a group lies in as many neighbouring partitions as it fills. Each
     partition numbers its own rows; a group's offset in a partition is the sum of its rows in those before it: a
@@ -28,4 +28,4 @@ def numbered(rows: DataFrame, group: Sequence[str], order: Sequence[Column], nam
     runs = placed.groupBy("_part", *group).agg(F.count(F.lit(1)).alias("_rows"), F.min("_at").alias("_first"))
     shifts = runs.select("_part", *group, (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
     found = placed.join(shifts, ["_part", *group])
-    return found.withColumn(name, (F.col("_at") + F.col("_shift")).cast("int")).select(*rows.columns, name)
+    return found.withColumn(name, (F.col("_at") + F.col("_shift")).cast(kind)).select(*rows.columns, name)

@@ -209,7 +209,7 @@ def project_tower(spark, sf_dir):
 def result_json(spark, sf_dir):
     """Answers as JSON documents, read back."""
     receivers = derived.receivers(spark, sf_dir)
-    ranked = ranking.rank_towers(derived.devices(spark, sf_dir), receivers, BY_POWER, typical_km=35.0, most_rows=11)
+    ranked = ranking.rank_towers(derived.devices(spark, sf_dir, dealt=True), receivers, BY_POWER, typical_km=35.0, most_rows=11)
     tower = "struct<rank:int,callsign:string,band:string,frequency_mhz:double,received_power_dbm:double,licence_subtype:string,snr_db:double>"
     document = f"struct<towers:array<{tower}>,query:struct<latitude:double,longitude:double,radius_km:double,source:string>,count:bigint>"
     made = enrich.result_documents(ranked, receivers).select("receiver_id", F.from_json("document", document).alias("d"))

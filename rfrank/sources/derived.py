@@ -43,9 +43,13 @@ def tower_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def systems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same transmitters as raw systems, one device each, numbers as JSON text and places as POINT."""
-    return tower_numbers(spark, sf_dir).selectExpr(
+def systems(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+    """The same transmitters as raw systems, one device each, numbers as JSON text and places as POINT.
+
+    ``dealt`` over all tasks first: a file of a few megabytes is one task's, and has a million systems to parse.
+    """
+    numbers = tower_numbers(spark, sf_dir)
+    return (numbers.repartition("k") if dealt else numbers).selectExpr(
         "k AS system_no",
         "concat('sys-', k) AS id",
         "array(named_struct('callsign', callsign, 'frequency', CAST(freq AS STRING), 'eirp', CAST(eirp_w AS STRING), 'transmitPower', CAST(transmit_w AS STRING),"
@@ -55,8 +59,8 @@ def systems(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def devices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return explode_devices(systems(spark, sf_dir))
+def devices(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+    return explode_devices(systems(spark, sf_dir, dealt))
 
 
 def receiver(spark: SparkSession) -> DataFrame:

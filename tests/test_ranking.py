@@ -3,6 +3,7 @@
 import json
 import math
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -275,3 +276,51 @@ def test_answers_and_captures(spark, tmp_path):
     enrich.write_captures(raw, ranked, str(tmp_path / "captures"))
     assert [r.id for r in systems.read_systems(spark, str(tmp_path / "captures" / "raw")).orderBy("system_no").collect()] == [f"s{i}" for i in range(20)]
     assert spark.read.json(str(tmp_path / "captures" / "matched")).count() == len(want)
+
+
+@pytest.mark.parametrize("config", [CONFIG, queries.BY_POWER])
+def test_stages_rank_as_the_plain_plan_does(spark, config):
+    """Full and empty limits, ties, powers next to a half, close frequencies, some that measure: row for row, and repeated ids as before."""
+    rng = random.Random(11)
+    devices = spark.createDataFrame(made_up(11, 400) + [((1, i, 0), f"W{i % 6}", "n", "s", 177.0, 34.85 + i / 100, -82.4, None, rng.choice([float("inf"), 50.0, 100.0]), None, None, "", "") for i in range(40)], SCHEMA)
+    measured = [(j, f, 1.0, s, None, 0.5) for j, (f, s) in enumerate([(89.2, 0.5), (475.0, 0.9), (178.5, 0.5), (89.31, 0.7)])]
+    schema = "receiver_id int, rx_lat double, rx_lon double, radius_km double, max_rows int, measurements array<struct<ordinal:bigint,freq_mhz:double,snr_db:double,score:double,power_db:double,obw_fraction:double>>"
+    rows = [(i, 34.8 + (i % 7) / 10, -82.4, 15.0 + 9 * (i % 5), 1 + i % 13, rng.choice([None, [], measured, measured[:1], measured[2:3]])) for i in range(40)]
+    asked = spark.createDataFrame(rows, schema)
+    table = spark.createDataFrame(measured, "ordinal long, freq_mhz double, snr_db double, score double, power_db double, obw_fraction double")
+
+    def listed(frame):
+        return sorted(map(str, frame.collect()))
+
+    for m in (None, table, [{"freq_mhz": 178.5, "score": 0.5}]):
+        want = listed(ranking.rank_towers(devices, asked.drop("measurements"), config, m))
+        assert listed(ranking.rank_towers(devices, asked.drop("measurements"), config, m, 35.0, 13)) == want and len(want) > 40
+    want = listed(ranking.rank_requests(devices, asked, config))
+    assert listed(ranking.rank_requests(devices, asked, config, 35.0, 13)) == want and len(want) > 40
+    twice = asked.drop("measurements").withColumn("receiver_id", F.col("receiver_id") % 30).withColumn("max_rows", F.lit(5))
+    assert not ranking.in_stages(twice, 13)
+    assert listed(ranking.rank_towers(devices, twice, config, None, 35.0, 13)) == listed(ranking.rank_towers(devices, twice, config))
+
+
+def test_filled_receivers_do_not_meet_later_bands(spark):
+    from rfrank.shared import shared_dir
+
+    def stages_written():
+        top = shared_dir(spark).removeprefix("file:")
+        return len(list(Path(top).glob("ranked-*")))
+
+    devices = spark.createDataFrame(made_up(12, 300), SCHEMA)
+    for most, stages in ((3, 1), (60, 3)):
+        here = spark.createDataFrame([(i, 34.85, -82.4, 80.0, most) for i in range(5)], "receiver_id int, rx_lat double, rx_lon double, radius_km double, max_rows int")
+        before = stages_written()
+        assert ranking.rank_towers(devices, here, CONFIG, most_rows=most).count() > 0
+        assert stages_written() - before == stages
+    near = {**CONFIG.to_dict(), "broadcast_bands": {"FM": [[88, 108]], "VHF": [[108.0004, 216]]}}
+    assert ranking.band_stages(CONFIG) == [["VHF"], ["UHF"], ["FM"]] and ranking.band_stages(RankingConfig.from_dict(near)) == [["FM", "VHF"]]
+
+
+def test_tenths_of_powers(spark):
+    """Half to even on the decimal value, as ``bround`` has it."""
+    rows = [(x / 40,) for x in range(-400, 400)] + [(1e-7 + x / 20,) for x in range(50)] + [(-79.25,), (-79.35,), (0.05,), (0.15,), (float("inf"),), (float("nan"),)]
+    got = spark.createDataFrame(rows, "p double").select(ranking._tenths(F.col("p")).alias("t"), F.bround("p", 1).alias("b")).collect()
+    assert all(r.t == round(r.b * 10) for r in got[:-2]) and got[-2].t == 2**22 and got[-1].t == -(2**22)
