@@ -159,7 +159,7 @@ def rank_by_power(spark, sf_dir):
 @query("rank_receivers", ranked_sql(MANY, matched=True, order=BY_POWER_SQL))
 def rank_receivers(spark, sf_dir):
     """Every receiver at once."""
-    return ranking.rank_towers(derived.devices(spark, sf_dir), derived.receivers(spark, sf_dir), BY_POWER, derived.measurements(spark, sf_dir), typical_km=35.0, most_rows=11)
+    return ranking.rank_towers(derived.devices(spark, sf_dir, dealt=True), derived.receivers(spark, sf_dir), BY_POWER, derived.measurements(spark, sf_dir), typical_km=35.0, most_rows=11)
 
 
 OWN = """mo AS (SELECT m.*, m.ordinal % (SELECT count(*) FROM supplier) + 1 AS sender FROM m), n AS (
