@@ -179,7 +179,7 @@ def rank_requests(spark, sf_dir):
     sender = F.col("ordinal") % F.lit(spark.read.parquet(f"{sf_dir}/supplier.parquet").count()) + 1
     lists = match.as_lists(derived.measurements(spark, sf_dir).withColumn("receiver_id", sender))
     requests = receivers.join(lists.filter("receiver_id % 5 <> 0"), "receiver_id", "left")
-    return ranking.rank_requests(derived.devices(spark, sf_dir), requests, BY_POWER, typical_km=35.0, most_rows=11)
+    return ranking.rank_requests(derived.devices(spark, sf_dir, dealt=True), requests, BY_POWER, typical_km=35.0, most_rows=11)
 
 
 @query("top_k", ranked_sql(columns="callsign, frequency_mhz, rank").replace("rank <= max_rows", "rank <= 10"))
