@@ -34,13 +34,14 @@ def find_towers(
     elevations: DataFrame | None = None,
     measurements: DataFrame | Sequence[dict] | None = None,
     most_rows: int | None = None,
+    typical_km: float | None = None,
 ) -> DataFrame:
     """(receiver_id, source, document): the answer to each request.
 
     ``requests``: (receiver_id, rx_lat, rx_lon[, radius_km, max_rows, altitude_m, source]); ``edges`` of the countries' borders;
     ``devices``: for each of ``SOURCES`` its device rows (one that is missing has none); ``elevations``: (lat6, lon6,
     elevation_m). A receiver whose altitude is 0 or missing has its place's elevation, if there is one. A source's
-    receivers only meet its own devices; whoever has no towers gets an empty list.
+    receivers only meet its own devices; whoever has no towers gets an empty list. ``typical_km`` and ``most_rows`` as in ``rank_towers``.
     """
     asked = ranking.with_defaults(with_source(requests, edges), config)
     if "altitude_m" not in asked.columns:
@@ -49,12 +50,13 @@ def find_towers(
         here = elevations.select(F.col("lat6").alias("_lat"), F.col("lon6").alias("_lon"), F.col("elevation_m").alias("_ground"))
         asked = asked.join(here, (F.bround("rx_lat", 6) == F.col("_lat")) & (F.bround("rx_lon", 6) == F.col("_lon")), "left")
         asked = asked.withColumn("altitude_m", F.coalesce(F.when(F.col("altitude_m") != 0, F.col("altitude_m")), "_ground", F.lit(0.0))).drop("_lat", "_lon", "_ground")
-    found = [
-        ranking.rank_towers(devices[s], asked.filter(F.col("source") == s).select("receiver_id", "rx_lat", "rx_lon", "radius_km", "max_rows"), config, measurements, most_rows=most_rows)
-        for s in SOURCES
-        if s in devices
-    ]
-    towers = reduce(DataFrame.unionByName, found)
+    columns = ("receiver_id", "rx_lat", "rx_lon", "radius_km", "max_rows")
+    if ranking.in_stages(asked, most_rows):
+        every = reduce(DataFrame.unionByName, [devices[s].withColumn("source", F.lit(s)) for s in SOURCES if s in devices])
+        towers = ranking.ranked_in_stages(every, asked.select(*columns, "source"), config, most_rows, measurements, typical_km, ["source"])
+    else:
+        found = [ranking.rank_towers(devices[s], asked.filter(F.col("source") == s).select(*columns), config, measurements, typical_km, most_rows) for s in SOURCES if s in devices]
+        towers = reduce(DataFrame.unionByName, found)
     if elevations is not None:
         towers = enrich.add_elevations(towers, elevations)
     documents = enrich.result_documents(towers, asked, F.col("source"))

@@ -680,9 +680,9 @@ def answers(spark, sf_dir):
     asked = derived.receivers(spark, sf_dir).withColumn("source", F.expr("CASE receiver_id % 4 WHEN 0 THEN 'auto' WHEN 1 THEN 'US' WHEN 2 THEN 'au' END"))
     code = F.expr("CASE region_no WHEN 0 THEN 'au' WHEN 1 THEN 'ca' END")
     edges = regions.edges(derived.regions(spark, sf_dir).withColumn("region", code).filter("region is not null"))
-    devices = derived.devices(spark, sf_dir)
+    devices = derived.devices(spark, sf_dir, dealt=True)
     by_source = {s: devices.filter(F.col("ord.system_no") % 3 == i) for i, s in enumerate(answer.SOURCES)}
-    made = answer.find_towers(asked, edges, by_source, BY_POWER, elevation_dim(spark, sf_dir), most_rows=11)
+    made = answer.find_towers(asked, edges, by_source, BY_POWER, elevation_dim(spark, sf_dir), most_rows=11, typical_km=35.0)
     document = "struct<towers:array<struct<rank:int,callsign:string,elevation_m:double>>,query:struct<altitude_m:double,radius_km:double,source:string>,count:bigint>"
     told = made.select("receiver_id", "source", F.from_json("document", document).alias("d"))
     listed = F.transform("d.towers", lambda t: F.concat_ws(":", t["rank"], t["callsign"], F.coalesce(t["elevation_m"].cast("string"), F.lit("-"))))
