@@ -7,9 +7,9 @@ p, ``q.p - |q| d(p, x) <= q.x <= min(q.p + |q| radius, |q| norm)``. The lower bo
 scores of the pivots, give each query a score that its k-th best certainly reaches; only groups whose
 upper bound reaches that too are searched for it.
 
-Queries of neighbouring groups form query groups of about ``block``. A group of data is copied to those
-query groups that have a query which needs it, and to no other; each pair of groups is solved locally, in
-blocks of bounded size, and the blocks' top k are merged.
+Neighbouring groups of data form bins of bounded size. A query, of which there are few, is copied to those bins that
+hold a group which it needs, and to no other; each bin meets its queries locally, in parts of bounded size, and the
+bins' top k are merged. Integers travel in as few bytes as they need.
 
 What goes to every task is the pivots and their summaries, which grow with the square root of the data.
 """
@@ -27,35 +27,77 @@ from pyspark.sql import functions as F
 
 from .common import materialize, ship_package
 
-_FLOAT_EXACT = 2.0**53
+#: Vectors of a bin, and queries that meet one in a task, at most; bins that there are if the data is small.
+BIN, PART, LEAST_BINS = 131_072, 32_768, 48
+
+
+def _packed(ints: np.ndarray) -> bytes:
+    """Integers in the smallest of 2, 4 and 8 bytes each that holds all of them."""
+    low, high = (int(ints.min()), int(ints.max())) if len(ints) else (0, 0)
+    for kind, bits in (("<i2", 15), ("<i4", 31)):
+        if -(1 << bits) <= low and high < 1 << bits:
+            return ints.astype(kind).tobytes()
+    return ints.astype("<i8").tobytes()
+
+
+def _packed_rows(ints: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """``_packed`` of the rows that end before ``ends[1:]``, at once where all of them fit two bytes."""
+    if len(ints) and -(1 << 15) <= ints.min() and ints.max() < 1 << 15 and 2 * len(ints) < 1 << 31:
+        return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((2 * ends).astype("<i4").tobytes()), pa.py_buffer(ints.astype("<i2").tobytes())])
+    return pa.array([_packed(ints[i:j]) for i, j in zip(ends, ends[1:], strict=False)], pa.binary())
 
 
 def _matrix(packed, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(packed), "<i8").reshape(len(packed), dim)
+    """Rows of ``_packed`` as one matrix, of the widest type among them."""
+    packed = list(packed)
+    sizes = np.array([len(v) for v in packed]) // max(dim, 1)
+    out = np.zeros((len(packed), dim), f"<i{max([2, *sizes.tolist()])}")
+    for size in {*sizes.tolist()} - {0}:
+        own = np.flatnonzero(sizes == size)
+        out[own] = np.frombuffer(b"".join(packed[i] for i in own), f"<i{size}").reshape(len(own), dim)
+    return out
+
+
+def _longest(x: np.ndarray) -> float:
+    """The greatest Euclidean norm of a row."""
+    return math.sqrt(max((float(np.square(x[i : i + 4096], dtype=np.float64).sum(1).max()) for i in range(0, len(x), 4096)), default=0.0))
+
+
+def _exact(queries: np.ndarray, data: np.ndarray) -> type:
+    """A type in which all inner products come out exact: no part of a sum exceeds the product of the norms."""
+    most = _longest(queries) * _longest(data) * (1 + 1e-9)
+    return np.float32 if most < 2.0**24 else np.float64 if most < 2.0**53 else np.int64
 
 
 def scores(queries: np.ndarray, data: np.ndarray) -> np.ndarray:
-    """Integer inner products; in doubles where these are exact, else in wrapping 64-bit integers."""
-    if queries.size and data.size:
-        most = float(np.abs(queries).max()) * float(np.abs(data).max()) * queries.shape[1]
-        if most < _FLOAT_EXACT:
-            return (queries.astype(np.float64) @ data.astype(np.float64).T).astype(np.int64)
-    return queries @ data.T
+    """Integer inner products; in floating point where that is exact, else in wrapping 64-bit integers."""
+    kind = _exact(queries, data)
+    return (queries.astype(kind) @ data.astype(kind).T).astype(np.int64)
 
 
 def _top(query_ids, data_ids, found: np.ndarray, k: int) -> pd.DataFrame:
     """The k best of each row of ``found``, ties to the smaller id, never the query itself."""
-    order = np.argsort(data_ids, kind="stable")
-    data_ids, found = data_ids[order], found[:, order]
-    out = []
-    for q, row in zip(query_ids, found, strict=True):
-        best = np.flatnonzero(data_ids != q)
-        if len(best) > 2 * k + 2:
-            floor = np.partition(row[best], len(best) - k)[len(best) - k]
-            best = best[row[best] >= floor]
-        best = best[np.argsort(-row[best], kind="stable")][:k]
-        out.append(pd.DataFrame({"query_id": q, "vec_id": data_ids[best], "score": row[best]}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+    query_ids, data_ids = np.asarray(query_ids), np.asarray(data_ids)
+    if (np.diff(data_ids) < 0).any():
+        order = np.argsort(data_ids, kind="stable")
+        data_ids, found = data_ids[order], found[:, order]
+    least = np.iinfo(found.dtype).min if found.dtype.kind == "i" else -np.inf
+    start, end = (np.searchsorted(data_ids, query_ids, side) for side in ("left", "right"))
+    if (start < end).any():
+        found = found.copy() if found.base is not None else found
+        for row in np.flatnonzero(start < end):
+            found[row, start[row] : end[row]] = least
+    # What the k-th best of some columns falls short of is no candidate; equals stay.
+    some = found[:, : max(4096, 2 * k)]
+    floor = np.partition(some, some.shape[1] - k, axis=1)[:, some.shape[1] - k] if some.shape[1] > k else np.full(len(found), least)
+    row, column = np.nonzero(found >= floor[:, None])
+    own = query_ids[row] != data_ids[column]
+    row, column = row[own], column[own]
+    score = found[row, column]
+    order = np.lexsort((column, -score.astype(np.int64) if score.dtype.kind != "i" else ~score, row))
+    row, column, score = row[order], column[order], score[order]
+    kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return pd.DataFrame({"query_id": query_ids[row[kept]], "vec_id": data_ids[column[kept]], "score": score[kept].astype(np.int64)})
 
 
 def query_groups(pivots: np.ndarray, queries: dict[int, int], block: int) -> dict[int, tuple[int, int]]:
@@ -73,10 +115,24 @@ def query_groups(pivots: np.ndarray, queries: dict[int, int], block: int) -> dic
     return {cell: (g, math.ceil(load[g] / block)) for cell, g in group.items()}
 
 
+def data_bins(pivots: np.ndarray, sizes: dict[int, int], block: int) -> dict[int, tuple[int, int]]:
+    """The bin of each cell, and how many parts its vectors are dealt into: neighbouring cells fill a bin, one larger than that has parts."""
+    most = min(BIN, max(block, -(-sum(sizes.values()) // LEAST_BINS)))
+    coarse = pivots[: max(1, math.isqrt(len(pivots)))]
+    near = {cell: int(((coarse - pivots[cell]) ** 2).sum(1).argmin()) for cell in sizes}
+    out, number, held = {}, 0, 0
+    for cell in sorted(sizes, key=lambda c: (near[c], c)):
+        if held and held + sizes[cell] > most:
+            number, held = number + 1, 0
+        held += sizes[cell]
+        out[cell] = (number, math.ceil(sizes[cell] / most))
+    return out
+
+
 def needed_pairs(vectors: DataFrame, is_query, id_col: str, vector_col: str, scale: int, k: int, pivots: int | None, block: int) -> tuple[DataFrame, DataFrame] | None:
     """The vectors (uid, vec_id, dim, v, is_query, cell), and which queries need which cells.
 
-    The second table (uid, dim, cell, qblock, n_blocks) has a row for each query and cell that may hold one of its k
+    The second table (uid, dim, cell, qblock, n_blocks, bin, parts) has a row for each query and cell that may hold one of its k
     best; None if there are no vectors.
     """
     spark = vectors.sparkSession
@@ -86,15 +142,13 @@ def needed_pairs(vectors: DataFrame, is_query, id_col: str, vector_col: str, sca
         F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), is_query.alias("is_query")
     )
 
-    def floors(column: pa.Array) -> list[np.ndarray]:
-        with np.errstate(all="ignore"):
-            return [np.clip(np.floor(scale * np.array(v, np.float64)), -(2.0**63), 2.0**63 - 1024).astype("<i8") for v in column.to_pylist()]
-
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ints = floors(b.column(1))
-            columns = [b.column(0), pa.array([len(v) for v in ints], pa.int32()), pa.array([v.tobytes() for v in ints], pa.binary()), b.column(2)]
-            yield pa.RecordBatch.from_arrays(columns, ["vec_id", "dim", "v", "is_query"])
+            column = b.column(1)
+            values, ends = np.asarray(column.flatten(), np.float64), np.concatenate([[0], np.cumsum(np.asarray(column.value_lengths()))])
+            with np.errstate(all="ignore"):
+                ints = np.clip(np.floor(scale * values), -(2.0**63), 2.0**63 - 1024).astype("<i8")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(ends), pa.int32()), _packed_rows(ints, ends), b.column(2)], ["vec_id", "dim", "v", "is_query"])
 
     packed = valid.mapInArrow(pack, "vec_id bigint, dim int, v binary, is_query boolean").withColumn("uid", F.monotonically_increasing_id())
     packed = materialize(packed, "knn-vectors")
@@ -141,11 +195,12 @@ def needed_pairs(vectors: DataFrame, is_query, id_col: str, vector_col: str, sca
     )
     summary: dict[int, list] = {}
     groups: dict[int, dict] = {}
-    for r in totals.join(lows, ["dim", "cell"]).orderBy("dim", "cell").collect():
-        summary.setdefault(r["dim"], []).append((r["cell"], r["size"], r["radius"], r["norm"], r["lows"]))
+    for r in totals.join(lows, ["dim", "cell"]).orderBy("dim", "cell").toLocalIterator():
+        summary.setdefault(r["dim"], []).append((r["cell"], r["size"], r["radius"], r["norm"], [x[0] for x in r["lows"]], [x[1] for x in r["lows"]]))
         if r["queries"]:
             groups.setdefault(r["dim"], {})[r["cell"]] = r["queries"]
     groups = {dim: query_groups(chosen[dim], queries, block) for dim, queries in groups.items()}
+    bins = {dim: data_bins(chosen[dim], {c[0]: c[1] for c in cells}, block) for dim, cells in summary.items()}
 
     def needed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Each query with every group that can hold one of its k best."""
@@ -154,10 +209,10 @@ def needed_pairs(vectors: DataFrame, is_query, id_col: str, vector_col: str, sca
                 cells = summary[dim]
                 number = np.array([c[0] for c in cells], np.int32)
                 blocks = np.array([-(-c[1] // block) for c in cells], np.int32)
+                bin_of, parts_of = np.array([bins[dim][c[0]] for c in cells], np.int32).T
                 p = chosen[dim][number]
                 radius, longest = (np.array([c[i] for c in cells]) for i in (2, 3))
-                far = np.array([x[0] for c in cells for x in c[4]])
-                ids = np.array([x[1] for c in cells for x in c[4]])
+                far, ids = (np.array([x for c in cells for x in c[i]]) for i in (4, 5))
                 of = np.repeat(np.arange(len(cells)), [len(c[4]) for c in cells])
                 x = _matrix(part["v"], dim).astype(np.float64)
                 for at in range(0, len(x), 256):
@@ -171,9 +226,9 @@ def needed_pairs(vectors: DataFrame, is_query, id_col: str, vector_col: str, sca
                     i, c = np.nonzero(most >= (floor - 2 * slack)[:, None])
                     group, parts = np.array([groups[dim][own] for own in some["cell"]]).T
                     uid = some["uid"].to_numpy()
-                    yield pd.DataFrame({"uid": uid[i], "dim": np.int32(dim), "cell": number[c], "qblock": ((group << 32) + uid % parts)[i], "n_blocks": blocks[c]})
+                    yield pd.DataFrame({"uid": uid[i], "dim": np.int32(dim), "cell": number[c], "qblock": ((group << 32) + uid % parts)[i], "n_blocks": blocks[c], "bin": bin_of[c], "parts": parts_of[c]})
 
-    pairs = celled.filter("is_query").mapInPandas(needed, "uid bigint, dim int, cell int, qblock bigint, n_blocks int")
+    pairs = celled.filter("is_query").mapInPandas(needed, "uid bigint, dim int, cell int, qblock bigint, n_blocks int, bin int, parts int")
     return celled, materialize(pairs, "knn-pairs")
 
 
@@ -202,24 +257,31 @@ def top_k(
     if found is None:
         return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
     celled, pairs = found
-    asked = pairs.join(celled.filter("is_query").select("uid", F.col("vec_id").alias("query_id"), "v"), "uid")
-    asked = asked.select("query_id", "dim", "cell", "qblock", "v", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"))
-    # Data goes to the query groups that need its cell; a cell's blocks are dealt by id.
-    wanted = pairs.select("dim", "cell", "qblock", "n_blocks").distinct()
+    # Of more queries than a task takes, each part meets all data that it needs.
+    n_parts = -(-celled.filter("is_query").count() // PART)
+    part = F.pmod(F.xxhash64("uid"), F.lit(max(n_parts, 1))).cast("int").alias("qpart")
+    needs = pairs.select("uid", "dim", "bin", "parts").distinct()
+    asked = needs.join(celled.filter("is_query").select("uid", F.col("vec_id").alias("query_id"), "v"), "uid")
+    asked = asked.select("query_id", "dim", "bin", part, "v", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("block"))
+    # Data goes to the parts of queries that need its cell; a large cell's is dealt by id.
+    wanted = pairs.select("dim", "cell", "bin", "parts", part).distinct()
     data = celled.select("dim", "cell", "vec_id", "v").join(wanted, ["dim", "cell"])
-    dealt = F.pmod(F.xxhash64("vec_id"), F.col("n_blocks")).cast("int").alias("block")
+    dealt = F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("block")
     # Named anew, since both sides of the cogroup come from one table.
-    data = data.select(*[F.col(c).alias(c) for c in ("dim", "cell", "qblock", "vec_id", "v")], dealt)
-    keys = ["dim", "cell", "block", "qblock"]
+    data = data.select(*[F.col(c).alias(c) for c in ("dim", "bin", "qpart", "vec_id", "v")], dealt)
+    keys = ["dim", "bin", "block", "qpart"]
 
     def solve(queries: pd.DataFrame, data: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(data):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
         dim = int(queries["dim"].iloc[0])
-        x, out = _matrix(data["v"], dim), []
-        for at in range(0, len(queries), 512):
-            some = queries.iloc[at : at + 512]
-            out.append(_top(some["query_id"].to_numpy(), data["vec_id"].to_numpy(), scores(_matrix(some["v"], dim), x), k))
+        data = data.sort_values("vec_id", kind="stable")
+        ids, x, q, out = data["vec_id"].to_numpy(), _matrix(data["v"], dim), _matrix(queries["v"], dim), []
+        kind = _exact(q, x)
+        x, asking = x.astype(kind), queries["query_id"].to_numpy()
+        step = max(16, (1 << 23) // len(x))
+        for at in range(0, len(q), step):
+            out.append(_top(asking[at : at + step], ids, q[at : at + step].astype(kind) @ x.T, k))
         return pd.concat(out)
 
     solved = asked.groupBy(*keys).cogroup(data.groupBy(*keys)).applyInPandas(solve, "query_id bigint, vec_id bigint, score bigint")

@@ -731,3 +731,35 @@ def test_entry_survives_without_the_operators(tmp_path):
         "assert e.entry(SparkSession.builder.master('local[2]').getOrCreate()).count() > 0"
     )
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "copy", check=True, timeout=300)
+
+
+def test_top_k_sends_few_bytes_and_large_bins(spark):
+    """Small integers take two bytes each, wider ones what they need; cells fill bins, so a query meets few of them; results are exact in any type."""
+    from rfrank.llm import knn
+
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((3000, 8))
+    x[5], x[10], x[15] = x[5] * 1e3, x[10] * 1e9, -x[10] * 1e3
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    celled, pairs = needed_pairs(frame, F.col("vec_id") % 5 == 0, "vec_id", "embedding", 1024, 10, None, 1024)
+    assert {r[0] for r in celled.select(F.length("v")).distinct().collect()} == {16, 32, 64}
+    assert pairs.select("bin").distinct().count() <= 4 < 30 < pairs.select("cell").distinct().count()
+    assert pairs.groupBy("cell").agg(F.count_distinct("bin").alias("n")).filter("n > 1").count() == 0
+    v = np.floor(1024 * x).astype(np.int64)
+    got = {}
+    for r in top_k(frame, F.col("vec_id") % 5 == 0).collect():
+        got.setdefault(r.query_id, []).append((-r.score, r.vec_id))
+    for query in (0, 5, 10, 15, 20, 2995):
+        found = (v.astype(object) @ v[query].astype(object)).tolist()
+        want = sorted((-((int(s) + 2**63) % 2**64 - 2**63), i) for i, s in enumerate(found) if i != query)[:10]
+        assert sorted(got[query]) == want
+    sizes = {c: 10 + c for c in range(200)} | {200: 5000}
+    bins = knn.data_bins(rng.standard_normal((201, 4)), sizes, 1024)
+    held = {}
+    for c, (b, n) in bins.items():
+        held[b] = held.get(b, 0) + sizes[c] / n
+    assert max(held.values()) <= 1024 and bins[200][1] == 5 and len(held) < 40
+    for most, kind in ((2**11, np.float32), (2**13, np.float64), (2**31, np.int64)):
+        a = rng.integers(-most, most, (50, 4))
+        a[0] = most - 1
+        assert knn._exact(a, a) == kind and (scores(a, a) == a @ a.T).all()
